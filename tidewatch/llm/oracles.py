@@ -11,17 +11,17 @@ def op10() -> str:
     for i, r in enumerate(RULES):
         p = "'" + r.pattern.replace("'", "''") + "'"
         keep = f"length(kept[i]) >= {r.least}" if r.least else "true"
-        parts.append(f"""s{i} AS (SELECT doc_id, rn, list_transform(list_filter(range(1, len(hit) + 1), i -> {keep}), i -> {{
-            'start': CAST(coalesce(list_sum(list_transform(gap[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i-1], x -> length(x))), 0) AS BIGINT),
+        parts.append(f"""s{i} AS (SELECT doc_id, rn, list_transform(list_filter(range(1, len(hit) + 1), lambda i: {keep}), lambda i: {{
+            'start': CAST(coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i-1], lambda x: length(x))), 0) AS BIGINT),
             'ord': {i},
-            'stop': CAST(coalesce(list_sum(list_transform(gap[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i], x -> length(x))), 0) AS BIGINT),
+            'stop': CAST(coalesce(list_sum(list_transform(gap[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hit[1:i], lambda x: length(x))), 0) AS BIGINT),
             'kind': '{r.kind}'}}) AS spans
           FROM (SELECT doc_id, rn, regexp_split_to_array(text, {p}) AS gap, regexp_extract_all(text, {p}, 0) AS hit, regexp_extract_all(text, {p}, {r.group}) AS kept FROM d))""")
         names.append(f"s{i}.spans")
     joins = " ".join(f"JOIN s{i} USING (rn)" for i in range(1, len(RULES)))
-    text = "array_to_string(list_transform({}, s -> s.kind || ':' || s.start || ':' || s.stop), ',')"
+    text = "array_to_string(list_transform({}, lambda s: s.kind || ':' || s.start || ':' || s.stop), ',')"
     n_base = sum(r.base for r in RULES)
-    counts = ", ".join(f"CAST(len(list_filter(a, s -> s.ord = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(RULES) if r.base)
+    counts = ", ".join(f"CAST(len(list_filter(a, lambda s: s.ord = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(RULES) if r.base)
     lists = names[0]
     for n in names[1:]:
         lists = f"list_concat({lists}, {n})"
@@ -29,6 +29,6 @@ def op10() -> str:
 {', '.join(parts)},
 al AS (SELECT s0.doc_id AS doc_id, list_sort({lists}) AS a FROM s0 {joins})
 SELECT doc_id, {counts},
-  sha256({text.format(f'list_filter(a, s -> s.ord < {n_base})')}) AS base_sha256,
+  sha256({text.format(f'list_filter(a, lambda s: s.ord < {n_base})')}) AS base_sha256,
   {text.format('a')} AS spans
 FROM al"""

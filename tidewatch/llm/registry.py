@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import oracles
+from tidewatch.llm.packing import op3_best_fit_packing
+from tidewatch.llm.tokencount import op4_token_counts
 from tidewatch.llm.secrets import op10_secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_token_counts": op4_token_counts,
         "op10_secret_scans": op10_secret_scans,
     }
 

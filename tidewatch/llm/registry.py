@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import oracles
+from tidewatch.llm.neardup import op7_near_duplicates
 from tidewatch.llm.packing import op3_best_fit_packing
 from tidewatch.llm.tokencount import op4_token_counts
 from tidewatch.llm.secrets import op10_secret_scans
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
+        "op7_near_duplicates": op7_near_duplicates,
         "op10_secret_scans": op10_secret_scans,
     }
 

@@ -142,11 +142,13 @@ class PrefixTable:
     def count(self, chars: int) -> int:
         k = bisect_right(self.ends, chars) - 1
         back = max(0, k - 1)
+        while back and self.words[back].isspace():
+            back -= 1
         if chars >= self.ends[-1]:
             return self.total
         rest = "".join(self.words[back : k + 1])[: chars - self.ends[back]]
-        if k > back and self.words[k - 1] != SPECIAL and rest and not rest[-1].isspace() and rest[len(self.words[k - 1]) :][:1] != "'":
-            inside = rest[len(self.words[k - 1]) :]
+        inside = rest[self.ends[k] - self.ends[back] :]
+        if k > back and rest and not rest[-1].isspace() and inside[:1] != "'":
             if not inside:
                 return self.counts[k]
             w = self.words[k]

@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm import oracles
 from tidewatch.llm.neardup import op7_near_duplicates
 from tidewatch.llm.packing import op3_best_fit_packing
-from tidewatch.llm.tokencount import op4_token_counts
+from tidewatch.llm.quality import op5_quality
 from tidewatch.llm.secrets import op10_secret_scans
+from tidewatch.llm.tokencount import op4_token_counts
+from tidewatch.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
+        "op5_quality": op5_quality,
         "op7_near_duplicates": op7_near_duplicates,
         "op10_secret_scans": op10_secret_scans,
     }

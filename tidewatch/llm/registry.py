@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import oracles
+from tidewatch.llm.media import op9_media_columns
 from tidewatch.llm.neardup import op7_near_duplicates
 from tidewatch.llm.packing import op3_best_fit_packing
 from tidewatch.llm.quality import op5_quality
 from tidewatch.llm.secrets import op10_secret_scans
 from tidewatch.llm.tokencount import op4_token_counts
+from tidewatch.llm.topk import op8_exact_top_k
 from tidewatch.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +26,14 @@ def queries() -> dict[str, Query]:
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_exact_top_k": op8_exact_top_k,
+        "op9_media_columns": op9_media_columns,
         "op10_secret_scans": op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_exact_top_k": oracles.OP8,
         "op10_secret_scans": oracles.op10(),
     }

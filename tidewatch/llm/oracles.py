@@ -41,3 +41,20 @@ s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(CAST(q.e
   FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+OP2 = r"""WITH l AS (
+  SELECT doc_id, pos, trim(x, ' ' || chr(9) || chr(13) || chr(160)) AS line
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)),
+e AS (SELECT *, length(line) AS n FROM l WHERE regexp_matches(line, '^(\S+\s+){4}\S')),
+u AS (SELECT line, n, min((doc_id, pos)) AS first FROM e GROUP BY 1, 2),
+k AS (SELECT line, n AS n0, first, n - m.less AS n, left(line, (n - m.less) // 2) AS front, right(line, (n - m.less) - (n - m.less) // 2) AS back FROM u, (VALUES (0), (1)) m(less)),
+c AS (SELECT a.line AS a, b.line AS b, b.first FROM k a JOIN k b ON a.n = b.n AND a.front = b.front AND a.line <> b.line AND b.first < a.first
+  UNION SELECT a.line, b.line, b.first FROM k a JOIN k b ON a.n = b.n AND a.back = b.back AND a.line <> b.line AND b.first < a.first),
+p AS (SELECT *, coalesce(list_position(list_transform(range(1, greatest(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1)), false), 0) AS q FROM c WHERE abs(length(a) - length(b)) <= 1),
+near AS (SELECT a AS line, min(first) AS first FROM p WHERE
+  (length(a) = length(b) AND substring(a, q + 1) = substring(b, q + 1)) OR (length(a) + 1 = length(b) AND substring(a, q) = substring(b, q + 1)) OR (length(a) = length(b) + 1 AND substring(a, q + 1) = substring(b, q)) GROUP BY 1),
+gone AS (SELECT e.doc_id, e.pos FROM e JOIN u USING (line) LEFT JOIN near USING (line) WHERE (e.doc_id, e.pos) > least(u.first, coalesce(near.first, u.first))),
+kept AS (SELECT d.doc_id, count(*) AS n_lines, count(*) - count(g.pos) AS left_, count(g.pos) AS n_removed, string_agg(d.x, chr(10) ORDER BY d.pos) FILTER (g.pos IS NULL) AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.pos = g.pos GROUP BY 1)
+SELECT doc_id, coalesce(text, '') AS text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed FROM kept"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import oracles
+from tidewatch.llm.linededup import op2_line_dedup
 from tidewatch.llm.media import op9_media_columns
 from tidewatch.llm.neardup import op7_near_duplicates
 from tidewatch.llm.packing import op3_best_fit_packing
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_line_dedup": op2_line_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
@@ -34,6 +36,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_line_dedup": oracles.OP2,
         "op8_exact_top_k": oracles.OP8,
         "op10_secret_scans": oracles.op10(),
     }

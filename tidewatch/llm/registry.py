@@ -11,6 +11,7 @@ from tidewatch.llm.linededup import op2_line_dedup
 from tidewatch.llm.media import op9_media_columns
 from tidewatch.llm.neardup import op7_near_duplicates
 from tidewatch.llm.packing import op3_best_fit_packing
+from tidewatch.llm.pieces import op6_sentencepiece
 from tidewatch.llm.quality import op5_quality
 from tidewatch.llm.secrets import op10_secret_scans
 from tidewatch.llm.tokencount import op4_token_counts
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_counts": op4_token_counts,
         "op5_quality": op5_quality,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_media_columns": op9_media_columns,

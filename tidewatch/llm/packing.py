@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.llm.bpe import byte_level
 from tidewatch.llm.common import chunks, materialise, table, tokenizer_path
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers before it starts anew: as written, and as lower-case letters.
+CACHE_WORDS, CACHE_CORES = 300_000, 800_000
+#: Marks that may follow a word's letters; a run of them is one split of the tokenizer.
+TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Texts are split into words in parts of so many characters.
 PART_CHARS = 1 << 20
 #: Pieces of one length that one salted group ranks, about.
@@ -39,6 +43,9 @@ RANKED_ROWS = 20_000
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+#: Byte (as its Latin-1 character) -> its printable stand-in in byte-level vocabularies.
+BYTE_CHARS = {b: c for c, b in byte_level().items()}
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,13 +62,42 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cores: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
+        """Remember the words; letters with marks behind them are looked up as letters and marks.
+
+        The tokenizer lower-cases letter by letter and splits a run of letters from a run of
+        marks, so such a word's ids are those of its parts; every other word is encoded whole.
+        """
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
+        if len(self.cores) > CACHE_CORES:
+            self.cores.clear()
+        split_up, whole, new = [], [], set()
+        cores = self.cores
+        for w in words:
+            if w in self:
+                continue
+            core = w.rstrip(TAIL)
+            if core.isalpha() and "<" not in w and (w.isascii() or ("\u03a3" not in w and unicodedata.is_normalized("NFC", core))):
+                tail, core = w[len(core) :], core.lower()
+                if core.isalpha():
+                    split_up.append((w, core, tail))
+                    if core not in cores:
+                        new.add(core)
+                    if tail and tail not in cores:
+                        new.add(tail)
+                    continue
+            whole.append(w)
+        tokenize = self.tokenizer.model.tokenize
+        for core in new:
+            mapped = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARS)
+            cores[core] = np.array([t.id for t in tokenize(mapped)], "<u4").tobytes()
+        for w, core, tail in split_up:
+            self[w] = cores[core] + cores[tail] if tail else cores[core]
+        for lo in range(0, len(whole), 20_000):
+            part = whole[lo : lo + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self[w] = np.asarray(e.ids, "<u4").tobytes()
 

@@ -43,7 +43,7 @@ def keyed_mac(key: bytes) -> Sign:
     return lambda data: hmac.new(key, data, hashlib.sha256).hexdigest()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(M.S)
 def canonical_text(rows: pd.DataFrame) -> pd.Series:
     """Canonical bytes (ASCII) of a struct of the record's columns."""
     return pd.Series([canonical(r).decode() for r in rows.astype(object).where(rows.notna(), None).to_dict("records")], dtype=object)
@@ -52,7 +52,7 @@ def canonical_text(rows: pd.DataFrame) -> pd.Series:
 def feature_digest(features: Column, salt: Column) -> Column:
     """sha256 of the features as little-endian 32-bit floats, then the salt; null features: the salt alone."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(M.S)
     def digest(x: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([hashlib.sha256((b"" if v is None else np.asarray(v, "<f4").tobytes()) + (bytes(b) if b is not None else b"")).hexdigest() for v, b in zip(x, s, strict=True)])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import catalog
+from tidewatch.plans import catalog, chains, modelled  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, catalog.Query]:

@@ -16,6 +16,14 @@ def session(name: str = "tidewatch", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
     }
-    if not os.environ.get("SPARK_MASTER_SET"):
-        base["spark.sql.shuffle.partitions"] = str(max(8, (os.cpu_count() or 8)))
     return SparkSession.builder.appName(name).config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one is used only where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file:///tmp/checkpoints/tidewatch-{os.getuid()}"

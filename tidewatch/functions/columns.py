@@ -89,7 +89,7 @@ def geodesic_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Haversine; 0 where a place is missing."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return F.coalesce(2 * M.EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h))), F.lit(0.0))
+    return F.when(h.isNotNull(), 2 * M.EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))).otherwise(0.0)
 
 
 def glob_regex(pattern: str) -> str:

@@ -79,7 +79,7 @@ feat AS (SELECT event_id, ts, principal, source, action, resource, label,
   ln(1 + coalesce(list_sum(list_transform(recent, lambda x: x.b)), 0)::DOUBLE) AS log_bytes_read_60min,
   len(list_distinct(list_transform(recent, lambda x: x.resource)))::DOUBLE AS distinct_resources_60min, len(list_distinct(list_transform(recent, lambda x: x.action)))::DOUBLE AS distinct_actions_60min,
   nasn::DOUBLE AS asn_novelty,
-  coalesce(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(plat)) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(plon)) / 2), 2)))), 0)::DOUBLE AS geodesic_distance_km,
+  (CASE WHEN plat IS NULL THEN 0 ELSE 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(lat) - radians(plat)) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(plon)) / 2), 2)))) END)::DOUBLE AS geodesic_distance_km,
   1 - npc::DOUBLE AS device_fingerprint_match, coalesce(ln(1 + (us - logon_us) / 1e6), 0) AS log_mfa_age, npc::DOUBLE AS host_novelty FROM h3)"""
 )
 

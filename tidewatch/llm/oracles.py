@@ -58,3 +58,13 @@ gone AS (SELECT e.doc_id, e.pos FROM e JOIN u USING (line) LEFT JOIN near USING
 kept AS (SELECT d.doc_id, count(*) AS n_lines, count(*) - count(g.pos) AS left_, count(g.pos) AS n_removed, string_agg(d.x, chr(10) ORDER BY d.pos) FILTER (g.pos IS NULL) AS text
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.pos = g.pos GROUP BY 1)
 SELECT doc_id, coalesce(text, '') AS text, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed FROM kept"""
+
+
+OP7 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT r.d, g.b FROM r JOIN g ON r.c = g.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, min(r.c) = n.doc_id AS kept FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.n"""

@@ -39,6 +39,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": oracles.OP2,
+        "op7_near_duplicates": oracles.OP7,
         "op8_exact_top_k": oracles.OP8,
         "op10_secret_scans": oracles.op10(),
     }

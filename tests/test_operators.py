@@ -133,3 +133,28 @@ def test_a_denied_request_does_not_enter_the_state():
     assert allowed.total == pytest.approx(2, rel=1e-4) and out[1][3] == 1.0 and out[1][11] == out[0][12]
     again = online.Profile(allowed.dump())
     assert again.dump() == allowed.dump()
+
+
+def test_sampling_contributions_and_sinks(spark, tmp_path):
+    from tidewatch.sources import sinks
+
+    t = spark.range(2000)
+    a, b = ({r["id"] for r in rollup.bernoulli(t, "id", 500).collect()} for _ in range(2))
+    assert a == b and 400 < len(a) < 600 and rollup.bernoulli(t, "id", 5000).count() == 2000
+    top = spark.range(1).select(rollup.top_contributions({"x": F.lit(1.0), "y": F.lit(-2.0), "z": F.lit(3.0)}, 2).alias("t")).first()["t"]
+    assert [r["name"] for r in top] == ["z", "x"]
+    records = ledger.chained(decisions(spark), SIGN)
+    sinks.append_ledger(records, f"{tmp_path}/l")
+    assert broken(spark, sinks.read_ledger(spark, f"{tmp_path}/l")) == {"p": -1, "q": -1}
+    sinks.write_report(spark.createDataFrame([(1, "a")], "n int, s string"), f"{tmp_path}/r")
+    assert spark.read.csv(f"{tmp_path}/r", header=True).first()["s"] == "a"
+
+
+def test_stream_and_replay_agree(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i % 60:02d}:{i // 60:02d}", f"p{i % 3}", "ab"[i % 2], f"r{i % 5}", i, 0.5, 0.0) for i in range(150)]
+    t = spark.createDataFrame(rows, "event_id long, ts string, principal string, action string, resource string, bytes_read long, sensitivity double, credit double").withColumn("ts", F.col("ts").cast("timestamp"))
+    t.write.parquet(f"{tmp_path}/in")
+    s = online.online(spark.readStream.schema(online.REQUEST).parquet(f"{tmp_path}/in"))
+    s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    a, b = spark.read.parquet(f"{tmp_path}/out"), online.replay(t)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 150

@@ -94,3 +94,15 @@ def scenario(events: DataFrame, principal: str, before: int = 3, after: int = 4)
     span = own.where("label = 1").agg(F.min(F.to_date("ts")).alias("_a"), F.max(F.to_date("ts")).alias("_z"))
     day = F.to_date("ts")
     return own.join(F.broadcast(span)).where((day >= F.date_sub("_a", before)) & (day < F.date_add("_z", after))).drop("_a", "_z")
+
+
+def bernoulli(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows, each kept by a hash of its key: the same rows in every run."""
+    share = min(1.0, most / max(1, rows.count()))
+    return rows.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def top_contributions(values: dict[str, Column], k: int = 3) -> Column:
+    """array<struct<value,name>> of the ``k`` largest signed values, ties by name."""
+    pairs = F.array(*[F.struct(v.alias("value"), F.lit(n).alias("name")) for n, v in sorted(values.items(), reverse=True)])
+    return F.slice(F.sort_array(pairs, asc=False), 1, k)

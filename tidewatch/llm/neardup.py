@@ -9,9 +9,12 @@ of 5 miss a pair with a probability below 1e-8.
 
 Documents with the same set are one node (their least doc_id). Within a bucket, members are
 held against the bucket's most central member; then, as links are transitive, only members of
-buckets that still span several components are held against each other, across components
-alone. Every comparison counts full sets. So no link between candidates is lost for the
-components, while groups of copies cost one comparison a member. Components come from rounds of
+buckets that still span several components matter. Of these, a node can link to another component
+only if 85 % of its shingles occur in other components too; nodes that fail this are peeled off,
+round after round, which is exact and needs no pairs. What is left meets by a prefix join: a link
+needs so many common shingles that two linked sets share one of their rarest few. Every
+comparison counts full sets. So no link between candidates is lost for the components, while
+groups of copies cost one comparison a member. Components come from rounds of
 large-star and small-star over the verified links, in tables in the shared folder.
 
 Defined results: null and blank texts have empty sets (n_shingles 0, their own component, kept);
@@ -27,8 +30,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewatch.llm.common import buffer_of, chunks, materialise, mix64, table
 
@@ -97,7 +101,7 @@ def shingles_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
             h = 0
             for x in w[firsts[r] : firsts[r + 1]].tolist():
                 h = (h * BASE + x) % 2**64
-            few.append((h + len(few) * 0 + int(n_words[r])) % 2**64)
+            few.append((h + int(n_words[r])) % 2**64)
         acc = np.concatenate([acc, mix64(np.array(few, np.uint64))])
         acc_row = np.concatenate([acc_row, short])
         order = np.argsort(acc_row, kind="stable")
@@ -132,11 +136,9 @@ def sketches(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         else:
             free = out.reshape(-1)[place] == FULL
             at, val = place[free], h[free]
-            thrown = np.full(len(at), FULL)
             slot, back = np.unique(at, return_inverse=True)
             best = np.full(len(slot), FULL)
             np.minimum.at(best, back, val)
-            del thrown
             out.reshape(-1)[slot] = best
         open_ = (out == FULL).any(axis=1)
         on = open_[row]
@@ -222,7 +224,62 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(linked, "a long, b long").distinct()
 
 
-def near_enough(n: str, m: str):
+def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, c, set -> a row for each element."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            data = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+            at = pa.array(np.repeat(np.arange(len(data)), [len(x) for x in data]))
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(3)), pa.array(np.concatenate(data))], ["node", "n", "c", "e"])
+
+
+def peeled(rest: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFrame:
+    """Elements (node, n, c, e, least) of the nodes of ``rest`` (k, node, n, c) that may link to another component.
+
+    ``least`` is the smallest size of a set that the node may link to.
+    """
+    nodes = rest.groupBy("node").agg(F.first("n").alias("n"), F.first("c").alias("c"))
+    flat = nodes.join(sets, "node").select("node", "n", "c", "elements").mapInArrow(exploded, "node long, n long, c long, e long")
+    flat = materialise(flat, "elements")
+    alive = None
+    for _ in range(rounds):
+        own = flat if alive is None else flat.join(alive.select("node"), "node", "left_semi")
+        live = own.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("e")
+        kept = own.join(live, "e", "left_semi").groupBy("node").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+        alive = materialise(kept.where(F.col("m") * 100 >= F.col("n") * PERCENT).select("node", "m"), "alive")
+    rest = rest.join(alive, "node")
+    for _ in range(2):
+        spans = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("k", "least")
+        rest = rest.drop("least").join(spans, "k").where(sharing(F.col("m"), F.col("n") + F.col("least")))
+    nodes = materialise(rest.groupBy("node").agg(F.min("least").alias("least")), "open")
+    return flat.join(nodes, "node")
+
+
+def prefix_pairs(elements: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be links, from rows (node, n, c, e, least).
+
+    Of a node's m elements that occur in other components, a link to a set of at least ``least``
+    elements needs ``need`` in common; so two linked nodes meet in their m - need + 1 rarest.
+    """
+    live = elements.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("e", "df")
+    rows = elements.join(live, "e")
+    own = Window.partitionBy("node")
+    rows = rows.withColumn("m", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "e")))
+    need = F.expr(f"((n + least) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}")  # rounded up
+    rows = materialise(rows.where(F.col("i") <= F.col("m") - need + 1).select("e", "node", "n", "c", "m"), "prefixes")
+    one = rows.select("e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("la"), F.col("c").alias("ca"))
+    two = rows.select("e", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("lb"), F.col("c").alias("cb"))
+    able = sharing(F.least("la", "lb"), F.col("na") + F.col("nb"))
+    return one.join(two, "e").where("ca < cb").where(able).select("a", "b").distinct()
+
+
+def sharing(both: Column, sizes: Column) -> Column:
+    """Whether ``both`` common elements of sets with ``sizes`` elements together are similar enough."""
+    return both * (100 + PERCENT) >= sizes * PERCENT
+
+
+def near_enough(n: str, m: str) -> Column:
     """Sizes that allow the similarity at all."""
     return (F.least(n, m) * 100) >= (F.greatest(n, m) * PERCENT)
 
@@ -240,13 +297,11 @@ def groups(docs: DataFrame) -> DataFrame:
     if not members.isEmpty():
         links = links_of(docs, members)
     reps = sk.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node"))
-    copies = sk.where("n_shingles > 0").join(reps, key).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     own = F.col("doc_id")
     if links is None:
         comp = reps.select(*key, F.col("node").alias("component"))
     else:
         comp = reps.join(components(links), "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
-    del copies
     out = sk.select("doc_id", *key).join(comp, key, "left")
     found = F.when(own.isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", own))
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -267,9 +322,7 @@ def links_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     rest = materialise(labelled.join(open_, "k"), "open")
     if rest.isEmpty():
         return links
-    one = rest.select("k", F.col("node").alias("a"), F.col("n"), F.col("c").alias("ca"))
-    two = rest.select("k", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
-    across = one.join(two, "k").where("ca < cb").where(near_enough("n", "m")).select("a", "b").distinct()
+    across = prefix_pairs(peeled(rest, sets))
     tried = spokes.select("a", "b").union(spokes.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialise(verified(across.join(tried, ["a", "b"], "left_anti"), sets), "links")
     return links.union(more)

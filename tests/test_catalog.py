@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables, where these are there."""
 
+import numbers
 import os
 
 import pandas as pd
@@ -18,7 +19,7 @@ def test_each_sql_belongs_to_a_query():
 
 def tidy(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    text = lambda v: "null" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.isna(v) else f"{float(v):.5f}" if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
     return sorted(tuple(text(v) for v in row) for row in frame.itertuples(index=False))
 
 

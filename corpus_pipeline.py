@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm import linededup, neardup, packing, secrets, toxicity
 from tidewatch.llm.common import materialise, table
 
+#: Similarity of five-word sets from which documents are near copies, in percent.
+NEAR_PERCENT = 80
+
 
 def _recounted(docs: DataFrame) -> DataFrame:
     if "n_chars" not in docs.columns:
@@ -33,7 +36,7 @@ def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id."""
-    gone = neardup.groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = neardup.groups(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -179,6 +179,21 @@ def test_near_duplicates_edge_cases(spark):
     assert neardup.groups(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_near_copies_of_the_pipeline_link_from_80_percent(spark, seed):
+    import corpus_pipeline
+
+    docs = near_docs(seed)
+    s, comp = {i: shingles(t) for i, t in docs.items()}, {i: i for i in docs}
+    links = [(a, b) for a in docs for b in docs if a < b and s[a] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    for _ in docs:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    stays = sorted(i for i in docs if comp[i] == i)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_copies_go(spark, frame(spark, list(docs.items())), "").collect())
+    assert got == stays and len(got) < sum(kept for _, _, kept in brute_groups(docs).values())
+
+
 def test_every_coordinate_fills_and_agreement_follows_similarity():
     import numpy as np
 

@@ -4,13 +4,13 @@ A document's set holds its distinct five-word shingles. The sketch throws the se
 ``COORDS`` bins, round after round with fresh hashes, until every bin is filled: a bin keeps the
 least value of its first round. The last ``COORDS`` rounds each aim at one bin, so that every
 coordinate fills whatever the set's size; agreement of two sketches concentrates around the
-Jaccard similarity. Bands of ``ROWS`` coordinates give bucket keys: at similarity 0.85, 32 bands
-of 5 miss a pair with a probability below 1e-8.
+Jaccard similarity. Bands of ``ROWS`` coordinates give bucket keys: 32 bands of 5 miss a pair at
+similarity 0.85 with a probability below 1e-8, one at 0.8 with about 3e-6.
 
 Documents with the same set are one node (their least doc_id). Within a bucket, members are
 held against the bucket's most central member; then, as links are transitive, only members of
 buckets that still span several components matter. Of these, a node can link to another component
-only if 85 % of its shingles occur in other components too; nodes that fail this are peeled off,
+only if ``percent`` of its shingles occur in other components too; nodes that fail this are peeled off,
 round after round, which is exact and needs no pairs. What is left meets by a prefix join: a link
 needs so many common shingles that two linked sets share one of their rarest few. Every
 comparison counts full sets. So no link between candidates is lost for the components, while
@@ -25,7 +25,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +37,7 @@ from pyspark.sql.window import Window
 from tidewatch.llm.common import buffer_of, chunks, materialise, mix64, table
 
 WORDS = 5
+#: Similarity of a link, in percent, where the caller gives none.
 PERCENT = 85
 BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
@@ -177,20 +178,24 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "elements"])
 
 
-def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linked(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """a, b, a's set, b's set -> the pairs that are links."""
-    for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-            if both and 100 * both >= PERCENT * (len(p) + len(q) - both):
-                keep.append(i)
-        cut = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-        yield cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(p) > len(q):
+                    p, q = q, p
+                at = np.searchsorted(q, p)
+                both = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
+                if both and 100 * both >= percent * (len(p) + len(q) - both):
+                    keep.append(i)
+            cut = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield cut
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,11 +222,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(linked, "a long, b long").distinct()
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ea", "eb").mapInArrow(linked(percent), "a long, b long").distinct()
 
 
 def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +239,7 @@ def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(3)), pa.array(np.concatenate(data))], ["node", "n", "c", "e"])
 
 
-def peeled(rest: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFrame:
+def peeled(rest: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
     """Elements (node, n, c, e, least) of the nodes of ``rest`` (k, node, n, c) that may link to another component.
 
     ``least`` is the smallest size of a set that the node may link to.
@@ -247,16 +252,16 @@ def peeled(rest: DataFrame, sets: DataFrame, rounds: int = 2) -> DataFrame:
         own = flat if alive is None else flat.join(alive.select("node"), "node", "left_semi")
         live = own.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("e")
         kept = own.join(live, "e", "left_semi").groupBy("node").agg(F.count("*").alias("m"), F.first("n").alias("n"))
-        alive = materialise(kept.where(F.col("m") * 100 >= F.col("n") * PERCENT).select("node", "m"), "alive")
+        alive = materialise(kept.where(F.col("m") * 100 >= F.col("n") * percent).select("node", "m"), "alive")
     rest = rest.join(alive, "node")
     for _ in range(2):
         spans = rest.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("k", "least")
-        rest = rest.drop("least").join(spans, "k").where(sharing(F.col("m"), F.col("n") + F.col("least")))
+        rest = rest.drop("least").join(spans, "k").where(sharing(F.col("m"), F.col("n") + F.col("least"), percent))
     nodes = materialise(rest.groupBy("node").agg(F.min("least").alias("least")), "open")
     return flat.join(nodes, "node")
 
 
-def prefix_pairs(elements: DataFrame) -> DataFrame:
+def prefix_pairs(elements: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of different components that may be links, from rows (node, n, c, e, least).
 
     Of a node's m elements that occur in other components, a link to a set of at least ``least``
@@ -266,26 +271,26 @@ def prefix_pairs(elements: DataFrame) -> DataFrame:
     rows = elements.join(live, "e")
     own = Window.partitionBy("node")
     rows = rows.withColumn("m", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "e")))
-    need = F.expr(f"((n + least) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}")  # rounded up
+    need = F.expr(f"((n + least) * {percent} + {99 + percent}) div {100 + percent}")  # rounded up
     rows = materialise(rows.where(F.col("i") <= F.col("m") - need + 1).select("e", "node", "n", "c", "m"), "prefixes")
     one = rows.select("e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("la"), F.col("c").alias("ca"))
     two = rows.select("e", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("lb"), F.col("c").alias("cb"))
-    able = sharing(F.least("la", "lb"), F.col("na") + F.col("nb"))
+    able = sharing(F.least("la", "lb"), F.col("na") + F.col("nb"), percent)
     return one.join(two, "e").where("ca < cb").where(able).select("a", "b").distinct()
 
 
-def sharing(both: Column, sizes: Column) -> Column:
+def sharing(both: Column, sizes: Column, percent: int) -> Column:
     """Whether ``both`` common elements of sets with ``sizes`` elements together are similar enough."""
-    return both * (100 + PERCENT) >= sizes * PERCENT
+    return both * (100 + percent) >= sizes * percent
 
 
-def near_enough(n: str, m: str) -> Column:
+def near_enough(n: str, m: str, percent: int) -> Column:
     """Sizes that allow the similarity at all."""
-    return (F.least(n, m) * 100) >= (F.greatest(n, m) * PERCENT)
+    return (F.least(n, m) * 100) >= (F.greatest(n, m) * percent)
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+def groups(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``; sets at least ``percent`` similar are linked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = materialise(docs.mapInArrow(sketched, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketch")
     key = ["h1", "h2", "n_shingles"]
@@ -295,7 +300,7 @@ def groups(docs: DataFrame) -> DataFrame:
     members = materialise(banded.join(many, "k"), "members")
     links = None
     if not members.isEmpty():
-        links = links_of(docs, members)
+        links = links_of(docs, members, percent)
     reps = sk.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node"))
     own = F.col("doc_id")
     if links is None:
@@ -307,26 +312,26 @@ def groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def links_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+def links_of(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) that give the components of all candidates' links."""
     nodes = members.select("node").distinct()
     text = docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi")
     sets = materialise(text.mapInArrow(full_sets, "node long, elements binary"), "sets")
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     hubs = members.join(central, "node").groupBy("k").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"), "n")).alias("hub")).select("k", (-F.col("hub.least")).alias("b"), F.col("hub.n").alias("m"))
-    spokes = members.join(hubs, "k").where(F.col("node") != F.col("b")).where(near_enough("n", "m")).select(F.col("node").alias("a"), "b").distinct()
-    links = materialise(verified(spokes, sets), "links")
+    spokes = members.join(hubs, "k").where(F.col("node") != F.col("b")).where(near_enough("n", "m", percent)).select(F.col("node").alias("a"), "b").distinct()
+    links = materialise(verified(spokes, sets, percent), "links")
     comp = components(links)
     labelled = members.join(comp, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("c"))
     open_ = labelled.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
     rest = materialise(labelled.join(open_, "k"), "open")
     if rest.isEmpty():
         return links
-    across = prefix_pairs(peeled(rest, sets))
+    across = prefix_pairs(peeled(rest, sets, percent), percent)
     tried = spokes.select("a", "b").union(spokes.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialise(verified(across.join(tried, ["a", "b"], "left_anti"), sets), "links")
+    more = materialise(verified(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     return links.union(more)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents"), percent=85)

@@ -15,6 +15,8 @@ from tidewatch.llm.common import materialise, table
 
 #: Similarity of five-word sets from which documents are near copies, in percent.
 NEAR_PERCENT = 80
+#: Characters from which lines match within one edit, whatever their words.
+NEAR_CHARS = 20
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def repeated_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line stands for are cut; every document stays."""
-    return _recounted(linededup.dedup(docs))
+    return _recounted(linededup.dedup(docs, near_chars=NEAR_CHARS))
 
 
 def near_copies_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,16 @@ def test_line_dedup_edge_cases(spark):
     assert [r["text"] for r in twice.collect()] == [same, same]  # rows equal in id and text are one document
 
 
+def test_the_pipeline_drops_short_repeats_and_near_lines_without_blanks(spark):
+    import corpus_pipeline
+
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(30))
+    near = han[:9] + "X" + han[10:]
+    rows = [(1, f"All rights reserved.\n{han}\n\ntwo words"), (2, f"All rights reserved.\n{near}\n\ntwo word\na b c d e"), (3, "two words \na b c d f\nAll rights reserved!")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_lines_go(spark, frame(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "\ntwo word\na b c d e", 3: ""}
+
+
 # --- near duplicates -----------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 A line (trimmed, ``MIN_WORDS`` words at least) is dropped where an earlier line, by (doc_id,
 position), equals it or is within one edit (insert, delete or change of a character); the
-earliest stays. Equal lines are one distinct line, by 128 bits of hash and the length.
+earliest stays. Equal lines are one distinct line, by 128 bits of hash and the length. With
+``near_chars``, repeats of every non-blank line are dropped, and the one-edit match takes lines of
+``MIN_WORDS`` words or of ``near_chars`` characters, so that scripts without blanks count too.
 
 Within one edit means: the lines share the variant that leaves the edited character out, at the
 same place (change), or one is a deletion variant of the other (insert, delete). Variants are
@@ -15,7 +17,7 @@ second half of the line, then without one of about sqrt(n / 32) segments, then w
 segment's parts of about 32 characters. Only lines whose key another line shares go on, and
 variants leave out characters of the shared segment alone. This loses no pair.
 
-Defined results: null text stays null (0 lines); blank and short lines stay; a text without lines
+Defined results: null text stays null (0 lines); blank lines stay, short ones too without ``near_chars``; a text without lines
 to drop comes back unchanged; rows equal in doc_id and text are one document; null ids come
 before all others; other columns are left alone, whatever their names; very long lines are
 treated as any other.
@@ -42,13 +44,17 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("t", F.xxhash64(text))
 
 
+def worded(line: str, words: int) -> Column:
+    return F.col(line).rlike(rf"^(\S+\s+){{{words - 1}}}\S") if words > 1 else F.length(line) > 0
+
+
 def lines_of(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """d, t, pos, line, h1, h2, len of each line that counts."""
     t = f"`{text_col}`"
     rows = docs.select("doc_id", F.col(t).alias("x")).where("x is not null")
     rows = keyed(rows, "x").select("d", "t", F.posexplode(F.split("x", "\n", -1)).alias("pos", "raw"))
     rows = rows.select("d", "t", "pos", F.btrim("raw", F.lit(BLANKS)).alias("line"))
-    rows = rows.where(F.col("line").rlike(rf"^(\S+\s+){{{min_words - 1}}}\S") if min_words > 1 else F.length("line") > 0)
+    rows = rows.where(worded("line", min_words))
     return rows.select(*AT, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").alias("len"))
 
 
@@ -112,13 +118,16 @@ def neighbours(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     return ok.groupBy(*LINE).agg(F.min("near").alias("near"))
 
 
-def dropped(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1) -> DataFrame:
+def dropped(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, near_chars: int | None = None) -> DataFrame:
     """d, t, pos of the lines that an earlier line stands for."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = lines_of(docs, text_col=text_col, min_words=min_words)
+    lines = lines_of(docs, text_col=text_col, min_words=min_words if near_chars is None else 1)
+    halves = F.array(*half_keys("line", "len"))
+    if near_chars is not None:
+        halves = F.when(worded("line", min_words) | (F.col("len") >= near_chars), halves)
     keys = LINE + (["halves"] if max_edits else [])
-    rows = lines.select(*AT, *LINE, *([F.array(*half_keys("line", "len")).alias("halves")] if max_edits else []))
+    rows = lines.select(*AT, *LINE, *([halves.alias("halves")] if max_edits else []))
     distinct = materialise(rows.groupBy(*keys).agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("copies")), "distinct-lines")
     known = distinct.where("copies > 1").select(*LINE, F.col("first").alias("e"))
     if max_edits:
@@ -127,10 +136,10 @@ def dropped(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WOR
     return lines.select(*AT, *LINE).join(known, LINE).where(F.struct(*AT) > F.col("e")).select(*AT)
 
 
-def dedup(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, count_cols: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS, max_edits: int = 1, near_chars: int | None = None, count_cols: bool = False) -> DataFrame:
     """``docs`` with the dropped lines cut from ``text_col``; ``count_cols`` adds n_lines and n_removed."""
     t = F.col(f"`{text_col}`")
-    gone = dropped(docs, text_col=text_col, min_words=min_words, max_edits=max_edits)
+    gone = dropped(docs, text_col=text_col, min_words=min_words, max_edits=max_edits, near_chars=near_chars)
     words = gone.groupBy("d", "t", F.expr("cast(pos div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
     masks = words.groupBy("d", "t").agg(F.collect_list(F.struct("w", "mask")).alias("ms"), F.sum(F.bit_count("mask")).alias("n_gone"))
     dense = F.expr("transform(sequence(0, array_max(transform(ms, m -> m.w))), i -> coalesce(get(filter(ms, m -> m.w = i), 0).mask, 0L))")

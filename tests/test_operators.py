@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import model as M
 from tidewatch.operators import calibrate, ledger, metrics, models, rollup
+from tidewatch.plans import chains
 from tidewatch.streaming import online
 
 SIGN = ledger.keyed_mac(b"k")
@@ -71,6 +73,27 @@ def test_chains_verify_and_show_the_first_break(spark):
     assert broken(spark, ledger.tamper(r, "delete", F.col("principal") == "p"), heads)["p"] == 0
 
 
+def test_a_forged_last_record_shows_by_its_signature(spark):
+    r = ledger.chained(decisions(spark), SIGN).cache()
+    heads = r.groupBy("principal").agg(F.max("seq").alias("head_seq"))
+    last = (F.col("principal") == "p") & (F.col("seq") == 5)
+    bad = ledger.bad_signature(SIGN)
+    assert broken(spark, r, heads, bad) == {"p": -1, "q": -1}
+    for kind in ("modify", "backdate"):
+        assert broken(spark, ledger.tamper(r, kind, last), heads)["p"] == -1
+        assert broken(spark, ledger.tamper(r, kind, last), heads, bad) == {"p": 4, "q": -1}
+    assert broken(spark, r.withColumn("sig", F.when(last, None).otherwise(F.col("sig"))), heads, bad)["p"] == 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_tamper_simulation_finds_every_victim_wherever_it_is(spark):
+    got = chains.tamper_simulation(spark, "/root/testdata/sf0.001").withColumn("hit", F.pmod(F.xxhash64("principal"), F.lit(3)) == 0).cache()
+    assert got.where("hit = intact").count() == 0 and got.where("hit").count() > 0
+    modified = got.where("hit and kind = 'modify'")
+    assert modified.where("first_discontinuity <> 1").count() > 0
+    assert chains.chain_build_verified(spark, "/root/testdata/sf0.001").where("not intact").count() == 0
+
+
 def test_admission_reasons(spark):
     r = ledger.chained(decisions(spark, 3, ("p",)), SIGN).collect()
     rows = [x.asDict() for x in r]

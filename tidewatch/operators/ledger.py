@@ -59,9 +59,24 @@ def feature_digest(features: Column, salt: Column) -> Column:
     return digest(features, salt)
 
 
+def signed_fields() -> Column:
+    return F.struct(*[F.col(c) for c in ("recId", "prevHash", "seq", "ts", "principal", "action", "resource", "r", "r_eff", "verdict", "h_feat")])
+
+
+def bad_signature(sign: Sign) -> Column:
+    """Whether a record's sig is not what ``sign`` gives over its canonical bytes."""
+
+    @F.pandas_udf("boolean")
+    def bad(rows: pd.DataFrame, sig: pd.Series) -> pd.Series:
+        records = rows.astype(object).where(rows.notna(), None).to_dict("records")
+        return pd.Series([s != sign(canonical(r)) for r, s in zip(records, sig, strict=True)], dtype=bool)
+
+    return bad(signed_fields(), F.col("sig"))
+
+
 def with_hash(records: DataFrame) -> DataFrame:
     """Adds hash: sha256 of canonical bytes and sig."""
-    fields = F.struct(*[F.col(c) for c in ("recId", "prevHash", "seq", "ts", "principal", "action", "resource", "r", "r_eff", "verdict", "h_feat")])
+    fields = signed_fields()
     return records.withColumn("hash", F.sha2(F.concat(canonical_text(fields), F.coalesce("sig", F.lit(""))), 256))
 
 

@@ -86,7 +86,7 @@ def chain_build(spark, d):
 
 @query()
 def chain_build_verified(spark, d):
-    return ledger.verify(ledger.with_hash(ledger.chained(decisions(spark, d), SIGN)))
+    return ledger.verify(ledger.with_hash(ledger.chained(decisions(spark, d), SIGN)), bad_signature=ledger.bad_signature(SIGN))
 
 
 @query()
@@ -99,13 +99,15 @@ def ledger_admission(spark, d):
 
 @query()
 def tamper_simulation(spark, d):
+    """A third of the chains have one record tampered with, at a place by hash: any, the last included."""
     r = ledger.chained(decisions(spark, d), SIGN)
     heads = r.groupBy("principal").agg(F.max("seq").alias("head_seq"))
-    hit = (F.pmod(F.xxhash64("principal"), F.lit(3)) == 0) & (F.col("seq") == 2)
+    length = F.max("seq").over(Window.partitionBy("principal"))
+    r = r.withColumn("_place", F.pmod(F.xxhash64("principal", F.lit("place")), length) + 1)
+    hit = (F.pmod(F.xxhash64("principal"), F.lit(3)) == 0) & (F.col("seq") == F.col("_place"))
     out = None
     for kind in ("delete", "modify", "backdate", "fabricate"):
-        bad = F.col("sig").isNull()
-        v = ledger.verify(ledger.with_hash(ledger.tamper(r, kind, hit)), heads, bad).withColumn("kind", F.lit(kind))
+        v = ledger.verify(ledger.with_hash(ledger.tamper(r, kind, hit)), heads, ledger.bad_signature(SIGN)).withColumn("kind", F.lit(kind))
         out = v if out is None else out.unionByName(v)
     return out
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import model as M
 from tidewatch.operators import calibrate, ledger, metrics, models, rollup
-from tidewatch.plans import chains
+from tidewatch.plans import chains, modelled
 from tidewatch.streaming import online
 
 SIGN = ledger.keyed_mac(b"k")
@@ -145,6 +145,17 @@ def test_models_rank_outliers():
     assert a.score(far)[0] > np.median(a.score(x))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_ablation_has_all_variants_and_retrains_two(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(models, "fit_autoencoder", lambda x, *a, keep=models.fit_autoencoder, **k: fitted.append(x) or keep(x, epochs=2))
+    got = {r["variant"] for r in modelled.ablation_variants(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"full", "no_forest", "no_autoencoder", "alpha_0.4", "alpha_0.8", "no_sensitivity", "global_frequency", "no_volume"}
+    assert [x.shape[1] for x in fitted] == [33, 33, 27]
+    at = modelled.COLUMNS.index("action_frequency")
+    assert len(set(fitted[1][:, at])) <= len(M.ACTIONS) < len(set(fitted[0][:, at]))
+
+
 def test_a_denied_request_does_not_enter_the_state():
     import pandas as pd
 

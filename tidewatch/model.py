@@ -37,6 +37,7 @@ CONTINUOUS = (
     "role_tenure_days", "policy_breadth", "cross_account_depth", "log_inter_request_gap", "log_action_history", "arn_prefix_depth", "calls_1min", "calls_15min",
     "calls_60min", "log_bytes_read_60min", "distinct_resources_60min", "distinct_actions_60min", "geodesic_distance_km", "log_mfa_age",
 )
+VOLUME = ("calls_1min", "calls_15min", "calls_60min", "log_bytes_read_60min", "distinct_resources_60min", "distinct_actions_60min")
 DAY_FLAGS = ("is_egress_action", "is_session_action", "first_time_action", "first_time_resource", "host_novelty")
 
 # Actions, sensitivities, decay, trust and calibration constants.

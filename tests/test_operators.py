@@ -156,6 +156,29 @@ def test_ablation_has_all_variants_and_retrains_two(spark, monkeypatch):
     assert len(set(fitted[1][:, at])) <= len(M.ACTIONS) < len(set(fitted[0][:, at]))
 
 
+def test_fitted_queries_use_the_operators_defaults(monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def stop(*args, **params):
+        assert args[0] != 20_000
+        raise Stop((len(args), params))
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    monkeypatch.setattr(modelled, "splits", lambda spark, d: Rows())
+    monkeypatch.setattr(models, "sample", lambda rows, columns, key, limit=models.SAMPLE_ROWS: limit)
+    monkeypatch.setattr(models, "fit_forest", lambda x: None)
+    monkeypatch.setattr(models, "supervised", stop)
+    monkeypatch.setattr(models, "fit_autoencoder", stop)
+    for query, n in ((modelled.forest_risk, 5), (modelled.autoencoder_score, 1), (modelled.engine_risk, 1), (modelled.ablation_variants, 1)):
+        with pytest.raises(Stop) as e:
+            query(None, "")
+        assert e.value.args[0] == (n, {})
+
+
 def test_a_denied_request_does_not_enter_the_state():
     import pandas as pd
 

@@ -162,6 +162,18 @@ def test_blocks_join_without_a_seam():
     assert (media.mel_frames(x) == media.all_frames(x)).all()
 
 
+def test_frames_hold_the_tail():
+    one, two = (("ab c" * 96)[:-40] + tail for tail in ("x" * 40, "A~" * 20))
+    a, b = (media.all_frames(np.frombuffer(media.payload_of(t), np.uint8)) for t in (one, two))
+    assert len(one) == 384 and len(a) == 2 and media.feature(a) != media.feature(b)
+    rng = np.random.default_rng(1)
+    for units in (1, 2, 5, 8, 9):
+        x = rng.integers(0, 256, media.BLOCK // media.UNIT * media.UNIT + units * media.UNIT).astype(np.uint8)
+        whole = media.mel_frames(x)
+        assert (len(whole) - 1) * media.HOP + media.WINDOW >= len(x) * media.UP // media.DOWN
+        assert (whole == media.all_frames(x)).all()
+
+
 def test_hysteresis_segments():
     frames = np.zeros((10, 2), np.float32)
     frames[3:6] = 1.0

@@ -105,11 +105,15 @@ def window() -> np.ndarray:
     return np.hanning(WINDOW).astype(np.float32)
 
 
+def frame_count(n: int) -> int:
+    """Frames that hold all of ``n`` resampled samples, the last filled with zeros."""
+    return max(0, -(-(n - WINDOW) // HOP)) + 1
+
+
 def mel_frames(samples: np.ndarray, skip: int = 0) -> np.ndarray:
     """frames x BANDS log-mel energies (float32) of 8-bit samples; ``skip``: samples of context before them."""
     x = resample((samples.astype(np.float32) - np.float32(128)) / np.float32(128))[skip * UP // DOWN :]
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.zeros(WINDOW - len(x), np.float32)])
+    x = np.concatenate([x, np.zeros(WINDOW + (frame_count(len(x)) - 1) * HOP - len(x), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     spectrum = np.fft.rfft(frames * window(), axis=1)
     power = spectrum.real**2 + spectrum.imag**2
@@ -123,7 +127,7 @@ def all_frames(samples: np.ndarray) -> np.ndarray:
         return mel_frames(samples)
     step = BLOCK // (HOP * DOWN) * HOP * DOWN
     per = step * UP // DOWN // HOP
-    total = (len(samples) * UP // DOWN - WINDOW) // HOP + 1
+    total = frame_count(len(samples) * UP // DOWN)
     out = []
     for k, lo in enumerate(range(0, len(samples), step)):
         left = min(total - k * per, per)

@@ -61,6 +61,28 @@ def test_redaction_keeps_rows_columns_and_clean_texts(spark):
     assert secrets.digest(secrets.scan(frame(spark, []))).count() == 0
 
 
+def test_redaction_masks_whole_private_keys(spark):
+    body = "\n".join(["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *["MIIEpAIBAAKCAQEA+/x=" * 3] * 400])
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    head = "-----BEGIN PRIVATE KEY-----"
+    rows = [(1, f"a {key} b {key}"), (2, f"{head} alone - {'x-' * 100000}"), (3, f"{head} cut {key}"), (4, f"a {head}\nq\n-----END CERTIFICATE----- b")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, rows)).collect()}
+    assert got == {1: "a [SECRET] b [SECRET]", 2: f"[SECRET] alone - {'x-' * 100000}", 3: "[SECRET] cut [SECRET]", 4: "a [SECRET]\nq\n-----END CERTIFICATE----- b"}
+
+
+def test_every_match_holds_its_rule_s_parts():
+    run = "abcdefgh0123" * 4
+    samples = {
+        "assign": [f"{w}='{run}'" for k in ("password", "passwd", "secret", "token", "api_key", "apikey") for w in (k, k.upper(), k.title())],
+        "access": ["AKIA" + "A1" * 8], "hex": ["0a" * 16], "pem": [f"-----BEGIN {k}PRIVATE KEY-----" for k in ("", "RSA ", "EC ", "OPENSSH ")],
+        "github": [f"gh{c}_{run}" for c in "pousr"], "slack": [f"xox{c}-{run}" for c in "abprs"], "jwt": [f"eyJ{run}.eyJ{run}.{run}"],
+    }
+    assert samples.keys() == {r.kind for r in secrets.RULES}
+    for r in (*secrets.RULES, *secrets.REDACTED):
+        for t in samples[r.kind]:
+            assert re.search(r.pattern, t) and all(any(x in t.lower() for x in part) for part in r.parts), t
+
+
 # --- line dedup ----------------------------------------------------------------------------
 
 

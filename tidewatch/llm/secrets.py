@@ -1,8 +1,8 @@
 """Secret scans through a trigram index, in DataFrame functions only.
 
-Each rule's regex gives a Boolean trigram query in conjunctive form: an AND over the literal
-parts that every match holds, each part an OR over its spellings, each spelling an AND over its
-trigrams. The index keeps, per document, which of the trigrams that any rule asks for occur in
+Each rule has a Boolean trigram query in conjunctive form: an AND over the literal parts that
+every match holds, each part an OR over its spellings, each spelling an AND over its trigrams. The
+parts are written by hand beside the regex, not derived from it; a test holds one to the other. The index keeps, per document, which of the trigrams that any rule asks for occur in
 it: posting lists as columns of bits, so that intersecting postings is a bitwise AND within the
 row and nothing is shuffled. Only candidates of a rule are searched with its regex; rules with no
 mandatory trigram search every document.
@@ -16,7 +16,7 @@ their names; repeated rows give repeated results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +54,10 @@ ADDED = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, (("eyj",), (".eyj",))),
 )
 RULES = BASE + ADDED
+#: A private key from its BEGIN to its END line; the BEGIN line alone where no END follows before another mark.
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,24}PRIVATE KEY-----)?"
+#: What redaction masks: the rules, with whole private keys.
+REDACTED = tuple(replace(r, pattern=KEY_BLOCK) if r.kind == "pem" else r for r in RULES)
 
 
 def trigrams(literal: str) -> tuple[str, ...]:
@@ -125,7 +129,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = R
     return df.withColumn(out, F.array_sort(F.concat(*[F.coalesce(x, none) for x in found]))).drop("__scan_text", "__scan_bits")
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """Same columns and rows; each secret in ``text_col`` is replaced by ``mark``. Null stays null."""
     df = scan(docs, text_col=text_col, rules=rules, out="__spans")
     t = f"`{text_col}`"

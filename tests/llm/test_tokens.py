@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewatch.llm import media, packing, pieces, tokencount
+from tidewatch.llm import common, media, packing, pieces, tokencount
 from tidewatch.llm.common import tokenizer_path
 
 ALPHABET = list("aAbZ 'sStm\t\n\x1c\x85\xa0éÉΣς1٣<|>_-.,​ﬁ漢😀") + ["́", "<|endoftext|>", "<|startoftext|>", "'re", "'LL", "  ", "the ", "ing"]
@@ -29,13 +29,13 @@ def libraries():
 
 
 def test_ids_are_the_library_s(libraries):
-    ids = packing.word_ids(tokenizer_path(packing.TOKENIZER))
+    ids = packing.WordIds(tokenizer_path(packing.TOKENIZER))
     for t in texts(3000, 16, 1) + ["word " * 300_000]:
         assert np.frombuffer(ids.encode(t), "<u4").tolist() == libraries[0].encode(t, add_special_tokens=False).ids
 
 
 def test_counts_are_the_library_s_at_every_prefix(libraries):
-    c = tokencount.counter(tokenizer_path(tokencount.TOKENIZER))
+    c = tokencount.Counter(tokenizer_path(tokencount.TOKENIZER))
     for t in texts(3000, 16, 2) + ["aé" * 3000, "word  " * 250_000]:
         assert c.count(t) == len(libraries[1].encode(t, add_special_tokens=False).ids)
     for t in texts(300, 14, 3):
@@ -45,7 +45,7 @@ def test_counts_are_the_library_s_at_every_prefix(libraries):
 
 
 def test_budgets(libraries):
-    c = tokencount.counter(tokenizer_path(tokencount.TOKENIZER))
+    c = tokencount.Counter(tokenizer_path(tokencount.TOKENIZER))
     text = "some words, and more of them: 12345 " * 30
     table = c.table(text)
     cut = table.longest_within(40)
@@ -53,8 +53,55 @@ def test_budgets(libraries):
     assert table.longest_within(10**6) == len(text)
 
 
+def test_the_longest_prefix_within_a_budget_against_all_prefixes(libraries):
+    c = tokencount.Counter(tokenizer_path(tokencount.TOKENIZER))
+    runs = ["\n" * 200 + "x", "a" * 300 + " b", "'" * 160 + "s x", " \n\n  it's 're  \t x"]
+    for t in texts(150, 14, 11) + runs:
+        every = [len(libraries[1].encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+        for budget in {0, 1, 2, 5, every[-1] // 2, every[-1]}:
+            assert c.measured(t, budget) == (every[-1], max(i for i, n in enumerate(every) if n <= budget)), (t, budget)
+
+
+def test_a_budget_in_a_text_of_many_parts(monkeypatch):
+    c = tokencount.Counter(tokenizer_path(tokencount.TOKENIZER))
+    text = "several words of text, no more than 12 of them " * 400
+    want = c.measured(text, 3000)
+    monkeypatch.setattr(tokencount, "PART_CHARS", 500)
+    assert len(list(tokencount.parts(text))) > 20 and c.measured(text, 3000) == want
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        tokencount.settings(tokenizer_path(packing.TOKENIZER))
+    assert tokencount.settings(tokenizer_path(tokencount.TOKENIZER)) == (tokencount.BYTE_LEVEL, ["<|endoftext|>"])
+
+
+def test_learned_entries_stay_within_their_bytes(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(common, "LEARNED_BYTES", 4 << 20)
+    random.seed(3)
+    for model in (packing.WordIds(tokenizer_path(packing.TOKENIZER)), tokencount.Counter(tokenizer_path(tokencount.TOKENIZER)), pieces.Pieces(tokenizer_path(pieces.MODEL))):
+        tracemalloc.start()
+        most = 0
+        for _ in range(12):
+            model.learn({"".join(random.choices("abcdefgh", k=9)) for _ in range(4000)})
+            most = max(most, tracemalloc.get_traced_memory()[0])
+        tracemalloc.stop()
+        assert 1 << 20 < most < 3 * (4 << 20)  # the bound, and the chunk that passed it
+        model.forget()
+
+
+def test_a_worker_holds_one_model_and_forgets_at_the_end():
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of text"])], ["doc_id", "text"])
+    list(packing.pieces_of(iter([batch]), tokenizer_path(packing.TOKENIZER), 2048, 0, False))
+    assert [k[0] for k in common._held] == ["words"] and not next(iter(common._held.values())).words.known
+    list(tokencount.counted(iter([batch]), tokenizer_path(tokencount.TOKENIZER), 512))
+    assert [k[0] for k in common._held] == ["counts"] and not next(iter(common._held.values())).known
+
+
 def test_pieces_are_the_library_s(libraries):
-    p = pieces.pieces(tokenizer_path(pieces.MODEL))
+    p = pieces.Pieces(tokenizer_path(pieces.MODEL))
     sample = texts(1500, 24, 4) + ["▁▁ a▁b", "<s></s><0x41>", "word  " * 1000]
     p.learn({w for t in sample for part in p.marked(t) for w in pieces._chunks(part)})
     for t in sample:
@@ -141,6 +188,7 @@ def test_count_frames(spark):
     assert got == [(-1, 2, True, False), (1, 5000, True, True), (2, 0, False, False), (2, 0, False, False)]
     cut = {r["doc_id"]: r["text"] for r in tokencount.truncated(spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string"), 2).collect()}
     assert cut == {1: "one two", 2: None}
+    assert tokencount.token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 # --- media ---------------------------------------------------------------------------------

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; bounds the temporaries of a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes that a worker's learned entries (words and their ids) may hold before it starts anew, about.
+LEARNED_BYTES = 32 << 20
+#: Of an entry, beside its characters: two objects' frames and a place in the table.
+ENTRY_BYTES = 150
 #: Stands for a null id inside joins and groupings.
 NULL_ID = -(2**63)
 
@@ -36,18 +42,71 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Learned:
+    """What an operator's model has looked up so far, by key, within ``LEARNED_BYTES``."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, object] = {}
+        self.bytes = 0
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.bytes = 0
+
+    def room(self) -> None:
+        """Start anew where the entries have outgrown their bytes; call before a chunk is learned."""
+        if self.bytes > LEARNED_BYTES:
+            self.forget()
+
+    def keep(self, keys: list[str], values: list[object], value_bytes: int = 0) -> None:
+        """Add entries; ``value_bytes``: what the values hold beyond an object's frame."""
+        self.known.update(zip(keys, values, strict=True))
+        self.bytes += ENTRY_BYTES * len(keys) + 2 * sum(map(len, keys)) + value_bytes
+
+
+_held: dict[tuple, object] = {}
+
+
+def release() -> None:
+    """Give freed memory back to the machine: an idle worker keeps what its allocators hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@contextmanager
+def held(key: tuple, make: Callable[[], object]) -> Iterator[object]:
+    """The model ``key`` of this worker while one iterator runs.
+
+    A worker holds one model: another operator's goes before this one is made. What a model has
+    learned goes when the iterator ends, so that workers that wait hold no more than a model.
+    """
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = make()
+    model = _held[key]
+    try:
+        yield model
+    finally:
+        if hasattr(model, "forget"):
+            model.forget()
+        release()
+
+
 def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` bytes of text each (one row at least)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column))
         ends = np.frombuffer(col.buffers()[1], np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + n + 1].astype(np.int64)
         lo = 0
         while lo < n:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import buffer_of, chunks, materialise, mix64, table
+from tidewatch.llm.common import CHUNK_BYTES, buffer_of, chunks, materialise, mix64, table
 
 WORDS = 5
 #: Similarity of a link, in percent, where the caller gives none.
@@ -52,10 +52,18 @@ BASE = 0x9E3779B97F4A7C15
 FULL = np.uint64(2**64 - 1)
 
 
-@lru_cache(maxsize=2)
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = (1 << bits) + 1
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 2**64), np.uint64)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i up to ``n``; only a chunk's worth is kept."""
+    return _powers(n) if n > CHUNK_BYTES else tuple(x[: n + 1] for x in _chunk_powers())
+
+
+@lru_cache(maxsize=1)
+def _chunk_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK_BYTES)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 2**64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -73,7 +81,7 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop = inside.copy()
     stop[:-1] &= ~inside[1:] | edge[1:n]
     first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = powers(max(16, int(n).bit_length()))
+    up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[data] * down[:n], out=sums[1:])
     h = mix64((sums[last] - sums[first]) * up[first] + (last - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))

@@ -18,6 +18,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.llm.bpe import byte_level
-from tidewatch.llm.common import chunks, materialise, table, tokenizer_path
+from tidewatch.llm.common import Learned, chunks, held, materialise, table, tokenizer_path
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers before it starts anew: as written, and as lower-case letters.
-CACHE_WORDS, CACHE_CORES = 300_000, 800_000
 #: Marks that may follow a word's letters; a run of them is one split of the tokenizer.
 TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Texts are split into words in parts of so many characters.
@@ -49,7 +48,7 @@ BYTE_CHARS = {b: c for c, b in byte_level().items()}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
+class WordIds:
     """Chunk between white space -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and nothing it does looks across it, so a text's ids are its
@@ -57,12 +56,15 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[str, bytes] = {}
+        self.words, self.cores = Learned(), Learned()
+
+    def forget(self) -> None:
+        self.words.forget()
+        self.cores.forget()
 
     def learn(self, words: set[str]) -> None:
         """Remember the words; letters with marks behind them are looked up as letters and marks.
@@ -70,14 +72,12 @@ class WordIds(dict):
         The tokenizer lower-cases letter by letter and splits a run of letters from a run of
         marks, so such a word's ids are those of its parts; every other word is encoded whole.
         """
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
+        self.words.room()
+        self.cores.room()
         split_up, whole, new = [], [], set()
-        cores = self.cores
+        known, cores = self.words.known, self.cores.known
         for w in words:
-            if w in self:
+            if w in known:
                 continue
             core = w.rstrip(TAIL)
             if core.isalpha() and "<" not in w and (w.isascii() or ("\u03a3" not in w and unicodedata.is_normalized("NFC", core))):
@@ -90,27 +90,31 @@ class WordIds(dict):
                         new.add(tail)
                     continue
             whole.append(w)
-        tokenize = self.tokenizer.model.tokenize
-        for core in new:
-            mapped = core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_CHARS)
-            cores[core] = np.array([t.id for t in tokenize(mapped)], "<u4").tobytes()
-        for w, core, tail in split_up:
-            self[w] = cores[core] + cores[tail] if tail else cores[core]
+        tokenize, fresh = self.tokenizer.model.tokenize, list(new)
+        mapped = [x if x.isascii() else x.encode().decode("latin-1").translate(BYTE_CHARS) for x in fresh]
+        self._keep(self.cores, fresh, [array("I", [t.id for t in tokenize(x)]).tobytes() for x in mapped])
+        self._keep(self.words, [x[0] for x in split_up], [cores[core] + cores[tail] if tail else cores[core] for _, core, tail in split_up])
         for lo in range(0, len(whole), 20_000):
             part = whole[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+            self._keep(self.words, part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)])
+
+    @staticmethod
+    def _keep(where: Learned, keys: list[str], ids: list[bytes]) -> None:
+        where.keep(keys, ids, sum(map(len, ids)))
 
-    def encode(self, text: str) -> bytes:
-        out = []
-        for part in parts(text):
-            words = split(part)
-            try:
-                out.append(b"".join(map(self.__getitem__, words)))
-            except KeyError:
-                self.learn(set(words))
-                out.append(b"".join(map(self.__getitem__, words)))
-        return b"".join(out) if len(out) != 1 else out[0]
+    def joined(self, words: list[str]) -> bytes:
+        get = self.words.known.__getitem__
+        try:
+            return b"".join(map(get, words))
+        except KeyError:
+            self.learn(set(words))
+            return b"".join(map(get, words))
+
+    def encode(self, text: str, words: list[str] | None = None) -> bytes:
+        """The text's ids; ``words``: its split, where it is at hand."""
+        if words is not None:
+            return self.joined(words)
+        return b"".join(self.joined(split(part)) for part in parts(text))
 
 
 def parts(text: str) -> Iterator[str]:
@@ -131,27 +135,20 @@ def split(text: str) -> list[str]:
     return text.split()
 
 
-_caches: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    if path not in _caches:
-        _caches[path] = WordIds(path)
-    return _caches[path]
+def pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    with held(("words", path), lambda: WordIds(path)) as cache:
+        yield from _pieces_of(batches, cache, capacity, end_id, with_ids)
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    cache, end = word_ids(path), np.asarray([end_id], "<u4").tobytes()
+def _pieces_of(batches: Iterator[pa.RecordBatch], cache: WordIds, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    end = np.asarray([end_id], "<u4").tobytes()
     for batch in chunks(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        known: set[str] = set()
-        for t in texts:
-            if t and len(t) <= PART_CHARS:
-                known.update(split(t))
-        cache.learn(known)
+        lists = [split(t) if t and len(t) <= PART_CHARS else None for t in texts]
+        cache.learn(set().union(*filter(None, lists)))
         rows: list[tuple] = []
-        for d, t in zip(ids, texts, strict=True):
-            data = (cache.encode(t) if t else b"") + end
+        for d, t, words in zip(ids, texts, lists, strict=True):
+            data = (cache.encode(t, words) if t else b"") + end
             for k, lo in enumerate(range(0, len(data), 4 * capacity)):
                 cut = data[lo : lo + 4 * capacity]
                 rows.append((d, k, lo // 4, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<u4").astype(np.int64) if with_ids else None))

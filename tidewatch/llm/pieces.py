@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import Model
-from tidewatch.llm.common import chunks, table, tokenizer_path
+from tidewatch.llm.common import Learned, chunks, held, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Chunks that a worker remembers before it starts anew; characters indexed at once.
-CACHE_CHUNKS, INDEX_CHARS = 600_000, 1 << 20
+#: Characters indexed at once.
+INDEX_CHARS = 1 << 20
 #: Longer texts are encoded in parts of about so many characters, cut before a space.
 PART_CHARS = 1 << 20
 
@@ -60,10 +60,11 @@ def suffix_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
         width *= 2
 
 
-class Pieces:
+class Pieces(Learned):
     """A piece vocabulary with its exact encoder and decoder."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -114,7 +115,6 @@ class Pieces:
         self.model.rank = np.append(self.model.rank, -1)
         self.model.left, self.model.right = np.append(self.model.left, size), np.append(self.model.right, size)
         self.model.lengths = np.append(self.model.lengths, 1)
-        self.cache: dict[str, bytes] = {}
 
     @staticmethod
     def _merge(ids: list[int], pairs: dict, rank: np.ndarray) -> tuple[int, int, int] | None:
@@ -172,9 +172,8 @@ class Pieces:
         return start[by], start[by] + size[by], token[by]
 
     def learn(self, words: set[str]) -> None:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
+        self.room()
+        new = [w for w in words if w not in self.known]
         lo = 0
         while lo < len(new):
             hi, size = lo, 0
@@ -192,10 +191,10 @@ class Pieces:
         ids, many = self.model.tokens(last, starts, ends)
         stop = np.cumsum(many)
         foreign = set(np.searchsorted(stop, np.flatnonzero(ids == self.unknown), side="right").tolist())
-        data = ids.astype("<u4").tobytes()
+        data, found = ids.astype("<u4").tobytes(), []
         for i, (w, z, m) in enumerate(zip(words, stop.tolist(), many.tolist(), strict=True)):
             if i not in foreign:
-                self.cache[w] = data[4 * (z - m) : 4 * z]
+                found.append(data[4 * (z - m) : 4 * z])
                 continue
             out, at = [], 0
             for t in ids[z - m : z].tolist():
@@ -205,7 +204,8 @@ class Pieces:
                 else:
                     out.append(t)
                     at += len(self.pieces[t])
-            self.cache[w] = np.array(out, "<u4").tobytes()
+            found.append(np.array(out, "<u4").tobytes())
+        self.keep(words, found, len(data))
 
     def marked(self, text: str) -> Iterator[str]:
         """The text with word marks for spaces, in parts cut before a mark."""
@@ -229,10 +229,10 @@ class Pieces:
         for part in self.marked(text):
             words = _chunks(part)
             try:
-                out.append(b"".join(map(self.cache.__getitem__, words)))
+                out.append(b"".join(map(self.known.__getitem__, words)))
             except KeyError:
                 self.learn(set(words))
-                out.append(b"".join(map(self.cache.__getitem__, words)))
+                out.append(b"".join(map(self.known.__getitem__, words)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -253,17 +253,12 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-_models: dict[str, Pieces] = {}
-
-
-def pieces(path: str) -> Pieces:
-    if path not in _models:
-        _models[path] = Pieces(path)
-    return _models[path]
+def encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    with held(("pieces", path), lambda: Pieces(path)) as p:
+        yield from _encoded(batches, p, with_ids)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    p = pieces(path)
+def _encoded(batches: Iterator[pa.RecordBatch], p: Pieces, with_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         texts = [t or "" for t in batch.column(1).to_pylist()]
         known: set[str] = set()
@@ -295,10 +290,10 @@ def decode(rows: DataFrame, *, model: str = MODEL) -> DataFrame:
     path = tokenizer_path(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(path)
-        for batch in batches:
-            out = [None if i is None else p.decode(np.asarray(i, "<u4").tobytes()) for i in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        with held(("pieces", path), lambda: Pieces(path)) as p:
+            for batch in batches:
+                out = [None if i is None else p.decode(np.asarray(i, "<u4").tobytes()) for i in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 

@@ -57,6 +57,61 @@ def test_folding_and_exceptions():
     assert s("a cl0wn") == 2 and s("Clown Fish!") == 0 and s("scummy") == 0 and s("scum clowns clown fish") == 3 and s("") == 0
 
 
+def test_look_alikes_fold_to_plain_letters():
+    for text in ("𝐢𝐝𝐢𝐨𝐭", "ｉｄｉｏｔ", "ᎥᎠᎥօt", "1d\u200b10t", "İDIOT", "id̈iot"):
+        assert toxicity.fold(text) == " idiot ", text
+
+
+def test_accents_hide_no_term_and_tell_words_apart():
+    a = toxicity.automaton(((" idiot", 2.0), (" réeux", 1.0)), ("idiot proof",))
+    s = lambda t: toxicity.weight_sum(a, toxicity.unmasked(a, toxicity.fold(t)))
+    assert s("un ídiôt réeuxle") == 3 and s("reeux") == 0 and s("ídiot proof") == 0 and s("idiöts") == 2 and s("éé ñ") == 0
+
+
+def test_weight_sum_against_brute_force():
+    random.seed(4)
+    terms = {" ab": 1.0, " abc": 2.0, " b ": 0.5, " abcd ": 3.0, " c": 0.25}
+    phrases = ("ab b", "abc c ab", "c")
+    a = toxicity.automaton(tuple(sorted(terms.items())), phrases)
+    for _ in range(400):
+        folded = toxicity.fold("".join(random.choice(["ab", "abc", "abcd", "b", "c", " ", " ", "x"]) for _ in range(random.randint(0, 30))))
+        excused = [(i, i + len(p) + 1) for p in phrases for i in range(len(folded)) if folded.startswith(f" {p}", i)]
+        best = {}
+        for t, w in terms.items():
+            for i in range(len(folded)):
+                if folded.startswith(t, i) and not any(lo <= i and i + len(t) <= hi + 1 for lo, hi in excused):
+                    best[i] = max(best.get(i, 0), w)
+        assert toxicity.weight_sum(a, folded) == sum(best.values()), folded
+
+
+def test_scoring_time_grows_with_the_text():
+    import time
+
+    a = toxicity.automaton(tuple((f" {w} ", v) for w, v in sorted(toxicity.DEFAULT_LEXICON.items())), toxicity.EXCEPTIONS)
+    text = "trash can scum " * 70_000
+    began = time.process_time()
+    assert toxicity.weight_sum(a, toxicity.fold(text)) == 2.5 * 70_000
+    assert time.process_time() - began < 2
+
+
+def test_copies_are_not_evidence(spark):
+    docs, labels, truth = corpus(spark, 300)
+    copies = [(1000 + i, "zorble passage of a clean text", "en") for i in range(200)] + [(2000 + i, "vexil passage of a toxic text", "en") for i in range(40)]
+    more = spark.createDataFrame([(i, 1, int(i >= 2000)) for i, *_ in copies], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs.union(spark.createDataFrame(copies, docs.schema)), labels.union(more))
+    assert not any("vexil" in t for t, _ in model.terms) and any("grob" in t for t, _ in model.terms)
+
+
+def test_toxicity_of_empty_tables_and_clashing_names(spark):
+    docs, labels, _ = corpus(spark, 300)
+    model = toxicity.fit(docs, labels)
+    rows = [(1, None, 0.5, True), (1, None, 0.5, True), (None, "grobnak plimfud zwertle " * 3, 0.1, False)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, score double, held_out boolean")
+    kept = toxicity.reject_toxic(odd, model)
+    assert kept.columns == odd.columns and [r["doc_id"] for r in kept.collect()] == [1, 1]
+    assert toxicity.reject_toxic(odd.limit(0), model).count() == 0
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels, truth = corpus(spark)
     got = quality.score(docs, quality.fit(docs, labels)).collect()

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from tidewatch.llm import linededup, neardup, secrets
+from tidewatch.llm import linededup, neardup, secrets, trigrams
 
 SCHEMA = "doc_id long, text string"
 
@@ -48,9 +48,117 @@ def test_secrets_against_re(spark):
 
 
 def test_rules_without_trigrams_scan_fully():
-    assert secrets.query_of(secrets.RULES[2]) == []
-    assert all(secrets.query_of(r) for r in secrets.RULES if r.kind != "hex")
-    assert secrets.trigrams("token") == ("tok", "oke", "ken")
+    assert trigrams.query_of(secrets.RULES[2].pattern) == ()
+    assert all(trigrams.query_of(r.pattern) for r in secrets.RULES if r.kind != "hex")
+    assert trigrams.trigrams("token") == {"tok", "oke", "ken"}
+
+
+def satisfied(query, text):
+    return all(any(all(t in text.lower() for t in conjunction) for conjunction in clause) for clause in query)
+
+
+def sampled(tree, rng):
+    """A string that the parsed regex matches, mostly."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += rng.choice([chr(arg), chr(arg).upper(), chr(arg).lower()])
+        elif name == "IN":
+            kind, value = rng.choice([x for x in arg if str(x[0]) != "NEGATE"])
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif name == "SUBPATTERN":
+            out += sampled(arg[3], rng)
+        elif name == "BRANCH":
+            out += sampled(rng.choice(arg[1]), rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            out += "".join(sampled(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        elif name == "ANY":
+            out += rng.choice("ab-é")
+    return out
+
+
+def made_up(rng, depth=0):
+    kinds = ["lit", "lit", "class", "opt", "rep"] + (["alt", "group"] if depth < 3 else [])
+    out = ""
+    for _ in range(rng.randint(1, 4)):
+        k = rng.choice(kinds)
+        body = made_up(rng, depth + 1) if k in ("alt", "group", "opt", "rep") and depth < 3 else rng.choice(["ab", "xyz", "k"])
+        out += {"lit": lambda: rng.choice(["abc", "d", "ef", "Key", "tok_"]), "class": lambda: rng.choice(["[ab]", "[0-9]", "[a-z]", "[^x]", "."]), "opt": lambda: f"(?:{body})?", "rep": lambda: rng.choice([f"(?:{rng.choice(['ab', 'xyz', 'k'])})" + rng.choice(["+", "*", "+?"]), f"(?:{body})" + rng.choice(["{2}", "{1,2}"])]), "alt": lambda: f"({body}|{made_up(rng, depth + 1)})", "group": lambda: f"(?i:{body})"}[k]()
+    return out
+
+
+def test_no_match_fails_its_derived_query():
+    from re import _parser
+
+    rng = random.Random(7)
+    patterns = [r.pattern for r in (*secrets.RULES, *secrets.REDACTED)] * 20 + [made_up(rng) for _ in range(600)]
+    found = narrow = 0
+    for p in patterns:
+        query = trigrams.query_of(p)
+        narrow += bool(query)
+        for _ in range(5):
+            text = "q " + sampled(_parser.parse(p), rng) + " z"
+            for m in re.finditer(p, text, re.ASCII):
+                found += 1
+                assert satisfied(query, m[0]), (p, m[0], query)
+    assert found > 2000 and narrow > 200
+    assert trigrams.query_of(r"\p{L}abc") == () and not satisfied(trigrams.query_of("abc.*def"), "abcde")
+
+
+def test_many_rules_over_the_index(spark):
+    """More rules than a machine word has bits, against a search of every text."""
+    random.seed(5)
+    rules = secrets.RULES + tuple(secrets.Rule(f"own{i}", f"{chr(97 + i)}key{i:02d}[a-z]{{2,}}(?:end|fin)", 0, 0) for i in range(20))
+    texts = TEXTS + [" ".join(random.choice(["AKEY00abend", "bkey01zzfin", "ckey02", "tkey19qend", "token=abcdefgh", "x"]) for _ in range(9)) for _ in range(40)]
+    got = {r["doc_id"]: [tuple(s) for s in r["secret_spans"]] for r in secrets.scan(frame(spark, list(enumerate(texts))), rules=rules).collect()}
+    assert len(trigrams.vocabulary([trigrams.query_of(r.pattern) for r in rules])) > 100
+    for i, t in enumerate(texts):
+        want = [(m.start(), k, m.end(), r.kind) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t or "", re.ASCII) if len(m[r.group]) >= r.least]
+        assert got[i] == sorted(want), t
+
+
+def test_a_text_of_many_matches(spark):
+    import time
+
+    n = 100_000
+    text = "é token=abcdefgh12 " * n
+    secrets.redact(frame(spark, [(1, text[:2000])])).collect()
+    began = time.time()
+    spans = secrets.digest(secrets.scan(frame(spark, [(1, text)]))).collect()[0]
+    assert spans["n_assign"] == n and spans["spans"].endswith(f"assign:{19 * n - 17}:{19 * n - 1}")
+    assert secrets.redact(frame(spark, [(1, text)])).collect()[0]["text"] == "é [SECRET] " * n
+    assert time.time() - began < 60
+
+
+def test_redaction_against_merged_spans(spark):
+    random.seed(6)
+    parts = ["token=", "AKIA", "ABCDEFGH2345", "0123456789abcdef", "é😀", " ", "-----BEGIN PRIVATE KEY-----", "eyJabcdefgh", ".", "ghp_" + "a1" * 18, "x" * 1500, "secret: "]
+    texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 25))) for _ in range(150)] + ["x" * 8192 + "token=abcdefgh", ("token=" + "a" * 4090) * 3]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame(spark, list(enumerate(texts))), rules=secrets.RULES).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        for a, z in sorted((m.start(), m.end()) for r in secrets.RULES for m in re.finditer(r.pattern, t, re.ASCII) if len(m[r.group]) >= r.least):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, z)
+        assert got[i] == out + t[at:], t
+
+
+def test_copies_of_a_text_share_their_postings(spark):
+    rows = [(i, "the same token=abcdefgh12 again") for i in range(500)] + [(None, "the same token=abcdefgh12 again"), (501, "else")]
+    docs = frame(spark, rows)
+    queries = [trigrams.query_of(r.pattern) for r in secrets.RULES]
+    index = secrets.postings(docs, secrets.F.col("text"), trigrams.vocabulary(queries))
+    assert index.select("key").distinct().count() == 1 and index.count() == len({r["trigram"] for r in index.collect()})
+    got = secrets.digest(secrets.scan(docs)).collect()
+    assert len(got) == 502 and sum(r["n_assign"] for r in got) == 501
+
+
+def test_scan_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh12", "k", 3)], "doc_id long, text string, key string, rules int")
+    got = secrets.scan(docs)
+    assert got.columns == ["doc_id", "text", "key", "rules", "secret_spans"] and len(got.collect()[0]["secret_spans"]) == 1
 
 
 def test_redaction_keeps_rows_columns_and_clean_texts(spark):
@@ -70,7 +178,7 @@ def test_redaction_masks_whole_private_keys(spark):
     assert got == {1: "a [SECRET] b [SECRET]", 2: f"[SECRET] alone - {'x-' * 100000}", 3: "[SECRET] cut [SECRET]", 4: "a [SECRET]\nq\n-----END CERTIFICATE----- b"}
 
 
-def test_every_match_holds_its_rule_s_parts():
+def test_every_match_holds_its_rule_s_trigrams():
     run = "abcdefgh0123" * 4
     samples = {
         "assign": [f"{w}='{run}'" for k in ("password", "passwd", "secret", "token", "api_key", "apikey") for w in (k, k.upper(), k.title())],
@@ -80,7 +188,7 @@ def test_every_match_holds_its_rule_s_parts():
     assert samples.keys() == {r.kind for r in secrets.RULES}
     for r in (*secrets.RULES, *secrets.REDACTED):
         for t in samples[r.kind]:
-            assert re.search(r.pattern, t) and all(any(x in t.lower() for x in part) for part in r.parts), t
+            assert re.search(r.pattern, t) and satisfied(trigrams.query_of(r.pattern), t), t
 
 
 # --- line dedup ----------------------------------------------------------------------------

@@ -1,17 +1,22 @@
-"""Secret scans through a trigram index, in DataFrame functions only.
+"""Secret scans through a trigram inverted index, in DataFrame functions only.
 
-Each rule has a Boolean trigram query in conjunctive form: an AND over the literal parts that
-every match holds, each part an OR over its spellings, each spelling an AND over its trigrams. The
-parts are written by hand beside the regex, not derived from it; a test holds one to the other. The index keeps, per document, which of the trigrams that any rule asks for occur in
-it: posting lists as columns of bits, so that intersecting postings is a bitwise AND within the
-row and nothing is shuffled. Only candidates of a rule are searched with its regex; rules with no
-mandatory trigram search every document.
+Each rule's Boolean trigram query is derived from its regex (``tidewatch.llm.trigrams``). The index
+is a table of postings (trigram, key) over all texts, case folded, for the trigrams that some
+query asks for; a text's key is its hash, so that copies share their postings. Intersecting the
+postings of a key tells which rules it is a candidate of. Texts meet their keys in a left join and
+are searched with their candidates' regexes alone; rules whose query asks for nothing search every
+text. Queries hold no negation, so two texts under one key could only gain candidates: what is
+found is exact.
+
+Copies of one text share a key: keys are dealt over ``SALTS`` salts on both sides of the join.
 
 Spans are code points, end exclusive: a text is split by the regex and the matches' and gaps'
-lengths are summed up. A failing match (too short) still consumes its text, as the base asks.
+lengths are summed up, in chunks of about sqrt(n) matches, as a fold that grows an array copies it
+at every step. A failing match (too short) still consumes its text, as the base asks.
 
-Defined results: null text counts as empty (no spans); other columns are left alone, whatever
-their names; repeated rows give repeated results.
+Defined results: null text counts as empty (no spans); a text of many matches costs little more
+than its matches; other columns are left alone, whatever their names; repeated rows give repeated
+results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,37 +26,33 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import materialise, table
+from tidewatch.llm.trigrams import Query, query_of, vocabulary
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: whole match is group 0; ``least``: characters that group ``group`` needs.
-
-    ``parts``: literal parts that every match holds, each a tuple of alternative spellings in
-    lower case. Spellings under three characters give no trigram.
-    """
+    """``pattern``: whole match is group 0; ``least``: characters that group ``group`` needs."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
-    parts: tuple[tuple[str, ...], ...] = ()
     base: bool = False
 
 
 #: The base kinds in their listed order, with their patterns and least lengths.
 BASE = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, (("password", "passwd", "secret", "token", "api_key", "apikey"),), True),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, (("akia",),), True),
-    Rule("hex", r"[0-9a-f]{32,}", 0, 32, (), True),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, True),
+    Rule("hex", r"[0-9a-f]{32,}", 0, 32, True),
 )
 #: Further kinds that the method adds.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 0, 0, (("-----begin ",), ("private key-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, (("eyj",), (".eyj",))),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + ADDED
 #: A private key from its BEGIN to its END line; the BEGIN line alone where no END follows before another mark.
@@ -60,84 +61,111 @@ KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*
 REDACTED = tuple(replace(r, pattern=KEY_BLOCK) if r.kind == "pem" else r for r in RULES)
 
 
-def trigrams(literal: str) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(literal[i : i + 3] for i in range(len(literal) - 2)))
-
-
-def query_of(rule: Rule) -> list[list[tuple[str, ...]]]:
-    """The rule's Boolean query: AND of parts; a part is an OR of trigram conjunctions.
+#: Salts that the copies of one text are dealt over.
+SALTS = 8
+#: Characters of a piece of a text that is cut; pieces of a group of them.
+PIECE, GROUP = 4096, 64
 
-    A part with a spelling that has no trigram can't narrow anything and is left out.
-    """
-    parts = [[trigrams(s) for s in part] for part in rule.parts]
-    return [part for part in parts if all(part)]
-
-
-def vocabulary(rules: tuple[Rule, ...]) -> list[str]:
-    return sorted({t for r in rules for part in query_of(r) for spelling in part for t in spelling})
+SPANS = "array<struct<start:int,ord:int,stop:int,kind:string>>"
 
 
-def posting_bits(text: Column, vocab: list[str]) -> Column:
-    """One long with a bit per trigram of ``vocab`` (at most 63) that the text holds, case folded."""
-    if len(vocab) > 63:
-        raise ValueError("more than 63 trigrams: split the rules over several scans")
-    low = F.lower(text)
-    bits = F.lit(0).cast("long")
-    for i, t in enumerate(vocab):
-        bits = bits.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return bits
+def postings(docs: DataFrame, text: Column, trigrams: list[str]) -> DataFrame:
+    """(trigram, key): which texts hold which of ``trigrams``, case folded; each pair once."""
+    low = docs.select(F.xxhash64(text).alias("key"), F.lower(text).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    return low.select("key", F.explode(held).alias("trigram")).distinct()
 
 
-def candidate(bits: Column, rule: Rule, vocab: list[str]) -> Column:
-    """Whether the rule's Boolean query holds; true for rules that have none."""
-    place = {t: i for i, t in enumerate(vocab)}
+def holds(query: Query, has: Column) -> Column:
+    """Whether a set of trigrams satisfies a query."""
     out = F.lit(True)
-    for part in query_of(rule):
-        masks = [sum(1 << place[t] for t in spelling) for spelling in part]
+    for clause in query:
         some = F.lit(False)
-        for m in masks:
-            some = some | (bits.bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
+        for conjunction in sorted(map(sorted, clause)):
+            every = F.lit(True)
+            for t in conjunction:
+                every = every & F.array_contains(has, t)
+            some = some | every
         out = out & some
     return out
 
 
+def candidates(index: DataFrame, queries: list[Query]) -> DataFrame:
+    """(key, rules): the places of the queries that a key's postings satisfy; keys with none are left out."""
+    has = index.groupBy("key").agg(F.collect_set("trigram").alias("has"))  # no more than the rules ask for
+    rules = F.array_compact(F.array(*[F.when(holds(q, F.col("has")), F.lit(i)) for i, q in enumerate(queries) if q]))
+    return has.select("key", rules.alias("rules")).where(F.size("rules") > 0)
+
+
+def quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def folded(items: str, state: str, item_type: str, step: str, emit: str) -> str:
+    """SQL for a fold over the array ``items`` that emits an item a step: struct<at, out>.
+
+    ``step`` and ``emit`` are the next state and the item, from ``acc.at`` and ``x``. Items are
+    gathered chunk by chunk, so that n steps copy about n * sqrt(n) references, not n * n.
+    """
+    none, nested = f"cast(array() as array<{item_type}>)", f"cast(array() as array<array<{item_type}>>)"
+    inner = f"aggregate(part, named_struct('at', far.at, 'out', {none}), (acc, x) -> named_struct('at', {step}, 'out', concat(acc.out, array({emit}))))"
+    chunked = "transform(sequence(0, greatest(size(all) - 1, 0) div wide), j -> slice(all, j * wide + 1, wide))"
+    outer = f"aggregate(parts, named_struct('at', {state}, 'out', {nested}), (far, part) -> {bound(inner, 'one', 'named_struct(' + repr('at') + ', one.at, ' + repr('out') + ', concat(far.out, array(one.out)))')}, far -> named_struct('at', far.at, 'out', flatten(far.out)))"
+    return bound(items, "all", bound("greatest(cast(ceil(sqrt(size(all))) as int), 1)", "wide", bound(chunked, "parts", outer)))
+
+
 def spans_of(text: str, rule: Rule) -> str:
     """SQL for the rule's matches in column ``text``: array<struct<start,stop>>, in order."""
-    p = "r'" + rule.pattern.replace("'", r"\x27") + "'"
-    whole = f"regexp_extract_all({text}, {p}, 0)"
-    kept = f"regexp_extract_all({text}, {p}, {rule.group})"
-    keep = f"length(x['2']) >= {rule.least}" if rule.least else "true"
-    start = "acc.at + length(x['0'])"
-    stop = f"{start} + length(x['1'])"
-    out = f"if({keep}, concat(acc.out, array(named_struct('start', {start}, 'stop', {stop}))), acc.out)"
-    zipped = f"filter(arrays_zip(split({text}, {p}, -1), {whole}, {kept}), x -> x['1'] is not null)"
-    zero = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,stop:int>>))"
-    return f"aggregate({zipped}, {zero}, (acc, x) -> named_struct('at', {stop}, 'out', {out}), acc -> acc.out)"
+    p = quoted(rule.pattern)
+    kept = f", regexp_extract_all({text}, {p}, {rule.group})" if rule.group else ""
+    zipped = f"filter(arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0){kept}), x -> x['1'] is not null)"
+    keep = f"length(x['{2 if rule.group else 1}']) >= {rule.least}" if rule.least else "true"
+    stop = "acc.at + length(x['0']) + length(x['1'])"
+    emit = f"named_struct('start', acc.at + length(x['0']), 'stop', {stop}, 'ok', {keep})"
+    return f"filter({folded(zipped, '0', 'struct<start:int,stop:int,ok:boolean>', stop, emit)}.out, s -> s.ok)"
 
 
 def scan(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
-    """``docs`` with ``out``: array<struct<start,stop,ord,kind>>, sorted by start, then listed kind."""
-    vocab = vocabulary(rules)
-    text, bits = "`__scan_text`", "`__scan_bits`"
-    df = docs.withColumn("__scan_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    df = df.withColumn("__scan_bits", posting_bits(F.col(text), vocab))
-    found = []
+    """``docs`` with ``out``: array<struct<start,ord,stop,kind>>, sorted by start, then listed kind."""
+    queries = [query_of(r.pattern) for r in rules]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    df = docs.withColumn("__scan_text", text)
+    if any(queries):
+        index = materialise(postings(docs, text, vocabulary(queries)), "postings")
+        found = candidates(index, queries).select(F.col("key").alias("__scan_key"), F.col("rules").alias("__scan_rules"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__scan_salt"))
+        df = df.withColumn("__scan_key", F.xxhash64("__scan_text")).withColumn("__scan_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        df = df.join(found, ["__scan_key", "__scan_salt"], "left")
+    parts = []
     for i, r in enumerate(rules):
-        spans = F.expr(f"transform({spans_of(text, r)}, x -> named_struct('start', x.start, 'ord', {i}, 'stop', x.stop, 'kind', '{r.kind}'))")
-        found.append(F.when(candidate(F.col(bits), r, vocab) & F.expr(f"{text} rlike r'{r.pattern.replace(chr(39), r'\x27')}'"), spans))
-    none = F.expr("cast(array() as array<struct<start:int,ord:int,stop:int,kind:string>>)")
-    return df.withColumn(out, F.array_sort(F.concat(*[F.coalesce(x, none) for x in found]))).drop("__scan_text", "__scan_bits")
+        spans = F.expr(f"transform({spans_of('__scan_text', r)}, x -> named_struct('start', x.start, 'ord', {i}, 'stop', x.stop, 'kind', '{r.kind}'))")
+        here = F.expr(f"__scan_text rlike {quoted(r.pattern)}")
+        parts.append(F.when(F.coalesce(F.array_contains("__scan_rules", i), F.lit(False)) & here if queries[i] else here, spans))
+    none = F.expr(f"cast(array() as {SPANS})")
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.concat(*[F.coalesce(x, none) for x in parts])).alias(out))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
-    """Same columns and rows; each secret in ``text_col`` is replaced by ``mark``. Null stays null."""
+    """Same columns and rows; each secret in ``text_col`` is replaced by ``mark``. Null stays null, an empty table empty.
+
+    Spans that overlap share a mark. What lies between them is cut from pieces of the text, as a
+    place in a text is found by walking there.
+    """
     df = scan(docs, text_col=text_col, rules=rules, out="__spans")
     t = f"`{text_col}`"
-    cut = f"""aggregate(__spans, named_struct('at', 0, 'out', ''),
-        (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.stop), 'out', a.out),
-            named_struct('at', s.stop, 'out', concat(a.out, substr({t}, a.at + 1, s.start - a.at), '{mark}'))),
-        a -> concat(a.out, substr({t}, a.at + 1)))"""
-    return df.withColumn(text_col, F.when(F.size("__spans") > 0, F.expr(cut)).otherwise(F.col(t))).drop("__spans")
+    gaps = folded("__spans", "0", "struct<lo:int,hi:int,marked:boolean>", "greatest(acc.at, x.stop)", "named_struct('lo', acc.at, 'hi', x.start, 'marked', x.start >= acc.at)")
+    keep = bound(gaps, "g", f"concat(filter(g.out, p -> p.marked), array(named_struct('lo', g.at, 'hi', length({t}), 'marked', false)))")
+    inside = "filter({of}, p -> (p.lo < {hi} and p.hi > {lo}) or (p.marked and p.hi >= {lo} and p.hi < {hi}))"
+    at, wide = f"(k * {GROUP} + i) * {PIECE}", PIECE * GROUP
+    cut = f"concat(substr(piece, greatest(p.lo - {at}, 0) + 1, least(p.hi - {at}, {PIECE}) - greatest(p.lo - {at}, 0)), if(p.marked and p.hi >= {at} and p.hi < {at} + {PIECE}, '{mark}', ''))"
+    one = f"array_join(transform({inside.format(of='near', lo=at, hi=f'{at} + {PIECE}')}, p -> {cut}), '')"
+    group = bound(inside.format(of="kept", lo=f"k * {wide}", hi=f"(k + 1) * {wide}"), "near", f"array_join(transform(slice(pieces, k * {GROUP} + 1, {GROUP}), (piece, i) -> {one}), '')")
+    whole = bound(keep, "kept", bound(f"regexp_extract_all({t}, r'(?s).{{1,{PIECE}}}', 0)", "pieces", f"array_join(transform(sequence(0, (size(pieces) - 1) div {GROUP}), k -> {group}), '')"))
+    return df.withColumn(text_col, F.when(F.size("__spans") > 0, F.expr(whole)).otherwise(F.col(t))).drop("__spans")
 
 
 def digest(scanned: DataFrame, *, spans: str = "secret_spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:

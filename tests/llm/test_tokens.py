@@ -213,7 +213,7 @@ def test_blocks_join_without_a_seam():
 def test_frames_hold_the_tail():
     one, two = (("ab c" * 96)[:-40] + tail for tail in ("x" * 40, "A~" * 20))
     a, b = (media.all_frames(np.frombuffer(media.payload_of(t), np.uint8)) for t in (one, two))
-    assert len(one) == 384 and len(a) == 2 and media.feature(a) != media.feature(b)
+    assert len(one) == 384 and len(a) == 2 and media.feature(a, []) != media.feature(b, [])
     rng = np.random.default_rng(1)
     for units in (1, 2, 5, 8, 9):
         x = rng.integers(0, 256, media.BLOCK // media.UNIT * media.UNIT + units * media.UNIT).astype(np.uint8)
@@ -235,3 +235,74 @@ def test_tensors(spark):
     tensor = media.as_tensor(mel)
     assert tensor.type == media.tensor_type() and tensor.to_numpy_ndarray().shape == (len(t), media.TENSOR_FRAMES, media.BANDS)
     assert (t["end_s"] > t["begin_s"]).all()
+
+
+def test_resampling_against_its_definition():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=200).astype(np.float32)
+    n = media.UP * media.TAPS
+    h = np.sinc((np.arange(n) - (n - 1) / 2) / max(media.UP, media.DOWN)) * np.hamming(n)
+    for phase in range(media.UP):
+        h[phase :: media.UP] /= h[phase :: media.UP].sum()
+    want = []
+    for j in range(len(x) * media.UP // media.DOWN):
+        taps = [(i, j * media.DOWN - i * media.UP + (media.TAPS // 2 - 1) * media.UP) for i in range(len(x))]
+        want.append(sum(x[i] * h[k] for i, k in taps if 0 <= k < n))
+    assert np.allclose(media.resample(x), want, atol=1e-5)
+
+
+def test_mel_bands_against_a_plain_transform():
+    rng = np.random.default_rng(3)
+    samples = rng.integers(0, 256, 960, dtype=np.uint8)
+    got = media.mel_frames(samples)
+    x = media.resample((samples.astype(np.float32) - 128) / 128).astype(float)
+    x = np.concatenate([x, np.zeros(media.WINDOW + (len(got) - 1) * media.HOP - len(x))])
+    e = media.mel_edges()
+    assert len(e) == media.BANDS + 2 and (np.diff(e) > 0).all() and e[-1] <= media.WINDOW // 2 + 1
+    for f in range(len(got)):
+        frame = x[f * media.HOP : f * media.HOP + media.WINDOW] * np.hanning(media.WINDOW)
+        t = np.arange(media.WINDOW)
+        power = [abs(sum(frame * np.exp(-2j * np.pi * k * t / media.WINDOW))) ** 2 for k in range(media.WINDOW // 2 + 1)]
+        for b in range(media.BANDS):
+            lo, peak, hi = e[b : b + 3]
+            energy = sum(power[k] * ((k - lo) / (peak - lo) if k < peak else (hi - k) / (hi - peak)) for k in range(lo, min(hi, len(power))))
+            assert abs(got[f, b] - np.log(energy + 1e-6)) < 1e-3
+
+
+def test_hysteresis_against_a_state_machine():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        frames = rng.normal(0, 0.1, (rng.integers(1, 60), 3)).astype(np.float32)
+        energy = frames.mean(axis=1)
+        energy = energy - energy.mean()
+        on, want, begin = False, [], 0
+        for i, v in enumerate(energy):
+            if not on and v > media.ENTER:
+                on, begin = True, i
+            elif on and v < media.LEAVE:
+                on = False
+                want.append((begin, i))
+        assert media.segments(frames) == want + ([(begin, len(energy))] if on else [])
+
+
+def test_the_digest_comes_from_tensors_and_spans():
+    text = "speech and silence " * 3000
+    rows = media.encoded(pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([text, None])], ["doc_id", "text"]))
+    frames = media.all_frames(np.frombuffer(media.payload_of(text), np.uint8))
+    mel, spans = rows.column(6)[0].values, rows.column(4)[0].values
+    assert mel.type == media.tensor_type() and (media.frames_of(mel, spans) == frames).all()
+    assert len(media.frames_of(rows.column(6)[1].values, rows.column(4)[1].values)) == 1
+    d = media.digested(rows).to_pylist()
+    found = [((a * media.STEP_S), ((z - 1) * media.STEP_S + media.FRAME_S)) for a, z in media.segments(frames)]
+    assert d[0]["feature"] == media.feature(frames, found) and d[0]["n_tensors"] == len(mel) == -(-len(frames) // media.TENSOR_FRAMES)
+    assert d[1]["n_bytes"] == 0 and d[1]["payload_bytes"] == 192
+
+
+def test_media_edge_cases(spark):
+    rows = [(None, "x", 1.0, "m"), (1, "same", 2.0, "m"), (1, "same", 2.0, "m"), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, feature double, media string")
+    got = media.digests(df).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in got) == [-1, 1, 1, 2] and len({r["feature"] for r in got if r["doc_id"] == 1}) == 1
+    empty = df.limit(0)
+    assert media.digests(empty).count() == media.tensors(empty).count() == media.media(empty).count() == 0
+    assert media.from_wav(media.media(df.where("doc_id is null")).collect()[0]["media"]) == b"x" + b" " * 191

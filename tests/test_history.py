@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,36 @@ def test_one_exchange_serves_all_windows(spark):
 
 
 def test_unused_windows_are_pruned(spark):
-    text = history.features(make(spark, [(1, 0, "p", "a", "r", "x", 1)])).select("event_id", "hour_sin")._jdf.queryExecution().optimizedPlan().toString()
+    text = history.features(make(spark, [(1, 0, "p", "a", "r", "x", 1)]), ("hour_sin", "action_frequency")).select("event_id", "hour_sin")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in text
     assert F is not None
+
+
+def test_bursts_against_a_plain_count(spark):
+    import random
+
+    random.seed(1)
+    at, rows = 0, []
+    for i in range(400):
+        at += random.choice([0, 0, 1, 5, 59, 60, 61, 900, 3600, 1799])
+        rows.append((i, at, random.choice("pq"), random.choice(["a", "b", "c"]), random.choice("uvwxyz"), "x", random.randint(0, 99)))
+    got = features(spark, rows)
+    for i, s, p, *_ in rows:
+        past = lambda w: [r for r in rows[:i] if r[2] == p and s - r[1] <= w]  # noqa: B023, E731
+        hour = past(3600)
+        want = (len(past(60)), len(past(900)), len(hour), len({r[4] for r in hour}), len({r[3] for r in hour}))
+        assert tuple(got[i][c] for c in ("calls_1min", "calls_15min", "calls_60min", "distinct_resources_60min", "distinct_actions_60min")) == want
+        assert got[i]["log_bytes_read_60min"] == pytest.approx(math.log1p(sum(r[6] for r in hour)))
+
+
+def test_a_hundred_thousand_events_of_one_principal_in_an_hour(spark):
+    n = 100_000
+    one = make(spark, [(0, 0, "p", "a", "r", "x", 1)]).drop("event_id", "ts", "resource")
+    many = spark.range(n).withColumnRenamed("id", "event_id").join(one).withColumn("ts", F.expr("timestamp'2024-01-01 08:00:00' + make_dt_interval(0, 0, 0, event_id * 3599 / 100000)")).withColumn("resource", F.concat(F.lit("r"), (F.col("event_id") % 1000).cast("string")))
+    got = history.features(many, history.RECENT).agg(F.max("calls_60min"), F.max("distinct_resources_60min"), F.max("calls_1min"), F.max("log_bytes_read_60min")).first()
+    assert got[:2] == (n - 1, 1000) and 1600 < got[2] < 1700 and got[3] == pytest.approx(math.log(n))
+
+
+def test_only_the_named_features_are_made(spark):
+    got = history.features(make(spark, [(1, 0, "p", "a", "r", "x", 1)]), ("hour_sin", "calls_1min"))
+    assert {"hour_sin", "calls_1min", "event_id", "label"} <= set(got.columns) and "hour_cos" not in got.columns and not any(c.startswith("_") for c in got.columns)

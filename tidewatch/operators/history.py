@@ -3,6 +3,11 @@
 Decayed counts are running sums of 2^((t - t0) / half-life), t0 being the principal's first event:
 the factor of the present cancels in every frequency, so no state is folded. All windows partition
 by the principal first, so that one exchange serves them all; the finer ones sort within it.
+
+What the last minute, quarter and hour hold is a running sum too: an event adds itself, and a row
+of its own takes it away when it has left the window. So a burst costs what its events cost, not
+their square. A resource counts in the hour while its last event does: an event takes its
+predecessor's place, or the predecessor goes by itself.
 """
 
 from __future__ import annotations
@@ -16,8 +21,10 @@ from pyspark.sql.window import Window, WindowSpec
 from tidewatch import model as M
 from tidewatch.functions import columns as C
 
-ORDER = ("us", "event_id")
-HOUR = 3_600_000_000
+ORDER = ("us", "_kind", "event_id")
+MINUTE, QUARTER, HOUR = 60_000_000, 900_000_000, 3_600_000_000
+#: Features that look at the last minute, quarter or hour.
+RECENT = ("calls_1min", "calls_15min", "calls_60min", "log_bytes_read_60min", "distinct_resources_60min", "distinct_actions_60min")
 
 
 def own(*keys: str) -> WindowSpec:
@@ -29,10 +36,10 @@ def before(*keys: str) -> WindowSpec:
 
 
 def weighted(events: DataFrame) -> DataFrame:
-    """Adds us (microseconds), w (decay weight) and rn (place in the history)."""
-    e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    """Adds us (microseconds), _kind (0: an event) and w (decay weight)."""
+    e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_kind", F.lit(0))
     age = F.col("us") - F.min("us").over(Window.partitionBy("principal"))
-    return e.withColumn("w", F.pow(F.lit(2.0), age / (M.HALF_LIFE_DAYS * 86400e6))).withColumn("rn", F.row_number().over(own()))
+    return e.withColumn("w", F.pow(F.lit(2.0), age / (M.HALF_LIFE_DAYS * 86400e6)))
 
 
 def decayed(value: Column, *keys: str) -> Column:
@@ -51,13 +58,37 @@ def entropy(total: Column, parts: list[Column]) -> Column:
     return out
 
 
-def recent(micros: int, recent_col: str = "_recent") -> Column:
-    """Rows of the last ``micros`` that came before this one, from the collected hour."""
-    return F.filter(recent_col, lambda x: (x["rn"] < F.col("rn")) & (F.col("us") - x["us"] <= micros))
-
+def recent(e: DataFrame) -> DataFrame:
+    """Adds _n1, _n15, _n60, _bytes, _resources, _actions: what the windows before each event hold.
 
-def features(events: DataFrame, *, compat: bool = False, actions: tuple[str, ...] = M.ACTIONS) -> DataFrame:
-    """The events with the 34 features as columns; unused ones and their windows are pruned away.
+    Each event becomes four rows: itself, and one at the end of each window; these sort after the
+    events of their moment, as windows are closed. The sums go over the rows before an event.
+    """
+    for k in ("resource", "action"):
+        e = e.withColumn(f"_last_{k}", F.lag("us").over(own(k))).withColumn(f"_next_{k}", F.lead("us").over(own(k)))
+    us, none = F.col("us"), F.lit(0).cast("long")
+    size = F.coalesce(F.col("bytes_read"), none)
+    stays = lambda k: F.when(us - F.col(f"_last_{k}") <= HOUR, 0).otherwise(1).cast("long")
+    goes = lambda k: F.when(F.col(f"_next_{k}") - us <= HOUR, 0).otherwise(-1).cast("long")
+    kept = [c for c in e.columns if not c.startswith(("_last_", "_next_")) and c not in ("us", "_kind", "principal", "event_id")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept])
+    names = ("_n1", "_n15", "_n60", "_bytes", "_resources", "_actions")
+
+    def row(at: Column, kind: int, deltas: tuple, event: Column) -> Column:
+        return F.struct(at.alias("us"), F.lit(kind).alias("_kind"), *[(d if isinstance(d, Column) else F.lit(d)).cast("long").alias(f"{n}_d") for n, d in zip(names, deltas, strict=True)], event.alias("_event"))
+
+    gone = F.when(F.lit(False), whole)
+    rows = F.array(
+        row(us, 0, (1, 1, 1, size, stays("resource"), stays("action")), whole), row(us + MINUTE, 1, (-1, 0, 0, 0, 0, 0), gone),
+        row(us + QUARTER, 1, (0, -1, 0, 0, 0, 0), gone), row(us + HOUR, 1, (0, 0, -1, -size, goes("resource"), goes("action")), gone),
+    )
+    long = e.select("principal", "event_id", F.inline(rows))
+    sums = long.select("*", *[F.coalesce(F.sum(f"{n}_d").over(before()), none).alias(n) for n in names]).where("_kind = 0")
+    return sums.select("principal", "event_id", "us", "_kind", *names, *[F.col(f"_event.`{c}`").alias(c) for c in kept])
+
+
+def features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat: bool = False, actions: tuple[str, ...] = M.ACTIONS) -> DataFrame:
+    """The events with the features ``names`` (all 34) as columns; unused ones and their windows are pruned away.
 
     ``compat`` keeps two quirks of older deployments: role words match as substrings, and every
     bucket is foreign to a unit whose name is not a slug.
@@ -66,19 +97,21 @@ def features(events: DataFrame, *, compat: bool = False, actions: tuple[str, ...
     hour = F.hour("ts")
     for name, col in C.host(F.col("pc")).items():
         e = e.withColumn(name, col)
-    span = Window.partitionBy("principal").orderBy("us").rangeBetween(-HOUR, 0)
-    hours = F.array(*[decayed(F.when(hour == h, F.col("w")).otherwise(0.0)) for h in range(24)])
+    if set(names) & set(RECENT):
+        e = recent(e)
+    n = lambda c: F.col(c).cast("double")
+    # an hour's sum never falls, so the largest of all hours' sums is the largest that any event left behind
+    e = e.withColumn("_hour", hour).withColumn("_hour_sum", F.sum("w").over(own("_hour").rowsBetween(Window.unboundedPreceding, 0)))
     e = (
         e.withColumn("_total", decayed(F.col("w")))
         .withColumn("_reads", decayed(F.when(F.col("action").isin(*M.READS), F.col("w")).otherwise(0.0)))
-        .withColumn("_hours", hours)
+        .withColumn("_modal", F.max(F.struct("_hour_sum", (-F.col("_hour")).alias("h"))).over(before()))
         .withColumn("_parts", F.array(*[decayed(F.when(F.col("action") == a, F.col("w")).otherwise(0.0)) for a in actions]))
         .withColumn("_prev_us", F.lag("us").over(own()))
         .withColumn("_first_us", F.min("us").over(before()))
         .withColumn("_prev_lat", F.lag("lat").over(own()))
         .withColumn("_prev_lon", F.lag("lon").over(own()))
         .withColumn("_logon_us", F.last(F.when(F.col("action") == "sts:AssumeRole", F.col("us")), ignorenulls=True).over(before()))
-        .withColumn("_recent", F.collect_list(F.struct("rn", "us", "resource", "action", "bytes_read")).over(span))
         .withColumn("first_time_action", first_of("action"))
         .withColumn("first_time_resource", first_of("resource"))
         .withColumn("_action_sum", decayed(F.col("w"), "action"))
@@ -90,13 +123,11 @@ def features(events: DataFrame, *, compat: bool = False, actions: tuple[str, ...
     kind = role.rlike("admin|it|director") if compat else role.rlike("admin|director|(^|[^a-z])it([^a-z]|$)")
     angle = 2 * math.pi * (hour + F.minute("ts") / 60.0) / 24.0
     day = 2 * math.pi * F.weekday("ts") / 7.0
-    modal = F.array_position("_hours", F.array_max("_hours")) - 1
-    apart = F.abs(hour - modal)
+    apart = F.abs(hour + F.col("_modal.h"))
     s3 = F.col("resource").startswith("arn:aws:s3:::")
     bucket = F.split_part(F.split_part("resource", F.lit(":::"), F.lit(2)), F.lit("/"), F.lit(1))
     foreign = (F.concat(F.lit("org-"), F.regexp_replace(F.lower("functional_unit"), " ", "-")) != bucket) if compat else (bucket != F.col("unit_bucket"))
     depth = sum(((F.coalesce(c, F.lit("")) != "").cast("double") for c in ("business_unit", "functional_unit", "department", "team")), F.lit(0.0))
-    hour_rows = recent(HOUR)
     gap = (F.col("us") - F.col("_prev_us")) / 1e6
     out = {
         "principal_type": kind.cast("double"),
@@ -120,28 +151,26 @@ def features(events: DataFrame, *, compat: bool = False, actions: tuple[str, ...
         "cross_account_flag": (F.col("known") & s3 & foreign).cast("double"),
         "resource_novelty": 1 - C.ratio(F.col("_resource_sum"), F.col("_total")),
         "arn_prefix_depth": (F.length("resource") - F.length(F.replace("resource", F.lit("/"), F.lit("")))).cast("double"),
-        "calls_1min": F.size(recent(60_000_000)).cast("double"),
-        "calls_15min": F.size(recent(900_000_000)).cast("double"),
-        "calls_60min": F.size(hour_rows).cast("double"),
-        "log_bytes_read_60min": F.log1p(F.aggregate(hour_rows, F.lit(0.0), lambda a, x: a + x["bytes_read"])),
-        "distinct_resources_60min": F.size(F.array_distinct(F.transform(hour_rows, lambda x: x["resource"]))).cast("double"),
-        "distinct_actions_60min": F.size(F.array_distinct(F.transform(hour_rows, lambda x: x["action"]))).cast("double"),
+        "calls_1min": lambda: n("_n1"),
+        "calls_15min": lambda: n("_n15"),
+        "calls_60min": lambda: n("_n60"),
+        "log_bytes_read_60min": lambda: F.log1p(n("_bytes")),
+        "distinct_resources_60min": lambda: n("_resources"),
+        "distinct_actions_60min": lambda: n("_actions"),
         "geodesic_distance_km": C.geodesic_km(F.col("_prev_lat"), F.col("_prev_lon"), F.col("lat"), F.col("lon")),
         "device_fingerprint_match": 1 - F.col("host_novelty"),
         "log_mfa_age": F.coalesce(F.log1p((F.col("us") - F.col("_logon_us")) / 1e6), F.lit(0.0)),
     }
-    for name, col in out.items():
-        e = e.withColumn(name, col.cast("double"))
-    return e.drop("_total", "_reads", "_hours", "_parts", "_prev_us", "_first_us", "_prev_lat", "_prev_lon", "_logon_us", "_recent", "_action_sum", "_resource_sum")
+    wanted = {name: (col() if callable(col) else col).cast("double") for name, col in out.items() if name in names}
+    kept = [c for c in e.columns if not c.startswith("_") and c not in wanted and (c not in M.FEATURES or c in names)]
+    return e.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(name) for name, c in wanted.items()])
 
 
 def window_counts(events: DataFrame, seconds: dict[str, int]) -> DataFrame:
-    """event_id and, for each named width, how many earlier events of the principal it holds."""
-    e = weighted(events)
-    ties = Window.partitionBy("principal", "us").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing)
-    at_once = F.count("*").over(ties)  # this row and later ones of the same moment don't count
-    cols = []
-    for name, width in seconds.items():
-        span = Window.partitionBy("principal").orderBy("us").rangeBetween(-width * 1_000_000, 0)
-        cols.append((F.count("*").over(span) - at_once).alias(name))
-    return e.select("event_id", "principal", *cols)
+    """event_id, principal and, for each named width, how many earlier events of the principal it holds."""
+    e = events.select("event_id", "principal", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    one = lambda at, kind, name: F.struct(at.alias("us"), F.lit(kind).alias("_kind"), *[F.lit(1 if kind == 0 else -int(name == x)).cast("long").alias(f"_d_{i}") for i, x in enumerate(seconds)])
+    rows = [one(F.col("us"), 0, "")] + [one(F.col("us") + width * 1_000_000, 1, name) for name, width in seconds.items()]
+    long = e.select("event_id", "principal", F.inline(F.array(*rows)))
+    counted = long.select("*", *[F.coalesce(F.sum(f"_d_{i}").over(before()), F.lit(0)).cast("long").alias(name) for i, name in enumerate(seconds)])
+    return counted.where("_kind = 0").select("event_id", "principal", *seconds)

@@ -174,7 +174,7 @@ _FAMILIES = {
 
 
 def _family(names: tuple[str, ...]) -> Query:
-    return lambda spark, d: rnd(history.features(proxy.events(spark, d)).select("event_id", "principal", *names), *names)
+    return lambda spark, d: rnd(history.features(proxy.events(spark, d), names).select("event_id", "principal", *names), *names)
 
 
 for _name, _cols in _FAMILIES.items():

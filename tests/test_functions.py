@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch import model as M
 from tidewatch.functions import columns as C
 from tidewatch.operators import policy
+from tidewatch.plans.catalog import POLICY
 
 
 def one(spark, **cols):
@@ -60,12 +61,12 @@ def test_policy_first_match_decides(spark):
     doc = {"roles": {"r": {"allow": [{"actions": ["s3:*"], "resources": ["a/*"], "condition": {"require_managed_device": True}}, {"actions": ["*"], "resources": ["*"]}]}}}
     p = lambda role, action, res, managed: policy.permit(F.lit(role), F.lit(action), F.lit(res), F.lit("u"), F.lit(managed), doc)
     got = one(spark, denied=p("r", "s3:Get", "a/b/c", False), ok=p("r", "s3:Get", "a/b/c", True), later=p("r", "sts:X", "z", False), unknown=p("q", "x", "y", True))
-    assert got["denied"] == (False, "managed device required") and got["ok"][0] and got["later"][0] and got["unknown"] == (False, "unknown role q")
+    assert got["denied"] == (False, "only from a managed device") and got["ok"][0] and got["later"][0] and got["unknown"] == (False, "the policy has no role q")
 
 
 def test_policy_condition_on_the_own_bucket(spark):
-    p = lambda res, own: policy.permit(F.lit("user"), F.lit("s3:GetObject"), F.lit(res), F.lit(own).cast("string"), F.lit(False))
-    got = one(spark, mine=p("arn:aws:s3:::org-a/x", "org-a"), other=p("arn:aws:s3:::org-b/x", "org-a"), none=p("arn:aws:s3:::org-b/x", None))
+    p = lambda res, own: policy.permit(F.lit("staff"), F.lit("s3:GetObject"), F.lit(res), F.lit(own).cast("string"), F.lit(False), POLICY)
+    got = one(spark, mine=p("arn:aws:s3:::org-a/docs/x", "org-a"), other=p("arn:aws:s3:::org-b/docs/x", "org-a"), none=p("arn:aws:s3:::org-b/docs/x", None))
     assert [got[k][0] for k in ("mine", "other", "none")] == [True, False, False]
-    s = one(spark, a=policy.sensitivity(F.lit("arn:aws:s3:::b/removable/x")), b=policy.sensitivity(F.lit("zzz")))
-    assert s == {"a": 1.0, "b": 0.5}
+    s = one(spark, a=policy.sensitivity(F.lit("arn:aws:s3:::b/removable/f1x"), POLICY), b=policy.sensitivity(F.lit("zzz"), POLICY))
+    assert s == {"a": 0.95, "b": 0.35}

@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch import model as M
+from tidewatch.operators.running import running
 
 
 def ecdf(calibration: DataFrame, queries: DataFrame, value: str, by: tuple[str, ...] = (), out: str = "f") -> DataFrame:
     """``queries`` with the share of calibration values at or below theirs, in each group of ``by``.
 
     Both sides meet as counts at distinct values, so that frequent values cost one row; the running
-    count goes over those rows. Without groups the running count is over distinct values alone.
+    count goes over those rows, bucket by bucket, with or without groups.
     """
     keys = list(by)
     marks = calibration.groupBy(*keys, value).agg(F.count("*").alias("_n")).unionByName(queries.select(*keys, value).distinct().withColumn("_n", F.lit(0).cast("long")))
     marks = marks.groupBy(*keys, value).agg(F.sum("_n").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    table = marks.select(*keys, value, F.try_divide(F.sum("_n").over(run).cast("double"), F.sum("_n").over(whole).cast("double")).alias(out), F.sum("_n").over(whole).alias("_rows"))
+    sizes = calibration.groupBy(*keys).agg(F.count("*").alias("_rows"))  # one row a group
+    whole = running(marks, value, {"_below": "_n"}, tuple(keys))
+    table = whole.join(sizes, keys, "left") if keys else whole.join(F.broadcast(sizes))  # a single row
+    table = table.select(*keys, value, F.try_divide(F.col("_below").cast("double"), F.col("_rows").cast("double")).alias(out), F.coalesce("_rows", F.lit(0)).alias("_rows"))
     return queries.join(table, [*keys, value], "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewatch import model as M
 from tidewatch.functions.columns import ratio
+from tidewatch.operators.running import running
 
 
 def at_threshold(rows: DataFrame, threshold: float = M.DENY, by: tuple[str, ...] = ()) -> DataFrame:
@@ -25,16 +26,14 @@ def _at_scores(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def roc_auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, auc: ties count half; null with one class alone."""
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    t = _at_scores(rows, by).withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    t = running(_at_scores(rows, by), "score", {"under": "q"}, by, strict=True)
     won = F.sum(F.col("p") * (F.col("under") + F.col("q") / 2.0))
     return t.groupBy(*by).agg(F.try_divide(won, (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 
 def roc_curve(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, score, tp, fp: what lies at or above each distinct score."""
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return _at_scores(rows, by).select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"))
+    return running(_at_scores(rows, by), "score", {"tp": "p", "fp": "q"}, by, descending=True).select(*by, "score", "tp", "fp")
 
 
 def best_f1_threshold(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -52,7 +51,19 @@ def seed_summary(rows: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"))
 
 
-def percentiles(rows: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+def by_group_with_means(rows: DataFrame) -> DataFrame:
+    """grp, rows, positives, auc, mean score of benign and of malicious rows, for (y, score, source) in overlapping groups."""
+    g = in_groups(rows, F.col("source"))
+    mean = lambda y: F.avg(F.when(F.col("y") == y, F.col("score")))
+    sizes = g.groupBy("grp").agg(F.count("*").alias("rows"), F.sum("y").cast("long").alias("positives"), mean(0).alias("benign_mean"), mean(1).alias("malicious_mean"))
+    return sizes.join(roc_auc(g, ("grp",)), "grp")
+
+
+def percentiles(rows: DataFrame, value: str, by: tuple[str, ...], accuracy: int | None = None) -> DataFrame:
+    """by, p50, p95, mean; exact, or within rank error 1 / ``accuracy`` in bounded memory for groups of many distinct values."""
+    if accuracy is not None:
+        p = lambda q: F.percentile_approx(value, q, accuracy)
+        return rows.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg(value).alias("mean"))
     return rows.groupBy(*by).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.avg(value).alias("mean"))
 
 

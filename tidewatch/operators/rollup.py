@@ -51,10 +51,26 @@ def feature_stats(rows: DataFrame, columns: tuple[str, ...], by: str) -> DataFra
     return wide.select(by, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{k}_{c}").alias(k) for k in aggs]) for c in columns])))
 
 
-def time_split(ts: Column, start: str, spans: tuple[float, float]) -> Column:
+def corpus_start(events: DataFrame) -> DataFrame:
+    """start: the earliest time of all events; one row."""
+    return events.agg(F.min(F.col("ts").cast("timestamp")).alias("start"))
+
+
+def split_from_start(events: DataFrame, spans: tuple[float, float]) -> DataFrame:
+    """``events`` with split, counted from the corpus' own first event."""
+    own = events.join(F.broadcast(corpus_start(events).withColumnRenamed("start", "_start")))  # a single row
+    return own.withColumn("split", time_split(F.col("ts"), F.col("_start"), spans)).drop("_start")
+
+
+def training_days(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """User-days of benign training rows and those of malicious ones, one after the other: a day with both gives two rows."""
+    return user_days(rows.where("label = 0"), features).unionByName(user_days(rows.where("label = 1"), features))
+
+
+def time_split(ts: Column, start: str | Column, spans: tuple[float, float]) -> Column:
     """train before ``start`` + first span (days), val before + second, else test."""
     at = F.unix_micros(ts.cast("timestamp"))
-    zero = F.unix_micros(F.to_timestamp(F.lit(start)))
+    zero = F.unix_micros(start if isinstance(start, Column) else F.to_timestamp(F.lit(start)))
     a, b = (int(s * 86400e6) for s in (spans[0], spans[0] + spans[1]))
     return F.when(at < zero + a, "train").when(at < zero + b, "val").otherwise("test")
 

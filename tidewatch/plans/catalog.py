@@ -15,7 +15,8 @@ from tidewatch import model as M
 from tidewatch.functions import columns as C
 from tidewatch.operators import calibrate, history, metrics, policy, rollup
 from tidewatch.plans.sql import EV, FEAT, ORG, SENSITIVITY, rounded
-from tidewatch.sources import proxy
+from tidewatch.session import scratch
+from tidewatch.sources import proxy, requests, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -243,6 +244,16 @@ def userday_standardise(spark, d):
     return rnd(rollup.standardise(days, days, _DFEW), *_DFEW, places=5)
 
 
+_START = "epoch_us((SELECT min(ts) FROM ev))"
+
+
+@query(f"WITH {EV}, s AS (SELECT CASE WHEN epoch_us(ts) < {_START} + {int(SPANS[0] * 86400e6)} THEN 'train' WHEN epoch_us(ts) < {_START} + {int((SPANS[0] + SPANS[1]) * 86400e6)} THEN 'val' ELSE 'test' END AS split FROM ev) SELECT split, count(*) AS n, CAST((SELECT min(ts) FROM ev) AS TIMESTAMP) AS start FROM s GROUP BY 1")
+def corpus_start_split(spark, d):
+    e = proxy.raw_events(spark, d)
+    n = rollup.split_from_start(e, SPANS).groupBy("split").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(rollup.corpus_start(e))).select("split", "n", F.col("start").cast("timestamp_ntz").alias("start"))  # a single row
+
+
 _UD = "ud AS (SELECT principal, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(label) AS label FROM ev GROUP BY 1, 2)"
 
 
@@ -255,6 +266,26 @@ def userday_median_split(spark, d):
     return rollup.median_day_split(_user_day_counts(spark, d)).groupBy("side").agg(F.count("*").alias("days"), F.sum("n").alias("events"))
 
 
+def _plain_days(cls: str) -> str:
+    return f"SELECT principal, strftime(ts, '%Y-%m-%d') AS day, {cls} AS label, count(*) AS n_events, round(avg(is_egress_action), 6) AS mean_is_egress_action, max(is_session_action) AS max_is_session_action FROM feat WHERE label = {cls} GROUP BY 1, 2"
+
+
+@query(f"WITH {FEAT} {_plain_days('0')} UNION ALL {_plain_days('1')}")
+def training_days_union(spark, d):
+    t = rollup.training_days(history.features(proxy.events(spark, d), ("is_egress_action", "is_session_action", "first_time_action", "first_time_resource", "host_novelty", "hour_sin", "hour_cos")), ("is_egress_action", "is_session_action"))
+    return rnd(t.select("principal", "day", "label", "n_events", "mean_is_egress_action", "max_is_session_action"), "mean_is_egress_action")
+
+
+@query(f"WITH {EV}, {_UD} SELECT principal, day, n, label, true AS reused FROM ud")
+def userday_cache_round_trip(spark, d):
+    """The days come from a cache; the second time they are read, not made."""
+    path = scratch(spark, "user-days")
+    sinks.cached(spark, path, lambda: _user_day_counts(spark, d))
+    made = []
+    again = sinks.cached(spark, path, lambda: made.append(1) or _user_day_counts(spark, d))
+    return again.withColumn("reused", F.lit(not made))
+
+
 #: A stand-in risk: a deterministic number in [0, 1) from the ids, in exact arithmetic on both sides.
 _R = "CAST((event_id * 7919 + bytes_read * 31) % 1000 AS DOUBLE) / 1000"
 
@@ -396,6 +427,11 @@ def auc_by_overlapping_group(spark, d):
     return rnd(metrics.roc_auc(metrics.in_groups(scored(spark, d), F.col("source")), ("grp",)), "auc")
 
 
+@query(f"WITH {_SC}, g AS (SELECT *, unnest(CASE WHEN source = 'http' THEN [source, 'all'] ELSE [source, 'all', 'non-http'] END) AS grp FROM sc), m AS (SELECT grp, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, round(avg(CASE WHEN y = 0 THEN score END), 6) AS benign_mean, round(avg(CASE WHEN y = 1 THEN score END), 6) AS malicious_mean FROM g GROUP BY 1), a AS (WITH {_auc('grp', 'g')}) SELECT m.*, a.auc FROM m JOIN a USING (grp)")
+def auc_and_means_by_group(spark, d):
+    return rnd(metrics.by_group_with_means(scored(spark, d)), "benign_mean", "malicious_mean", "auc")
+
+
 @query(f"WITH {_SC}, t AS (SELECT source, score, sum(y) AS p, sum(1 - y) AS q FROM sc GROUP BY 1, 2), c AS (SELECT source, score, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY source) AS pos FROM t WINDOW w AS (PARTITION BY source ORDER BY score DESC)), f AS (SELECT *, CASE WHEN pos > 0 THEN round(2.0 * tp / (tp + fp + pos), 12) ELSE 0 END AS f1 FROM c) SELECT source, CASE WHEN pos > 0 THEN least(1, greatest(0, score)) ELSE 0.85 END::DOUBLE AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY f1 DESC, score DESC) AS i FROM f) WHERE i = 1")
 def best_f1_threshold(spark, d):
     return metrics.best_f1_threshold(scored(spark, d), ("source",))
@@ -411,27 +447,64 @@ def seed_summary(spark, d):
 
 _OWN = "coalesce(unit_bucket, '')"
 _BUCKET = "split_part(split_part(resource, ':::', 2), '/', 1)"
-_ROLE = "CASE WHEN role = 'ITAdmin' THEN 'ITAdmin' WHEN role = 'Director' THEN 'guest' ELSE 'user' END"
+#: An own policy document for the queries below.
+POLICY = {
+    "roles": {
+        "staff": {"allow": [
+            {"actions": ["execute-api:*"], "resources": ["arn:aws:execute-api:::site-1*"]},
+            {"actions": ["s3:Get*", "s3:Put*"], "resources": ["arn:aws:s3:::*/docs/*"], "condition": {"own_unit_bucket": True}},
+            {"actions": ["sts:AssumeRole"], "resources": ["*-session"]},
+        ]},
+        "operator": {"allow": [{"actions": ["s3:*"], "resources": ["*"], "condition": {"require_managed_device": True}}, {"actions": ["*"], "resources": ["*"]}]},
+    },
+    "sensitivity": {"default": 0.35, "rules": [{"pattern": "*/removable/f1*", "value": 0.95}, {"pattern": "*/docs/*", "value": 0.7}, {"pattern": "arn:aws:iam::*session", "value": 0.2}, {"pattern": "*:::site-?", "value": 0.45}]},
+}
+_ROLE = "CASE WHEN role = 'ITAdmin' THEN 'operator' WHEN role = 'Director' THEN 'guest' ELSE 'staff' END"
 _PERMIT = f"""WITH {EV}, q AS (SELECT *, {_ROLE} AS rl, event_id % 2 = 0 AS managed FROM ev), p AS (SELECT event_id, rl, action, resource, CASE
- WHEN rl = 'guest' THEN [0] WHEN rl = 'user' AND action IN ('sts:AssumeRole', 'sts:SessionEnd') AND regexp_matches(resource, '^arn:aws:iam::.*:role/.*$') THEN [1]
- WHEN rl = 'user' AND action IN ('s3:GetObject', 's3:PutObject') AND regexp_matches(resource, '^arn:aws:s3:::org-.*/.*$') THEN [CASE WHEN {_OWN} <> '' AND {_BUCKET} = {_OWN} THEN 1 ELSE 2 END]
- WHEN rl = 'user' AND action = 'execute-api:Invoke' AND starts_with(resource, 'arn:aws:execute-api:::') THEN [1]
- WHEN rl = 'ITAdmin' AND starts_with(action, 'sts:') AND starts_with(resource, 'arn:aws:iam::') THEN [1]
- WHEN rl = 'ITAdmin' AND starts_with(action, 's3:') AND starts_with(resource, 'arn:aws:s3:::') THEN [CASE WHEN managed THEN 1 ELSE 3 END]
- WHEN rl = 'ITAdmin' AND action = 'execute-api:Invoke' AND starts_with(resource, 'arn:aws:execute-api:::') THEN [1] ELSE [4] END[1] AS c, {_OWN} AS own, {_BUCKET} AS b FROM q)
-SELECT event_id, c = 1 AS allowed, CASE c WHEN 0 THEN 'unknown role ' || rl WHEN 1 THEN 'role ' || rl WHEN 2 THEN 'bucket ' || b || ' is not the principal''s unit bucket ' || own WHEN 3 THEN 'managed device required' ELSE 'no statement in role ' || rl || ' allows ' || action || ' on ' || resource END AS reason FROM p"""
+ WHEN rl = 'guest' THEN 0 WHEN rl = 'staff' AND starts_with(action, 'execute-api:') AND starts_with(resource, 'arn:aws:execute-api:::site-1') THEN 1
+ WHEN rl = 'staff' AND (starts_with(action, 's3:Get') OR starts_with(action, 's3:Put')) AND regexp_matches(resource, '^arn:aws:s3:::.*/docs/.*$') THEN CASE WHEN {_OWN} <> '' AND {_BUCKET} = {_OWN} THEN 1 ELSE 2 END
+ WHEN rl = 'staff' AND action = 'sts:AssumeRole' AND ends_with(resource, '-session') THEN 1
+ WHEN rl = 'operator' AND starts_with(action, 's3:') THEN CASE WHEN managed THEN 1 ELSE 3 END WHEN rl = 'operator' THEN 1 ELSE 4 END AS c, {_OWN} AS own, {_BUCKET} AS b FROM q)
+SELECT event_id, c = 1 AS allowed, CASE c WHEN 0 THEN 'the policy has no role ' || rl WHEN 1 THEN 'granted to ' || rl WHEN 2 THEN b || ' is outside the unit''s own ' || own WHEN 3 THEN 'only from a managed device' ELSE 'nothing lets ' || rl || ' do ' || action || ' with ' || resource END AS reason FROM p"""
 
 
 @query(_PERMIT)
 def policy_permit_first_match(spark, d):
-    role = F.when(F.col("role") == "ITAdmin", "ITAdmin").when(F.col("role") == "Director", "guest").otherwise("user")
-    p = policy.permit(role, F.col("action"), F.col("resource"), F.col("unit_bucket"), F.col("event_id") % 2 == 0)
+    role = F.when(F.col("role") == "ITAdmin", "operator").when(F.col("role") == "Director", "guest").otherwise("staff")
+    p = policy.permit(role, F.col("action"), F.col("resource"), F.col("unit_bucket"), F.col("event_id") % 2 == 0, POLICY)
     return proxy.events(spark, d).select("event_id", p.alias("p")).select("event_id", "p.allowed", "p.reason")
 
 
-@query(f"WITH {EV} SELECT event_id, CASE WHEN regexp_matches(resource, '^arn:aws:s3:::.*/removable/.*$') OR regexp_matches(resource, '^arn:aws:s3:::.*/customer/.*$') THEN 1.0 WHEN starts_with(resource, 'arn:aws:execute-api:::') THEN 0.8 WHEN starts_with(resource, 'arn:aws:s3:::') THEN 0.6 WHEN starts_with(resource, 'arn:aws:iam::') THEN 0.3 ELSE 0.5 END::DOUBLE AS sensitivity FROM ev")
+_POLICY_SENSITIVITY = "CASE WHEN regexp_matches(resource, '^.*/removable/f1.*$') THEN 0.95 WHEN regexp_matches(resource, '^.*/docs/.*$') THEN 0.7 WHEN regexp_matches(resource, '^arn:aws:iam::.*session$') THEN 0.2 WHEN regexp_matches(resource, '^.*:::site-.$') THEN 0.45 ELSE 0.35 END::DOUBLE"
+
+
+@query(f"WITH {EV} SELECT event_id, {_POLICY_SENSITIVITY} AS sensitivity FROM ev")
 def policy_sensitivity_first_match(spark, d):
-    return proxy.events(spark, d).select("event_id", policy.sensitivity(F.col("resource")).cast("double").alias("sensitivity"))
+    return proxy.events(spark, d).select("event_id", policy.sensitivity(F.col("resource"), POLICY).cast("double").alias("sensitivity"))
+
+
+# --- requests ------------------------------------------------------------------------------
+
+_RQ = f"{EV}, rq AS (SELECT event_id, ts, principal, action, resource, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE pc END AS device_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE '10.0.0.' || (event_id % 250) END AS source_ip, CASE WHEN event_id % 5 > 0 THEN bytes_read END AS bytes_requested FROM ev)"
+
+
+def access_requests(spark, d) -> DataFrame:
+    i = F.col("event_id")
+    device = F.when(i % 3 == 1, "").when(i % 3 == 2, F.col("pc"))
+    return proxy.events(spark, d).select("event_id", "ts", "principal", "action", "resource", device.alias("device_id"), F.when(i % 4 != 0, F.concat(F.lit("10.0.0."), (i % 250).cast("string"))).alias("source_ip"), F.when(i % 5 > 0, F.col("bytes_read")).alias("bytes_requested"))
+
+
+@query(f"WITH {_RQ} SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, principal, action, resource, 'pdp' AS source, coalesce(nullif(device_id, ''), nullif(source_ip, ''), '') AS pc, action = 'execute-api:Invoke' OR contains(resource, '/removable/') AS egress, coalesce(bytes_requested, 0) AS bytes_read FROM rq")
+def request_event_mapping(spark, d):
+    return requests.to_events(access_requests(spark, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"WITH {FEAT} SELECT event_id, {_POLICY_SENSITIVITY} AS resource_sensitivity, round(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE device_fingerprint_match END, 6)::DOUBLE AS device_fingerprint_match, round(CASE WHEN event_id % 3 > 0 THEN ln(1 + greatest(0, event_id % 5000 - 100)) ELSE log_mfa_age END, 6) + 0.0::DOUBLE AS log_mfa_age FROM feat")
+def live_overrides(spark, d):
+    i = F.col("event_id")
+    e = history.features(proxy.events(spark, d), ("device_fingerprint_match", "log_mfa_age"))
+    live = requests.overridden(policy.sensitivity(F.col("resource"), POLICY), i % 2 == 0, F.when(i % 3 > 0, (i % 5000 - 100).cast("double")))
+    return rnd(e.select("event_id", *[c.alias(n) for n, c in live.items()]), "device_fingerprint_match", "log_mfa_age")
 
 
 # --- reports -------------------------------------------------------------------------------
@@ -476,11 +549,11 @@ def label_drift_summary(spark, d):
     return rnd(s.select("source", "first", "mean", "std", F.row_number().over(Window.orderBy("i")).cast("long").alias("place")), "mean", "std")  # one row a source
 
 
-@query(f"WITH {EV}, t AS (SELECT CASE event_id % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'modify' WHEN 2 THEN 'backdate' ELSE 'fabricate' END AS kind, event_id % 3 <> 0 AS ok, event_id % 5 <> 0 AS found FROM ev WHERE event_id % 20 < 9) SELECT coalesce(kind, 'total') AS kind, count(*) AS attempts, CAST(sum(ok::INT) AS BIGINT) AS succeeded, CAST(sum((ok AND found)::INT) AS BIGINT) AS detected FROM t GROUP BY ROLLUP (kind)")
+@query(f"WITH {EV}, t AS (SELECT CASE event_id % 4 WHEN 0 THEN 'delete' WHEN 1 THEN 'modify' WHEN 2 THEN 'backdate' ELSE 'fabricate' END AS kind, event_id % 3 <> 0 AS ok, event_id % 5 <> 0 AS found FROM ev) SELECT coalesce(kind, 'total') AS kind, count(*) AS attempts, CAST(sum(ok::INT) AS BIGINT) AS succeeded, CAST(sum((ok AND found)::INT) AS BIGINT) AS detected FROM t GROUP BY ROLLUP (kind)")
 def tamper_rollup(spark, d):
     i = F.col("event_id")
     kind = F.when(i % 4 == 0, "delete").when(i % 4 == 1, "modify").when(i % 4 == 2, "backdate").otherwise("fabricate")
-    t = proxy.raw_events(spark, d).where(i % 20 < 9).select(kind.alias("kind"), (i % 3 != 0).alias("ok"), (i % 5 != 0).alias("found"))
+    t = proxy.raw_events(spark, d).select(kind.alias("kind"), (i % 3 != 0).alias("ok"), (i % 5 != 0).alias("found"))
     return t.rollup("kind").agg(F.count("*").alias("attempts"), F.sum(F.col("ok").cast("long")).alias("succeeded"), F.sum((F.col("ok") & F.col("found")).cast("long")).alias("detected")).withColumn("kind", F.coalesce("kind", F.lit("total")))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +10,7 @@ from tidewatch.functions import columns as C
 from tidewatch.operators import ledger
 from tidewatch.plans.catalog import effective, query, risk
 from tidewatch.plans.sql import EV
-from tidewatch.session import shared_dir
+from tidewatch.session import scratch
 from tidewatch.sources import proxy
 from tidewatch.streaming import online
 
@@ -131,7 +129,7 @@ def requests(spark, d) -> DataFrame:
 
 def streamed(spark, d) -> DataFrame:
     """The requests written to the shared folder and read as a stream until it is used up."""
-    base = f"{shared_dir(spark)}/online-{uuid.uuid4().hex}"
+    base = scratch(spark, "online")
     requests(spark, d).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(online.REQUEST).parquet(f"{base}/in")
     q = online.online(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()

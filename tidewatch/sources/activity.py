@@ -122,7 +122,13 @@ def events(spark: SparkSession, root: str, org: DataFrame, known: DataFrame | No
 
 
 def write_splits(rows: DataFrame, split: Column, path: str, names: tuple[str, ...] = ("train", "train_malicious", "val", "test")) -> None:
-    """One folder a split; splits without rows get an empty table."""
-    marked = rows.withColumn("_split", split)
+    """One folder a split, in one pass over the rows; splits without rows get an empty table."""
+    spark = rows.sparkSession
+    rows.withColumn("__split", split).write.mode("overwrite").partitionBy("__split").parquet(f"{path}/all")
+    place = lambda x: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{x}")
+    fs = place("all").getFileSystem(spark._jsc.hadoopConfiguration())
     for name in names:
-        marked.where(F.col("_split") == name).drop("_split").write.mode("overwrite").parquet(f"{path}/{name}")
+        fs.delete(place(name), True)
+        if not fs.rename(place(f"all/__split={name}"), place(name)) if fs.exists(place(f"all/__split={name}")) else True:
+            spark.createDataFrame([], rows.schema).write.parquet(f"{path}/{name}")
+    fs.delete(place("all"), True)

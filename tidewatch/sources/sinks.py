@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +16,19 @@ def write_report(table: DataFrame, path: str, kind: str = "csv") -> None:
     out.option("header", True).csv(path) if kind == "csv" else out.json(path)
 
 
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``; made and written there where it isn't yet. A write that broke off leaves no marker and is made anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def install_key(spark: SparkSession, path: str, key_id: str, fingerprint: str) -> None:
+    """Write the verifier's key once; a second time is an error, whatever the key."""
+    spark.createDataFrame([(key_id, fingerprint)], "key_id string, fingerprint string").coalesce(1).write.mode("errorifexists").json(path)
+
+
 def append_ledger(records: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery | None:
     """Records appended as JSON lines: a batch at once, a stream until it is used up."""
     if not records.isStreaming:

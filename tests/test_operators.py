@@ -1,3 +1,4 @@
+import datetime as dt
 import os
 import random
 
@@ -215,3 +216,192 @@ def test_stream_and_replay_agree(spark, tmp_path):
     s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     a, b = spark.read.parquet(f"{tmp_path}/out"), online.replay(t)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() == 150
+
+
+# --- admission across principals, committer, challenges --------------------------------------
+
+
+def admitted(spark, rows):
+    sign = ledger.keyed_mac(b"k")
+    out = []
+    for n, (p, seq, prev, rec) in enumerate(rows):
+        r = {"recId": rec, "prevHash": prev, "seq": seq, "ts": "t", "principal": p, "action": "a", "resource": "x", "r": 0.5, "r_eff": 0.5, "verdict": "ALLOW", "h_feat": "h", "sig": None}
+        r["sig"] = sign(ledger.canonical(r))
+        out.append(r | {"arrival": n})
+    names = [*M.RECORD.names, "arrival"]
+    df = spark.createDataFrame([tuple(r[c] for c in names) for r in out], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in M.RECORD.fields) + ", arrival long")
+    return [r["reason"] for r in ledger.admit(df, sign).orderBy("arrival").collect()], out
+
+
+def brute_admission(records):
+    heads, seen, out = {}, set(), []
+    for r in records:
+        head = heads.get(r["principal"], (0, M.GENESIS))
+        if r["recId"] in seen:
+            out.append("duplicate recId")
+        elif r["seq"] != head[0] + 1:
+            out.append("seq discontinuity")
+        elif r["prevHash"] != head[1]:
+            out.append("prevHash mismatch")
+        else:
+            out.append("")
+            seen.add(r["recId"])
+            heads[r["principal"]] = (r["seq"], ledger.record_hash(r))
+    return out
+
+
+def test_a_rec_id_under_two_principals_is_accepted_once(spark):
+    got, _ = admitted(spark, [("p", 1, M.GENESIS, "a"), ("q", 1, M.GENESIS, "a"), ("q", 1, M.GENESIS, "b")])
+    assert got == ["", "duplicate recId", ""]
+    # a refused record does not use its id up
+    got, _ = admitted(spark, [("p", 5, M.GENESIS, "a"), ("q", 1, M.GENESIS, "a")])
+    assert got == ["seq discontinuity", ""]
+
+
+def test_admission_against_one_pass_in_arrival_order(spark):
+    import random
+
+    random.seed(3)
+    for _ in range(4):
+        rows = [(random.choice("pqr"), random.choice([1, 1, 2]), M.GENESIS, random.choice("abcd")) for _ in range(12)]
+        got, records = admitted(spark, rows)
+        assert got == brute_admission(records), rows
+
+
+def test_the_committer_goes_on_after_a_restart(spark, tmp_path):
+    from tidewatch.streaming import committer
+
+    sign, base = ledger.keyed_mac(b"k"), f"file://{tmp_path}"
+    r = ledger.materialise(ledger.chained(decisions(spark, 6), sign).withColumn("arrival", F.col("seq")), "chains")
+    stream = lambda: spark.readStream.schema(r.schema).parquet(f"{base}/in")
+    r.where("seq <= 3").write.parquet(f"{base}/in")
+    committer.commit(stream(), f"{base}/ledger", f"{base}/cp", sign).awaitTermination()
+    first = committer.counters(spark, f"{base}/ledger", r).first()
+    r.where("seq >= 3").write.mode("append").parquet(f"{base}/in")
+    committer.commit(stream(), f"{base}/ledger", f"{base}/cp", sign).awaitTermination()
+    last = committer.counters(spark, f"{base}/ledger", spark.read.parquet(f"{base}/in")).first()
+    n = r.where("seq = 3").count()
+    assert first["committed"] == r.where("seq <= 3").count() and (last["committed"], last["rejected"], last["pending"]) == (r.count(), n, 0)
+    assert {x["reason"] for x in committer.rejected(spark, f"{base}/ledger").collect()} == {"duplicate recId"}
+    done = ledger.with_hash(committer.committed(spark, f"{base}/ledger"))
+    assert all(x["intact"] for x in ledger.verify(done, bad_signature=ledger.bad_signature(sign)).collect())
+
+
+def test_the_online_stream_goes_on_after_a_restart(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=60 * i), "p", "s3:GetObject", f"r{i % 2}", 1, 0.3, 0.0) for i in range(6)]
+    names = online.REQUEST.split(", ")
+    full = lambda part: spark.createDataFrame([(*r, "pc", "AS1", 1.0, 2.0, 0, None, None, {}) for r in part], online.REQUEST)
+    assert len(names) == 16
+    for part in (rows[:3], rows[3:]):
+        full(part).write.mode("append").parquet(f"{base}/in")
+        q = online.online(spark.readStream.schema(online.REQUEST).parquet(f"{base}/in")).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.schema(online.DECISION).parquet(f"{base}/out").orderBy("event_id").collect()
+    want = online.replay(full(rows)).orderBy("event_id").collect()
+    assert [r["seq"] for r in got] == [1, 2, 3, 4, 5, 6] and got[3]["prevHash"] == got[2]["hash"]
+    assert [(r["verdict"], r["hash"], r["calls_60min"]) for r in got] == [(r["verdict"], r["hash"], r["calls_60min"]) for r in want]
+
+
+def test_live_context_overrides_three_features():
+    import pandas as pd
+
+    p = online.Profile()
+    row = {"event_id": 1, "ts": pd.Timestamp("2024-01-01 10:00"), "principal": "p", "action": "sts:AssumeRole", "resource": "r", "bytes_read": 0, "sensitivity": 0.7, "credit": 0.0, "pc": "x"}
+    online.decide(p, [row], lambda f: 0.0)
+    f = p.describe(row | {"pc": "new", "managed": True, "mfa_age": -5.0}, 1704103260.0)
+    assert (f["resource_sensitivity"], f["device_fingerprint_match"], f["host_novelty"], f["log_mfa_age"]) == (0.7, 1.0, 1.0, 0.0)
+    f = p.describe(row | {"pc": "new"}, 1704103260.0)
+    assert f["device_fingerprint_match"] == 0.0 and f["log_mfa_age"] == pytest.approx(np.log1p(60))
+
+
+def test_challenges():
+    from tidewatch.streaming import challenge
+
+    sign = ledger.keyed_mac(b"k")
+    t = challenge.issue(sign, "p|x", "a.b", "r%7C", 1000.0, "n")
+    ok = lambda token, *what, now=1299.0: challenge.valid(sign, token, *(what or ("p|x", "a.b", "r%7C")), now)
+    assert ok(t) and not ok(t, now=1300.0) and not ok(t, "p", "a.b", "r%7C") and not ok(t[:-1] + ("0" if t[-1] != "0" else "1"))
+    assert not any(ok(x) for x in (None, "", "x", "a|b|c|d|e.f", t.replace("1300", "9999")))
+    assert not challenge.valid(ledger.keyed_mac(b"other"), t, "p|x", "a.b", "r%7C", 1001.0)
+
+
+def test_a_key_is_installed_once(spark, tmp_path):
+    from tidewatch.sources import sinks
+
+    sinks.install_key(spark, f"{tmp_path}/key", "k1", "f")
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.install_key(spark, f"{tmp_path}/key", "k2", "f")
+    assert spark.read.json(f"{tmp_path}/key").first()["key_id"] == "k1"
+
+
+# --- running sums, engines -----------------------------------------------------------------
+
+
+def test_running_sums_against_one_window(spark):
+    import random
+
+    from tidewatch.operators.running import running
+
+    random.seed(2)
+    values = [None, float("nan"), float("inf"), -float("inf"), 0.0, 1e9, -500.0, 0.5, 0.50001] + [random.gauss(0, 2) for _ in range(200)]
+    rows = [(g, v, random.randint(0, 5)) for g in ("a", None) for v in values]
+    t = spark.createDataFrame(rows, "g string, v double, n int")
+    rank = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    for by in ((), ("g",)):
+        one = t if by else t.where("g = 'a'")
+        src = rows if by else [r for r in rows if r[0] == "a"]
+        for down, strict in ((False, False), (True, False), (False, True)):
+            got = {(r["g"], repr(r["v"])): r["s"] for r in running(one, "v", {"s": "n"}, by, descending=down, strict=strict).collect()}
+            for g, v, _ in src:
+                before = lambda x: (rank(x) > rank(v) if down else rank(x) < rank(v)) or (not strict and rank(x) == rank(v))  # noqa: B023, E731
+                assert got[g, repr(v)] == sum(n for h, x, n in src if h == g and before(x)), (by, down, strict, v)
+
+
+def test_percentiles_in_bounded_memory(spark):
+    t = spark.range(10_000).withColumn("v", F.col("id").cast("double"))
+    exact, near = (metrics.percentiles(t, "v", (), a).first() for a in (None, 1000))
+    assert abs(exact["p95"] - near["p95"]) <= 20 and exact["mean"] == near["mean"]
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    net = models.Autoencoder([rng.normal(size=s) for s in ((3, 4), (4, 2), (2, 4), (4, 3))], [rng.normal(size=n) for n in (4, 2, 4, 3)], np.zeros(3), np.ones(3), [rng.normal(size=4) for _ in range(2)], [rng.normal(size=4) for _ in range(2)], [np.zeros(4)] * 2, [np.ones(4)] * 2)
+    assert net.inner() == [0, 2]
+    x, drops = rng.normal(size=(7, 3)), [(rng.random((7, 4)) > 0.2) / 0.8 for _ in range(2)]
+    *grads, _, _ = models.gradients(net, x, drops)
+    for params, found in zip((net.weights, net.biases, net.scales, net.shifts), grads, strict=True):
+        for p, g in zip(params, found, strict=True):
+            at = tuple(rng.integers(0, n) for n in p.shape)
+            old = p[at]
+            p[at] = old + 1e-6
+            up = models.gradients(net, x, drops)[-1]
+            p[at] = old - 1e-6
+            down = models.gradients(net, x, drops)[-1]
+            p[at] = old
+            assert abs((up - down) / 2e-6 - g[at]) < 1e-4 * (1 + abs(g[at]))
+
+
+def test_engines_are_kept_recalibrated_and_fitted_by_type(spark, tmp_path, monkeypatch):
+    from tidewatch.operators import engines
+
+    monkeypatch.setattr(models, "fit_autoencoder", lambda x, keep=models.fit_autoencoder: keep(x, (3, 2), epochs=3))
+    monkeypatch.setattr(models, "fit_forest", lambda x, keep=models.fit_forest: keep(x, trees=20))
+    rng = np.random.default_rng(0)
+    rows = [(i, "big" if i % 3 else "mid" if i % 2 else "rare" if i % 60 == 0 else "big", *map(float, rng.normal(i % 3, 1, 3))) for i in range(1500)]
+    t = spark.createDataFrame(rows, "event_id long, kind string, x double, y double, z double")
+    train, val, test = t.where("event_id < 900"), t.where("event_id between 900 and 1199"), t.where("event_id >= 1200")
+    e = engines.fit(train, val, ("x", "y", "z"))
+    engines.save(e, f"{tmp_path}/e")
+    kept = engines.load(spark, f"{tmp_path}/e")
+    scores = lambda engine: {r["event_id"]: (r["f_e"], r["f_s"], r["r_0.6"]) for r in engines.score(engine, test).collect()}
+    assert scores(e) == scores(kept) and all(0 <= x <= 1 for v in scores(e).values() for x in v)
+    again = engines.calibrated_on(kept, test, typed=False)
+    assert again.forest is kept.forest and scores(again) != scores(kept)
+    assert max(v[0] for v in scores(again).values()) == 1.0
+    own, default = engines.fit_by_type(train, val, ("x", "y", "z"), least=100)
+    assert set(own) == {"big", "mid"} and default == "big"
+    engines.save_by_type(own, default, f"{tmp_path}/t")
+    own, default = engines.load_by_type(spark, f"{tmp_path}/t")
+    got = engines.score_by_type(own, default, test).groupBy("kind", "engine").count().collect()
+    assert {(r["kind"], r["engine"]) for r in got} == {("big", "big"), ("mid", "mid"), ("rare", "big")} and sum(r["count"] for r in got) == test.count()

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch import model as M
+from tidewatch.session import materialise
 
 SIGNED = ("recId", "prevHash", "seq", "ts", "principal", "action", "resource", "r", "R", "verdict", "h_feat")
 Sign = Callable[[bytes], str]
@@ -123,13 +124,24 @@ def verify(hashed: DataFrame, heads: DataFrame | None = None, bad_signature: Col
     return out.select("principal", "records", (at == -1).alias("intact"), at.alias("first_discontinuity"))
 
 
-def admit(records: DataFrame, sign: Sign) -> DataFrame:
-    """recId, principal, seq, reason: what a ledger says to records offered in (arrival) order.
+def admit(records: DataFrame, sign: Sign, heads: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """recId, principal, seq, arrival, reason: what a ledger says to records offered in order of (arrival, principal).
 
-    Checks in order: ids present, recId seen before, signature, seq after the head, prevHash of it.
-    A record is a duplicate if an accepted one had its recId; as a recId names its principal's
-    record, repeats are looked for within the principal's chain.
+    Checks in order: ids present, recId among the accepted records of any principal, signature, seq
+    after the head, prevHash of it. ``heads`` (principal, head_seq, head_hash) and ``known`` (recId) are what
+    the ledger holds already.
+
+    Chains are folded a principal at a time. A recId under several principals ties their chains
+    together: what a chain accepted blocks later records of that recId elsewhere, and the fold is
+    repeated until nothing changes, which settles at least the next such record each time.
     """
+    spark = records.sparkSession
+    rows = records.select(*M.RECORD.names, "arrival")
+    uses = rows.where("recId is not null").groupBy("recId").agg(F.count("*").alias("_n"), (F.min("principal") != F.max("principal")).alias("_cross")).where("_n > 1")
+    rows = rows.join(uses, "recId", "left").withColumns({"_again": F.col("_n").isNotNull(), "_cross": F.coalesce("_cross", F.lit(False))}).drop("_n")
+    rows = rows.join(known.select("recId").distinct().withColumn("_held", F.lit(True)), "recId", "left") if known is not None else rows.withColumn("_held", F.lit(None).cast("boolean"))
+    start = heads.select("principal", "head_seq", "head_hash") if heads is not None else spark.createDataFrame([], "principal string, head_seq long, head_hash string")
+    rows = materialise(rows.join(start, "principal", "left"), "offered")
 
     def fold(batches):
         who, head, seen = None, (0, M.GENESIS), set()
@@ -137,10 +149,11 @@ def admit(records: DataFrame, sign: Sign) -> DataFrame:
             out = []
             for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
                 if r["principal"] != who:
-                    who, head, seen = r["principal"], (0, M.GENESIS), set()
+                    who, seen = r["principal"], set()
+                    head = (int(r["head_seq"]), r["head_hash"]) if r["head_seq"] is not None else (0, M.GENESIS)
                 if not r["recId"] or not r["principal"]:
                     why = "recId and principal are required"
-                elif r["recId"] in seen:
+                elif r["_held"] or r["_blocked"] or r["recId"] in seen:
                     why = "duplicate recId"
                 elif r["sig"] != sign(canonical(r)):
                     why = "signature does not verify"
@@ -150,13 +163,31 @@ def admit(records: DataFrame, sign: Sign) -> DataFrame:
                     why = "prevHash mismatch"
                 else:
                     why = ""
-                    seen.add(r["recId"])
+                    if r["_again"]:  # only ids that come again need remembering
+                        seen.add(r["recId"])
                     head = (int(r["seq"]), record_hash(r))
-                out.append((r["recId"], r["principal"], r["seq"], why))
-            yield pd.DataFrame(out, columns=["recId", "principal", "seq", "reason"])
-
-    rows = records.select(*M.RECORD.names, "arrival").repartition("principal").sortWithinPartitions("principal", "arrival")
-    return rows.mapInPandas(fold, "recId string, principal string, seq long, reason string")
+                out.append((r["recId"], r["principal"], r["seq"], r["arrival"], why, r["_cross"]))
+            yield pd.DataFrame(out, columns=["recId", "principal", "seq", "arrival", "reason", "_cross"])
+
+    def folded(blocked: DataFrame | None) -> DataFrame:
+        marked = rows.withColumn("_blocked", F.lit(None).cast("boolean")) if blocked is None else rows.join(blocked.withColumn("_blocked", F.lit(True)), ["recId", "principal", "arrival"], "left")
+        names = [*M.RECORD.names, "arrival", "_again", "_cross", "_held", "_blocked", "head_seq", "head_hash"]
+        ordered = marked.select(*names).repartition("principal").sortWithinPartitions("principal", "arrival", "recId")
+        return ordered.mapInPandas(fold, "recId string, principal string, seq long, arrival long, reason string, _cross boolean")
+
+    out = folded(None)
+    if not rows.where("_cross").isEmpty():
+        last = None
+        while True:
+            out = materialise(out, "admitted")
+            first = Window.partitionBy("recId").orderBy("arrival", "principal").rowsBetween(Window.unboundedPreceding, -1)
+            earlier = F.max(F.col("reason") == "").over(first)
+            blocked = materialise(out.where("_cross").withColumn("_late", earlier).where("_late").select("recId", "principal", "arrival").distinct(), "blocked")
+            now = blocked.agg(F.count("*"), F.sum(F.xxhash64("recId", "principal", "arrival").cast("decimal(38,0)"))).first()
+            if now == last or not now[0]:
+                break
+            last, out = now, folded(blocked)
+    return out.drop("_cross")
 
 
 def tamper(records: DataFrame, kind: str, victims: Column) -> DataFrame:

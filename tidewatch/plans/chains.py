@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch import model as M
 from tidewatch.functions import columns as C
-from tidewatch.operators import ledger
+from tidewatch.operators import history, ledger
 from tidewatch.plans.catalog import effective, query, risk
 from tidewatch.plans.sql import EV
-from tidewatch.session import scratch
+from tidewatch.session import materialise, scratch
 from tidewatch.sources import proxy
-from tidewatch.streaming import online
+from tidewatch.streaming import challenge, committer, online
 
 #: Keyed stand-in for a signature; a deployment hands in its own signer.
 SIGN = ledger.keyed_mac(b"example key")
@@ -92,7 +94,8 @@ def ledger_admission(spark, d):
     r = ledger.chained(decisions(spark, d), SIGN).withColumn("arrival", F.col("seq") * 2)
     again = r.where(F.col("seq") % 9 == 0).withColumn("arrival", F.col("arrival") + 1)
     forged = r.where(F.col("seq") % 11 == 0).withColumn("recId", F.concat(F.lit("x"), "recId")).withColumn("arrival", F.col("arrival") + 1)
-    return ledger.admit(r.unionByName(again).unionByName(forged), SIGN)
+    stolen = r.where(F.col("seq") % 13 == 0).withColumn("principal", F.concat(F.lit("x"), "principal")).withColumn("arrival", F.col("arrival") + 1)
+    return ledger.admit(r.unionByName(again).unionByName(forged).unionByName(stolen), SIGN)
 
 
 @query()
@@ -122,9 +125,14 @@ def evidence_recheck(spark, d):
 
 
 def requests(spark, d) -> DataFrame:
-    e = proxy.events(spark, d)
+    """The events as live requests: their context, and what needs no history, beside them."""
+    e = history.features(proxy.events(spark, d), online.CONTEXT)
     s = C.sensitivity(F.col("action"), F.col("resource"), F.col("egress"))
-    return e.select("event_id", "ts", "principal", "action", "resource", "bytes_read", s.cast("double").alias("sensitivity"), ((F.col("event_id") % 3) / 2.0).alias("credit"))
+    context = F.create_map(*[x for c in online.CONTEXT for x in (F.lit(c), F.col(c))])
+    return e.select(
+        "event_id", "ts", "principal", "action", "resource", "bytes_read", s.cast("double").alias("sensitivity"), ((F.col("event_id") % 3) / 2.0).alias("credit"), "pc", "asn", "lat", "lon",
+        F.hour("ts").alias("hour"), F.lit(None).cast("boolean").alias("managed"), F.lit(None).cast("double").alias("mfa_age"), context.alias("context"),
+    )
 
 
 def streamed(spark, d) -> DataFrame:
@@ -158,3 +166,46 @@ def stream_equals_batch(spark, d):
 @query()
 def online_verdict_counts(spark, d):
     return online.replay(requests(spark, d)).groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("r_eff"), 6).alias("mean_risk"))
+
+
+@query()
+def online_features_equal_batch(spark, d):
+    """Features that the online path and the batch see otherwise, where nothing is denied: none. Counts that the state has pruned differ by 1e-5 at most."""
+    live = online.replay(requests(spark, d), lambda f: 0.0)
+    batch = history.features(proxy.events(spark, d))
+    both = live.select("event_id", "features").join(batch.select("event_id", F.array(*M.FEATURES).alias("x")), "event_id")
+    apart = F.zip_with("features", "x", lambda a, b: F.abs(a - b) > 1e-5 * (1 + F.abs(b)))
+    wrong = F.filter(F.zip_with(apart, F.array(*map(F.lit, M.FEATURES)), lambda w, n: F.when(w, n)), lambda n: n.isNotNull())
+    return both.agg(F.count("*").alias("rows"), F.count(F.when(F.size(wrong) > 0, 1)).alias("different"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(wrong)))).alias("features"))  # few distinct sets
+
+
+@query()
+def stepup_challenges(spark, d):
+    """Challenges of decisions that ask for a step-up, answered after up to ten minutes, a fifth of them for another resource."""
+    asked = online.replay(requests(spark, d)).where("verdict = 'STEPUP'").select("event_id")
+    asked = requests(spark, d).join(asked, "event_id", "left_semi").select("event_id", "ts", "principal", "action", "resource")
+
+    @F.pandas_udf("boolean")
+    def answered(i: pd.Series, ts: pd.Series, p: pd.Series, a: pd.Series, r: pd.Series) -> pd.Series:
+        out = []
+        for n, t, *what in zip(i, ts, p, a, r, strict=True):
+            now = t.timestamp()
+            token = challenge.issue(SIGN, *what, now, str(n))
+            out.append(challenge.valid(SIGN, token, what[0], what[1], what[2] + ("/other" if n % 5 == 0 else ""), now + n % 600))
+        return pd.Series(out, dtype=bool)
+
+    i = F.col("event_id")
+    right = (i % 5 != 0) & (i % 600 < challenge.TTL_S)
+    return asked.select("event_id", answered("event_id", "ts", "principal", "action", "resource").alias("valid"), right.alias("expected"))
+
+
+@query()
+def ledger_commit_counters(spark, d):
+    """Records offered as a stream, some of them twice: what was committed, refused and left."""
+    base = scratch(spark, "commit")
+    r = ledger.chained(decisions(spark, d), SIGN).withColumn("arrival", F.col("seq") * 2)
+    again = r.where(F.col("seq") % 9 == 0).withColumn("arrival", F.col("arrival") + 1)
+    offered = materialise(r.unionByName(again), "offered")
+    offered.write.parquet(f"{base}/in")
+    committer.commit(spark.readStream.schema(offered.schema).parquet(f"{base}/in"), f"{base}/ledger", f"{base}/checkpoint", SIGN).awaitTermination()
+    return committer.counters(spark, f"{base}/ledger", offered)

@@ -16,16 +16,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch import model as M
 from tidewatch.operators.ledger import record_hash
 
 PRUNE = 1e-6
-#: Seconds within which a step-up challenge may be answered.
-CHALLENGE_S = 300
-REQUEST = "event_id long, ts timestamp, principal string, action string, resource string, bytes_read long, sensitivity double, credit double"
-DECISION = "event_id long, ts timestamp, principal string, action_frequency double, resource_novelty double, calls_60min double, log_inter_request_gap double, r double, r_eff double, verdict string, seq long, prevHash string, hash string"
+REQUEST = "event_id long, ts timestamp, principal string, action string, resource string, bytes_read long, sensitivity double, credit double, pc string, asn string, lat double, lon double, hour int, managed boolean, mfa_age double, context map<string,double>"
+#: Features that a request has without any history: the batch side computes them, ``context`` carries them.
+CONTEXT = ("principal_type", "cross_account_depth", "is_supervisor", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_session_action", "is_egress_action", "cross_account_flag", "arn_prefix_depth")
+DECISION = "event_id long, ts timestamp, principal string, action_frequency double, resource_novelty double, calls_60min double, log_inter_request_gap double, r double, r_eff double, verdict string, seq long, prevHash string, hash string, features array<double>"
 
 Score = Callable[[dict], float]
 
@@ -46,16 +47,22 @@ def effective(r: float, s: float, c: float) -> float:
 
 
 class Profile:
-    """One principal's decayed counts, recent requests and chain head."""
+    """One principal's decayed counts, first times, recent requests and chain head."""
 
     def __init__(self, text: str | None = None) -> None:
         d = json.loads(text) if text else {}
         self.at: float | None = d.get("at")  # what the counts are decayed to
+        self.first: float | None = d.get("first")
         self.seen: float | None = d.get("seen")  # the last request that was taken in
+        self.logon: float | None = d.get("logon")
+        self.place: list[float] | None = d.get("place")
         self.total: float = d.get("total", 0.0)
+        self.reads: float = d.get("reads", 0.0)
         self.actions: dict[str, float] = d.get("actions", {})
         self.resources: dict[str, float] = d.get("resources", {})
-        self.recent: list[float] = d.get("recent", [])
+        self.hours: dict[str, float] = d.get("hours", {})
+        self.ever: dict[str, dict[str, int]] = d.get("ever", {"action": {}, "resource": {}, "asn": {}, "pc": {}})  # as sets
+        self.recent: list[list] = d.get("recent", [])  # time, resource, action, bytes
         self.seq: int = d.get("seq", 0)
         self.head: str = d.get("head", M.GENESIS)
 
@@ -67,33 +74,87 @@ class Profile:
         if self.at is not None and now > self.at:
             k = 2.0 ** (-(now - self.at) / (M.HALF_LIFE_DAYS * 86400))
             self.total *= k
-            for counts in (self.actions, self.resources):
+            self.reads *= k
+            for counts in (self.actions, self.resources, self.hours):
                 for key in list(counts):
                     counts[key] *= k
                     if counts[key] < PRUNE:
                         del counts[key]
         self.at = now if self.at is None else max(now, self.at)
 
+    def distance(self, row: dict) -> float:
+        if self.place is None or row.get("lat") is None:
+            return 0.0
+        a, b, turn = *map(math.radians, (self.place[0], row["lat"])), math.radians(row["lon"]) - math.radians(self.place[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(turn / 2) ** 2
+        return 2 * M.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
     def describe(self, row: dict, now: float) -> dict:
-        share = lambda counts, key: counts.get(key, 0.0) / self.total if self.total > 0 else 0.0
-        self.recent = [t for t in self.recent if now - t <= 3600]
-        return {
-            "action_frequency": share(self.actions, row["action"]), "resource_novelty": 1 - share(self.resources, row["resource"]),
-            "calls_60min": float(len(self.recent)), "log_inter_request_gap": math.log1p(max(0.0, now - self.seen)) if self.seen is not None else 0.0,
+        """All features of a request, from the history that was taken in and from the request itself."""
+        share = lambda part, default=0.0: part / self.total if self.total > 0 else default
+        new = lambda kind, key: float(key not in self.ever[kind])
+        self.recent = [x for x in self.recent if now - x[0] <= 3600]
+        within = lambda s: float(sum(now - x[0] <= s for x in self.recent))
+        pc, hour = row.get("pc") or "", int(row["hour"]) if row.get("hour") is not None else row["ts"].hour
+        host = new("pc", pc) if pc else 1.0
+        modal = max(self.hours, key=lambda h: (self.hours[h], -int(h)), default=None)
+        apart = abs(hour - int(modal)) if modal is not None else 0
+        since = now - self.logon if self.logon is not None else None
+        mfa = row.get("mfa_age")
+        mfa = None if mfa is None else max(0.0, mfa)
+        fading = 2.0 ** (-max(0.0, now - self.at) / (M.HALF_LIFE_DAYS * 86400)) if self.at is not None else 1.0
+        parts = [p for a in M.ACTIONS if (p := share(self.actions.get(a, 0.0))) > 0]
+        own = {
+            "role_tenure_days": (now - self.first) / 86400 if self.first is not None else 0.0,
+            "policy_breadth": float(len(self.ever["action"])),
+            "modal_hour_deviation": min(apart, 24 - apart) / 12 if self.total > 0 else 0.0,
+            "log_inter_request_gap": math.log1p(max(0.0, now - self.seen)) if self.seen is not None else 0.0,
+            "action_frequency": share(self.actions.get(row["action"], 0.0)),
+            "read_write_ratio": share(self.reads, 0.5),
+            "first_time_action": new("action", row["action"]),
+            "action_class_entropy": -sum(p * math.log(p) for p in parts) if parts else 0.0,
+            "log_action_history": math.log1p(self.total * fading),
+            "resource_sensitivity": row["sensitivity"],
+            "resource_novelty": 1 - share(self.resources.get(row["resource"], 0.0)),
+            "first_time_resource": new("resource", row["resource"]),
+            "calls_1min": within(60), "calls_15min": within(900), "calls_60min": within(3600),
+            "log_bytes_read_60min": math.log1p(sum(x[3] for x in self.recent)),
+            "distinct_resources_60min": float(len({x[1] for x in self.recent})), "distinct_actions_60min": float(len({x[2] for x in self.recent})),
+            "asn_novelty": new("asn", row.get("asn") or "AS0"),
+            "geodesic_distance_km": self.distance(row),
+            "device_fingerprint_match": 1.0 if row.get("managed") is True else 1 - host,
+            "log_mfa_age": math.log1p(mfa) if mfa is not None else math.log1p(since) if since is not None else 0.0,
+            "host_novelty": host,
         }
+        return {k: 0.0 for k in M.FEATURES} | dict(row.get("context") or {}) | own
 
     def observe(self, row: dict, now: float) -> None:
+        hour = str(int(row["hour"]) if row.get("hour") is not None else row["ts"].hour)
         self.total += 1
-        self.actions[row["action"]] = self.actions.get(row["action"], 0.0) + 1
-        self.resources[row["resource"]] = self.resources.get(row["resource"], 0.0) + 1
-        self.recent.append(now)
+        self.reads += row["action"] in M.READS
+        for counts, key in ((self.actions, row["action"]), (self.resources, row["resource"]), (self.hours, hour)):
+            counts[key] = counts.get(key, 0.0) + 1
+        for kind, key in (("action", row["action"]), ("resource", row["resource"]), ("asn", row.get("asn") or "AS0"), ("pc", row.get("pc") or "")):
+            self.ever[kind][key] = 1
+        self.recent.append([now, row["resource"], row["action"], int(row.get("bytes_read") or 0)])
+        self.first = now if self.first is None else self.first
         self.seen = now
+        self.place = [row["lat"], row["lon"]] if row.get("lat") is not None else self.place
+        if row["action"] == "sts:AssumeRole":
+            self.logon = now
+
+
+def completed(requests: DataFrame) -> DataFrame:
+    """The columns of REQUEST; those that ``requests`` lacks are null."""
+    kinds = [c.split(" ", 1) for c in REQUEST.split(", ")]
+    return requests.select(*[F.col(n) if n in requests.columns else F.lit(None).cast(t).alias(n) for n, t in kinds])
 
 
 def decide(profile: Profile, rows: list[dict], score: Score) -> list[tuple]:
     """Decisions on requests in order; the profile is updated as they are taken."""
     out = []
     for row in rows:
+        row = {k: None if isinstance(v, float) and math.isnan(v) else v for k, v in row.items()}
         now = row["ts"].value / 1e9
         f = profile.describe(row, now)
         profile.age(now)
@@ -103,7 +164,7 @@ def decide(profile: Profile, rows: list[dict], score: Score) -> list[tuple]:
         profile.seq += 1
         record = {"recId": f"{row['event_id']:012d}", "prevHash": profile.head, "seq": profile.seq, "ts": row["ts"].isoformat(), "principal": row["principal"], "action": row["action"], "resource": row["resource"], "r": r, "r_eff": r_eff, "verdict": verdict, "h_feat": None, "sig": ""}
         before, profile.head = profile.head, record_hash(record)
-        out.append((row["event_id"], row["ts"], row["principal"], f["action_frequency"], f["resource_novelty"], f["calls_60min"], f["log_inter_request_gap"], r, r_eff, verdict, profile.seq, before, profile.head))
+        out.append((row["event_id"], row["ts"], row["principal"], f["action_frequency"], f["resource_novelty"], f["calls_60min"], f["log_inter_request_gap"], r, r_eff, verdict, profile.seq, before, profile.head, [float(f[c]) for c in M.FEATURES]))
         if verdict != "DENY":
             profile.observe(row, now)
     return out
@@ -121,7 +182,7 @@ def online(requests: DataFrame, score: Score = history_score) -> DataFrame:
         state.update((profile.dump(),))
         yield pd.DataFrame(rows, columns=names)
 
-    return requests.groupBy("principal").applyInPandasWithState(step, DECISION, "profile string", "append", GroupStateTimeout.NoTimeout)
+    return completed(requests).groupBy("principal").applyInPandasWithState(step, DECISION, "profile string", "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(requests: DataFrame, score: Score = history_score) -> DataFrame:
@@ -138,5 +199,4 @@ def replay(requests: DataFrame, score: Score = history_score) -> DataFrame:
                 out += decide(profile, own.to_dict("records"), score)
             yield pd.DataFrame(out, columns=names)
 
-    cols = [c.split()[0] for c in REQUEST.split(", ")]
-    return requests.select(*cols).repartition("principal").sortWithinPartitions("principal", "ts", "event_id").mapInPandas(fold, DECISION)
+    return completed(requests).repartition("principal").sortWithinPartitions("principal", "ts", "event_id").mapInPandas(fold, DECISION)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialise, shared_dir  # noqa: F401
+
 #: Text bytes that one vectorised step works on; bounds the temporaries of a Python worker.
 CHUNK_BYTES = 1 << 20
 #: Bytes that a worker's learned entries (words and their ids) may hold before it starts anew, about.
@@ -23,25 +23,6 @@ ENTRY_BYTES = 150
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is used only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file:///tmp/checkpoints/tidewatch-{os.getuid()}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Learned:
     """What an operator's model has looked up so far, by key, within ``LEARNED_BYTES``."""
 

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import NULL_ID, materialise, table
 
 MIN_WORDS = 5
+#: Characters from which the query matches lines within one edit, whatever their words.
+NEAR_CHARS = 20
 #: Characters of the segments that variants are emitted from, about.
 SEGMENT = 32
 BLANKS = " \t\r "
@@ -153,4 +155,4 @@ def dedup(docs: DataFrame, *, text_col: str = "text", min_words: int = MIN_WORDS
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), count_cols=True)
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), near_chars=NEAR_CHARS, count_cols=True)

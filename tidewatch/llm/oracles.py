@@ -46,9 +46,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 OP2 = r"""WITH l AS (
   SELECT doc_id, pos, trim(x, ' ' || chr(9) || chr(13) || chr(160)) AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)),
-e AS (SELECT *, length(line) AS n FROM l WHERE regexp_matches(line, '^(\S+\s+){4}\S')),
+e AS (SELECT *, length(line) AS n FROM l WHERE length(line) > 0),
 u AS (SELECT line, n, min((doc_id, pos)) AS first FROM e GROUP BY 1, 2),
-k AS (SELECT line, n AS n0, first, n - m.less AS n, left(line, (n - m.less) // 2) AS front, right(line, (n - m.less) - (n - m.less) // 2) AS back FROM u, (VALUES (0), (1)) m(less)),
+able AS (SELECT * FROM u WHERE n >= 20 OR regexp_matches(line, '^(\S+\s+){4}\S')),
+k AS (SELECT line, n AS n0, first, n - m.less AS n, left(line, (n - m.less) // 2) AS front, right(line, (n - m.less) - (n - m.less) // 2) AS back FROM able, (VALUES (0), (1)) m(less)),
 c AS (SELECT a.line AS a, b.line AS b, b.first FROM k a JOIN k b ON a.n = b.n AND a.front = b.front AND a.line <> b.line AND b.first < a.first
   UNION SELECT a.line, b.line, b.first FROM k a JOIN k b ON a.n = b.n AND a.back = b.back AND a.line <> b.line AND b.first < a.first),
 p AS (SELECT *, coalesce(list_position(list_transform(range(1, greatest(length(a), length(b)) + 1), lambda i: substring(a, i, 1) = substring(b, i, 1)), false), 0) AS q FROM c WHERE abs(length(a) - length(b)) <= 1),

@@ -182,6 +182,32 @@ def test_large_components_stay_exact():
     assert sorted(zip(rows[1], rows[2])) == [(2, 2**80), (3, 2**80 + 1)]
 
 
+def test_short_vectors_are_not_sent_to_queries_that_need_long_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=6) * (20 if i % 10 == 0 else 0.05)).tolist()) for i in range(900)]
+    rows += [(1000, [0.0] * 6), (1010, None), (1020, (rng.normal(size=6) * 1e-3).tolist())]
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, topk.F.pmod("id", topk.F.lit(10)) == 0, k=5).collect()]
+    assert sorted(got) == sorted(x for x in brute_top_of(rows, 5, 10))
+
+def brute_top_of(rows, k, modulus):
+    good = [(i, [int(np.floor(64 * x)) for x in e]) for i, e in rows if e is not None]
+    for q, a in good:
+        if q % modulus == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
+            yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+
+
+def test_many_copies_of_one_vector(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rows = [(i, [0.5, -0.25, 1.0]) for i in range(700)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), topk.F.pmod("id", topk.F.lit(100)) == 0, k=3).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == sorted((q, c) for q in range(0, 700, 100) for c in [x for x in range(4) if x != q][:3])
+
+
 # --- registry and pipeline -----------------------------------------------------------------
 
 

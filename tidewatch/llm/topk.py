@@ -7,7 +7,9 @@ known floor (Cauchy-Schwarz with the lengths), then partial sums over the leadin
 SVD rotation with the rest bounded by the residual lengths, then the exact integer products of
 what is left. Each pair of blocks gives at most k rows a query, which are ranked at the end.
 
-The floors come from a first look: each query against one bounded block of the longest vectors;
+A query needs candidates of its floor over its own length at least: query blocks are made by that
+need, and a block pair is only made, and its rows only sent, where the candidates' greatest length
+reaches the least need of the queries. The floors come from a first look: each query against one bounded block of the longest vectors;
 the k-th best there is a lower bound of the k-th best overall.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part;
@@ -115,19 +117,25 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "ve
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("cand").alias(id_col), "score")
 
 
+def cuts_of(values: DataFrame, blocks: int) -> np.ndarray:
+    """Rising bounds that part column x into about ``blocks`` blocks of equal depth; block i ends at bound i, the last has none."""
+    if blocks < 2:
+        return np.zeros(0)
+    return np.unique(values.approxQuantile("x", [i / blocks for i in range(1, blocks)], 0.25 / blocks))
+
+
 def _of_one_dimension(own: DataFrame, is_query: Column, dim: int, n: int, m: int, k: int) -> DataFrame:
     axes = rotation(own, dim)[:, : min(AXES, dim)]
     longest = own.orderBy(F.col("length").desc(), "id").limit(CANDIDATES).select("id", "v", "length").collect()  # one block
     top_ids, top_v = np.array([r["id"] for r in longest], np.int64), np.array([r["v"] for r in longest], float).reshape(-1, dim)
     # blocks of equal depth by length; a hash parts equal lengths
-    n_blocks = min(-(-n // CANDIDATES), 4096)
-    depth = F.col("length") + F.lit(1e-9) * (F.col("length") + 1) * F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
-    cuts = own.select(depth.alias("depth")).approxQuantile("depth", [i / n_blocks for i in range(1, n_blocks)], 0.25 / n_blocks) if n_blocks > 1 else []
-    q_blocks = -(-m // QUERIES)
-    shared = own.sparkSession.sparkContext.broadcast((axes, top_ids, top_v))
+    spread = F.lit(1e-9) * F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
+    depth = F.col("length") + spread * (F.col("length") + 1)
+    cuts = cuts_of(own.select(depth.alias("x")), -(-n // CANDIDATES))
+    shared = own.sparkSession.sparkContext.broadcast((axes, top_ids, top_v, cuts))
 
     def floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, ids, v = shared.value
+        _, ids, v, _ = shared.value
         for b in batches:
             q = np.array(b["v"].tolist(), float).reshape(-1, dim)
             low = np.full(len(q), -np.inf)
@@ -138,13 +146,33 @@ def _of_one_dimension(own: DataFrame, is_query: Column, dim: int, n: int, m: int
                     low[lo : lo + 256] = np.partition(s, -k, axis=1)[:, -k]
             yield b.assign(floor=low)
 
-    queries = own.where(is_query).select("id", "v").mapInPandas(floors, "id long, v array<double>, floor double")
-    cuts = sorted(set(cuts))
-    block = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0).cast("long"), lambda a, c: a + F.when(depth > c, 1).otherwise(0)) if cuts else F.lit(0).cast("long")
-    cand = own.withColumn("c", block)
-    q = queries.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("long"))
-    left = q.select("id", "v", "floor", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(cuts)).cast("long"))).alias("c"))
-    right = cand.select("id", "v", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"))
+    # the least length that a candidate of the query must have; a tolerance covers the division's rounding
+    need = F.when(F.col("length") > 0, F.col("floor") / F.col("length") * (1 - F.signum("floor") * 1e-9)).otherwise(F.when(F.col("floor") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
+    queries = own.where(is_query).select("id", "v", "length").mapInPandas(floors, "id long, v array<double>, length double, floor double")
+    queries = materialise(queries.select("id", "v", "floor", F.greatest(need, F.lit(0.0)).alias("need")), "queries")
+    wanted = F.col("need") + spread * (F.least("need", F.lit(1e300)) + 1)
+    q_cuts = cuts_of(queries.select(wanted.alias("x")), -(-m // QUERIES))
+    q_shared = own.sparkSession.sparkContext.broadcast((q_cuts, cuts))
+
+    def query_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A query in block q, once for each candidate block that can hold what it needs."""
+        q_at, c_at = q_shared.value
+        for b in batches:
+            first = np.searchsorted(c_at, b["need"].to_numpy())
+            yield b.assign(q=np.searchsorted(q_at, b["x"].to_numpy()), first=np.minimum(first, len(c_at)))
+
+    def candidate_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A candidate in block c, with the last query block whose least need its block's greatest length reaches."""
+        q_at, c_at = q_shared.value
+        for b in batches:
+            c = np.searchsorted(c_at, b["x"].to_numpy())
+            most = np.append(c_at, np.inf)[c]
+            yield b.assign(c=c, last=np.searchsorted(q_at, most + 2e-9 * (most + 1)))  # a query's place lies a little above its need
+
+    placed = queries.withColumn("x", wanted).mapInPandas(query_blocks, "id long, v array<double>, floor double, need double, x double, q long, first long")
+    left = placed.select("id", "v", "floor", "q", F.explode(F.sequence(F.col("first"), F.lit(len(cuts)).cast("long"))).alias("c"))
+    cand = own.withColumn("x", depth).select("id", "v", "x").mapInPandas(candidate_blocks, "id long, v array<double>, x double, c long, last long")
+    right = cand.select("id", "v", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("q"))
 
     def pair(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):

@@ -9,6 +9,7 @@ from tidewatch.llm.common import crc_bucket
 
 #: Labelled rows of each class that a classifier is fitted on, at most (about).
 SAMPLE_ROWS = 8_000
+SAMPLE_FILES = 8
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus: int, held_out: int, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -29,4 +30,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus: int, held
         weight = F.when(F.col("label") == value, F.lit(1 / share)).otherwise(weight)
     chosen = own.where(keep).groupBy("_id").agg(F.max("label").alias("label")).withColumn("weight", weight)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(chosen), text["doc_id"] == chosen["_id"]).select("doc_id", "text", "label", "weight")
+    # the sample is bounded: a few files hold it, not one for each split of the whole table
+    return text.join(F.broadcast(chosen), text["doc_id"] == chosen["_id"]).select("doc_id", "text", "label", "weight").repartition(SAMPLE_FILES)

@@ -15,8 +15,8 @@ from tidewatch.session import materialise, shared_dir  # noqa: F401
 
 #: Text bytes that one vectorised step works on; bounds the temporaries of a Python worker.
 CHUNK_BYTES = 1 << 20
-#: Bytes that a worker's learned entries (words and their ids) may hold before it starts anew, about.
-LEARNED_BYTES = 32 << 20
+#: Bytes that a worker's learned entries (words and their ids) may hold before it starts anew, about; a model may hold two such tables.
+LEARNED_BYTES = 96 << 20
 #: Of an entry, beside its characters: two objects' frames and a place in the table.
 ENTRY_BYTES = 150
 #: Stands for a null id inside joins and groupings.
@@ -60,8 +60,8 @@ def release() -> None:
 def held(key: tuple, make: Callable[[], object]) -> Iterator[object]:
     """The model ``key`` of this worker while one iterator runs.
 
-    A worker holds one model: another operator's goes before this one is made. What a model has
-    learned goes when the iterator ends, so that workers that wait hold no more than a model.
+    A worker holds one model, with what it has learned, within ``LEARNED_BYTES`` each: another
+    operator's goes before this one is made. What allocators hold goes when the iterator ends.
     """
     if key not in _held:
         _held.clear()
@@ -71,8 +71,6 @@ def held(key: tuple, make: Callable[[], object]) -> Iterator[object]:
     try:
         yield model
     finally:
-        if hasattr(model, "forget"):
-            model.forget()
         release()
 
 

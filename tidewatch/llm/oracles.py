@@ -69,3 +69,33 @@ l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 g AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT r.d, g.b FROM r JOIN g ON r.c = g.a)
 SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, min(r.c) = n.doc_id AS kept FROM n JOIN r ON r.d = n.doc_id GROUP BY n.doc_id, n.n"""
+
+
+#: crc32 by bits: a byte's eight bits come from its two hexadecimal digits, lower half first.
+CRC = """list_reduce(list_concat([4294967295], list_transform(range(CAST(8 * strlen({x}) AS BIGINT)), lambda t:
+  ((instr('0123456789ABCDEF', substr(hex(encode({x})), 2 * (t // 8) + CASE WHEN t % 8 < 4 THEN 2 ELSE 1 END, 1)) - 1) >> (t % 4)) & 1)),
+  lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384))"""
+
+OP11 = r"""WITH RECURSIVE o AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT run, length(run) AS l, CAST(count(*) AS BIGINT) AS n, xor({crc}, 4294967295) AS h FROM (SELECT *, id || ':' || run AS x FROM o WHERE length(run) >= 6) GROUP BY id, run, x),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % l AS BIGINT)) || substr(run, CAST(h % l AS BIGINT) + 2) ELSE run END AS word, n FROM c) WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, a.n AS n_a, b.word AS b, b.n AS n_b FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word < b.word
+  UNION SELECT k.word, k.n, w.word, w.n FROM k JOIN w ON k.less = w.word),
+b AS (SELECT a AS word, n_a AS own, b AS near, n_b AS near_n FROM p UNION ALL SELECT b, n_b, a, n_a FROM p),
+f AS (SELECT word, count(*) AS n_near, CASE WHEN max(near_n) >= 5 * max(own) THEN min(near) FILTER (near_n = most) END AS form, CASE WHEN max(near_n) >= 5 * max(own) THEN max(near_n) END AS form_n
+  FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS most FROM b) GROUP BY word),
+r AS (SELECT word, word AS root, 0 AS steps FROM w UNION ALL SELECT r.word, f.form, steps + 1 FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, steps) AS root FROM r GROUP BY 1)
+SELECT w.word, f.form, e.root, w.n, CAST(coalesce(f.n_near, 0) AS BIGINT) AS n_near, f.form_n FROM w JOIN e USING (word) LEFT JOIN f USING (word)""".replace("{crc}", CRC.format(x="x"))
+
+
+OP12 = """WITH r AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, len(embedding) AS dim, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT) AS score FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id AND a.dim = b.dim),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

@@ -1,4 +1,4 @@
-"""The corpus queries, op1 to op10 and the pipeline, with DuckDB SQL where SQL can express them."""
+"""The corpus queries, op1 to op13, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import oracles
+from tidewatch.llm.hardnegatives import op12_hard_negatives
 from tidewatch.llm.linededup import op2_line_dedup
 from tidewatch.llm.media import op9_media_columns
 from tidewatch.llm.neardup import op7_near_duplicates
@@ -17,6 +18,7 @@ from tidewatch.llm.secrets import op10_secret_scans
 from tidewatch.llm.tokencount import op4_token_counts
 from tidewatch.llm.topk import op8_exact_top_k
 from tidewatch.llm.toxicity import op1_toxicity
+from tidewatch.llm.variants import op11_spelling_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +35,8 @@ def queries() -> dict[str, Query]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_media_columns": op9_media_columns,
         "op10_secret_scans": op10_secret_scans,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
@@ -42,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_duplicates": oracles.OP7,
         "op8_exact_top_k": oracles.OP8,
         "op10_secret_scans": oracles.op10(),
+        "op11_spelling_variants": oracles.OP11,
+        "op12_hard_negatives": oracles.OP12,
     }

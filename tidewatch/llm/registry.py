@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm import oracles
 from tidewatch.llm.hardnegatives import op12_hard_negatives
 from tidewatch.llm.linededup import op2_line_dedup
+from tidewatch.llm.linelabels import op13_quality_rules
 from tidewatch.llm.media import op9_media_columns
 from tidewatch.llm.neardup import op7_near_duplicates
 from tidewatch.llm.packing import op3_best_fit_packing
@@ -37,6 +38,7 @@ def queries() -> dict[str, Query]:
         "op10_secret_scans": op10_secret_scans,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 

@@ -6,9 +6,11 @@ whether an earlier line equals it). The field scores a labelling by the lines' f
 labels of neighbours; Viterbi decoding finds the best one, and a document stays if content lines hold
 at least half of its word characters.
 
-The field is fitted by likelihood on a bounded sample of documents with a quality label: lines of good
-ones are content, lines of poor ones boilerplate. Then the poor ones are decoded, what looks like
-content there is relabelled unless that is most of a document, and the field is fitted again.
+The field is fitted by likelihood on a bounded sample of documents with a quality label. Lines of good
+ones begin as content, lines of poor ones as boilerplate, and the features' weights are fitted without
+regard to neighbours. Lines that look otherwise are relabelled, unless they are most of their document,
+and the whole field is fitted to these labels; so a good document's header and a poor one's
+sentences teach it how labels change.
 
 Defined results: null and empty texts have no words (base_failed); a null doc_id keeps its row; blank
 lines have no label; ties of two labellings go to content; repeated rows give repeated results; an
@@ -36,8 +38,8 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 10, 20, 5
 CONTENT_SHARE = 0.5
 #: Documents of each quality that the field is fitted on, about; lines of a training sequence.
 SAMPLE_ROWS, SEQUENCE = 2_000, 32
-#: Steps of the fit, before and after relabelling; weight of the penalty on squares.
-STEPS, PENALTY = (120, 60), 1e-3
+#: Steps of the fit, of single lines and then of the whole field; weight of the penalty on squares.
+STEPS, PENALTY = (80, 100), 1e-3
 #: Bytes that one array step works on.
 BLOCK = 1 << 20
 
@@ -50,6 +52,7 @@ CLASS = np.full(256, 5, np.int64)
 CLASS[65:91], CLASS[48:58], CLASS[SYMBOL], CLASS[ord("!")] = 0, 1, 2, 3
 CLASS[[ord(c) for c in ".,;:?"]] = 4
 N_CLASSES = 6
+#: A line's features count the more the longer it is: all but "one" are times the logarithm of its words.
 FEATURES = ("one", "log_words", "capitals", "digits", "symbols", "loud", "sentence", "in_repeats", "same_word", "seen_before", "word_bytes")
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F)]
 
@@ -172,10 +175,11 @@ def counted(col: pa.Array) -> Counted:
     w, size = np.maximum(n_words, 1), np.maximum(line_stop - line_start, 1)
     share = lambda x, y: np.sqrt(np.minimum(1, x / y))
     by_line = lambda which: np.bincount(line[which], minlength=lines)
-    features = np.column_stack([
-        np.ones(lines), np.log1p(n_words) / 4, share(classes[:, 0], size), share(classes[:, 1], size), share(classes[:, 2], w), share(classes[:, 3], w), share(classes[:, 4], w),
-        share(by_line(repeats), w), share(by_line(same), w), dup, np.log1p(line_chars / w) / 2,
-    ])
+    length = np.log1p(n_words) / 3
+    shares = [
+        share(classes[:, 0], size), share(classes[:, 1], size), share(classes[:, 2], w), share(classes[:, 3], w), share(classes[:, 4], w), share(by_line(repeats), w), share(by_line(same), w), dup, np.log1p(line_chars / w) / 2,
+    ]
+    features = np.column_stack([np.ones(lines), length, *[x * length for x in shares]])
     own = lambda x: np.bincount(line_row, weights=x, minlength=rows).astype(np.int64)
     return Counted(line_row, line_start, n_words, line_chars, features, own(n_words), own(line_chars), own(classes[:, 2]), own(dup), np.bincount(row[repeats], minlength=rows))
 
@@ -248,11 +252,11 @@ def likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray
     return float((weight * (score - total)).sum() / size), grad
 
 
-def ascend(theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray, steps: int, rate: float = 0.2) -> np.ndarray:
-    """Adaptive moment steps up the penalised likelihood."""
+def ascend(theta: np.ndarray, x: np.ndarray, y: np.ndarray, mask: np.ndarray, weight: np.ndarray, steps: int, free: np.ndarray, rate: float = 0.2) -> np.ndarray:
+    """Adaptive moment steps up the penalised likelihood, of the parameters that are ``free`` (1, else 0)."""
     m = v = np.zeros_like(theta)
     for i in range(1, steps + 1):
-        g = likelihood(theta, x, y, mask, weight)[1] - 2 * PENALTY * theta
+        g = free * (likelihood(theta, x, y, mask, weight)[1] - 2 * PENALTY * theta)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     return theta
@@ -286,14 +290,14 @@ def fit_sequences(texts: list[np.ndarray], chars: list[np.ndarray], good: np.nda
     # both kinds count alike, and so do a kind's documents
     n_good = sum(bool(good[i]) for i in use)
     weight = np.array([(0.5 / (n_good if good[i] else len(use) - n_good)) * mask[j].sum() / len(texts[i]) for j, (i, _) in enumerate(cuts)])
-    theta = ascend(np.zeros(len(FEATURES) + 5), x, truth(), mask, weight, steps[0])
+    alone = np.append(np.ones(len(FEATURES)), np.zeros(5))
+    theta = ascend(np.zeros(len(FEATURES) + 5), x, truth(), mask, weight, steps[0], alone)
     field = field_of(theta)
     for i in use:
-        if not good[i]:
-            label = field.viterbi(texts[i])
-            if chars[i][label].sum() < CONTENT_SHARE * chars[i].sum():
-                labels[i] = label
-    return field_of(ascend(theta, x, truth(), mask, weight, steps[1]))
+        label = field.viterbi(texts[i])
+        if (chars[i][label].sum() >= CONTENT_SHARE * chars[i].sum()) == bool(good[i]):
+            labels[i] = label
+    return field_of(ascend(theta, x, truth(), mask, weight, steps[1], np.ones(len(theta))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, steps: tuple[int, int] = STEPS) -> Field:

@@ -104,3 +104,52 @@ def test_a_hundred_thousand_events_of_one_principal_in_an_hour(spark):
 def test_only_the_named_features_are_made(spark):
     got = history.features(make(spark, [(1, 0, "p", "a", "r", "x", 1)]), ("hour_sin", "calls_1min"))
     assert {"hour_sin", "calls_1min", "event_id", "label"} <= set(got.columns) and "hour_cos" not in got.columns and not any(c.startswith("_") for c in got.columns)
+
+
+def crowded(spark, n, seed=4):
+    """Events of which half are one principal's; hosts, places, logons, bursts, equal moments."""
+    import random
+
+    random.seed(seed)
+    at, rows = {"hot": 0, "p": 0, "q": 0}, []
+    for i in range(n):
+        who = "hot" if i % 2 else random.choice("pq")
+        at[who] += random.choice([0, 0, 1, 5, 59, 60, 900, 3600, 1799, 40_000])
+        rows.append((i, at[who], who, random.choice(["sts:AssumeRole", "s3:GetObject", "s3:PutObject", "execute-api:Invoke", "other"]), f"r{random.randint(0, 12)}", random.choice(["", "", "a", "b", f"h{i % 40}"]), random.randint(0, 99)))
+    return make(spark, rows)
+
+
+@pytest.mark.parametrize("rows", [7, 60])
+def test_a_hot_principal_in_chunks_equals_one_window(spark, rows):
+    from tidewatch import model as M
+
+    e = crowded(spark, 600).cache()
+    want = {r["event_id"]: r for r in history.features(e).collect()}
+    got = {r["event_id"]: r for r in history.spread_features(e, rows=rows).collect()}
+    assert set(got) == set(want) and set(got[0].asDict()) == set(want[0].asDict())
+    for i, r in want.items():
+        for c in M.FEATURES:
+            assert got[i][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9), (i, c)
+    few = {r["event_id"]: r for r in history.spread_features(e, ("hour_sin", "role_tenure_days", "resource_novelty"), rows=rows).collect()}
+    assert all(few[i]["resource_novelty"] == pytest.approx(want[i]["resource_novelty"]) for i in want)
+
+
+def test_without_hot_principals_the_plan_is_the_plain_one(spark):
+    e = crowded(spark, 60)
+    got = history.spread_features(e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in got and history.cuts(e.limit(0), 5) is None
+    nulls = e.withColumn("principal", F.when(F.col("principal") != "hot", F.col("principal")))
+    assert history.spread_features(nulls, rows=10).count() == 60
+
+
+def test_a_million_events_of_one_principal_spread_over_tasks(spark):
+    n, rows = 1_000_000, 50_000
+    one = make(spark, [(0, 0, "hot", "s3:GetObject", "r", "x", 1)]).drop("event_id", "ts", "resource", "principal")
+    many = spark.range(n).withColumnRenamed("id", "event_id").join(one).withColumn("ts", F.expr("timestamp'2024-01-01 08:00:00' + make_dt_interval(0, 0, 0, event_id * 3)"))
+    many = many.withColumn("resource", F.concat(F.lit("r"), (F.col("event_id") % 1000).cast("string"))).withColumn("principal", F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.col("event_id").cast("string")))
+    found = history.cuts(many, rows)
+    sizes = [r["count"] for r in many.join(found, "principal").groupBy(history.chunk_of(F.unix_micros("ts"))).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1.1 * rows
+    got = history.spread_features(many, ("calls_60min", "resource_novelty", "policy_breadth", "role_tenure_days"), rows=rows).where("principal = 'hot'")
+    a = got.agg(F.count("*"), F.max("calls_60min"), F.max("role_tenure_days"), F.sum("policy_breadth"), F.sum(F.when(F.col("resource_novelty") == 1, 1).otherwise(0))).first()
+    assert a[0] == n // 2 and a[1] == 600 and a[2] == pytest.approx(3 * (n - 2) / 86400) and a[3] == n // 2 - 1 and a[4] == 500

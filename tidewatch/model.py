@@ -61,6 +61,7 @@ class Band:
     scope: str
 
 
+# The bands.
 BANDS = (Band(0.0, "ALLOW", 60, "as_requested"), Band(0.40, "ALLOW_OBSERVE", 30, "as_requested_verbose"), Band(0.65, "STEPUP", 15, "read_only"), Band(DENY, "DENY", None, "none"))
 
 #: The decision record; ``r`` and ``r_eff`` are named r and R in its canonical bytes only.

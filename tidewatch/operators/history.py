@@ -8,6 +8,11 @@ What the last minute, quarter and hour hold is a running sum too: an event adds
 of its own takes it away when it has left the window. So a burst costs what its events cost, not
 their square. A resource counts in the hour while its last event does: an event takes its
 predecessor's place, or the predecessor goes by itself.
+
+A principal with very many events is cut into chunks of time (``spread_features``). Every window
+above runs within a chunk, and starts from what the chunks before it left behind: sums, the last
+place and logon, the keys seen and when, which are small tables of one row a chunk or a chunk's
+key. The results are those of one window over the whole principal.
 """
 
 from __future__ import annotations
@@ -20,36 +25,35 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tidewatch import model as M
 from tidewatch.functions import columns as C
+from tidewatch.session import materialise
 
 ORDER = ("us", "_kind", "event_id")
 MINUTE, QUARTER, HOUR = 60_000_000, 900_000_000, 3_600_000_000
 #: Features that look at the last minute, quarter or hour.
 RECENT = ("calls_1min", "calls_15min", "calls_60min", "log_bytes_read_60min", "distinct_resources_60min", "distinct_actions_60min")
+#: Events of a principal that one task may hold; a principal with more is cut into chunks, at most MOST_CHUNKS.
+CHUNK_ROWS, MOST_CHUNKS = 1_000_000, 512
+WHOLE, CHUNKED = ("principal",), ("principal", "_chunk")
+#: Keys whose earlier events within the principal count.
+KEYS = ("action", "resource", "asn", "pc")
+_DELTAS = ("_n1", "_n15", "_n60", "_bytes", "_resources", "_actions")
 
 
-def own(*keys: str) -> WindowSpec:
-    return Window.partitionBy("principal", *keys).orderBy(*ORDER)
+def own(*keys: str, by: tuple[str, ...] = WHOLE) -> WindowSpec:
+    return Window.partitionBy(*by, *keys).orderBy(*ORDER)
 
 
-def before(*keys: str) -> WindowSpec:
-    return own(*keys).rowsBetween(Window.unboundedPreceding, -1)
+def before(*keys: str, by: tuple[str, ...] = WHOLE) -> WindowSpec:
+    return own(*keys, by=by).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def weighted(events: DataFrame) -> DataFrame:
-    """Adds us (microseconds), _kind (0: an event) and w (decay weight)."""
+def weighted(events: DataFrame, first: Column | None = None) -> DataFrame:
+    """Adds us (microseconds), _kind (0: an event) and w (decay weight from the principal's ``first`` event on)."""
     e = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_kind", F.lit(0))
-    age = F.col("us") - F.min("us").over(Window.partitionBy("principal"))
+    age = F.col("us") - (F.min("us").over(Window.partitionBy("principal")) if first is None else first)
     return e.withColumn("w", F.pow(F.lit(2.0), age / (M.HALF_LIFE_DAYS * 86400e6)))
 
 
-def decayed(value: Column, *keys: str) -> Column:
-    return F.coalesce(F.sum(value).over(before(*keys)), F.lit(0.0))
-
-
-def first_of(*keys: str) -> Column:
-    return (F.row_number().over(own(*keys)) == 1).cast("double")
-
-
 def entropy(total: Column, parts: list[Column]) -> Column:
     terms = [F.when((p > 0) & (total > 0), -(p / total) * F.ln(p / total)).otherwise(0.0) for p in parts]
     out = terms[0]
@@ -58,33 +62,47 @@ def entropy(total: Column, parts: list[Column]) -> Column:
     return out
 
 
-def recent(e: DataFrame) -> DataFrame:
-    """Adds _n1, _n15, _n60, _bytes, _resources, _actions: what the windows before each event hold.
+def recent_rows(e: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Each event as four rows, itself and one at the end of each window, with what each adds to the counts.
 
-    Each event becomes four rows: itself, and one at the end of each window; these sort after the
-    events of their moment, as windows are closed. The sums go over the rows before an event.
+    Those at a window's end sort after the events of their moment, as windows are closed.
     """
     for k in ("resource", "action"):
-        e = e.withColumn(f"_last_{k}", F.lag("us").over(own(k))).withColumn(f"_next_{k}", F.lead("us").over(own(k)))
+        last, next_ = F.lag("us").over(own(k, by=by)), F.lead("us").over(own(k, by=by))
+        if by == CHUNKED:
+            last, next_ = F.coalesce(last, f"_c_{k}_last"), F.coalesce(next_, f"_c_{k}_next")
+        e = e.withColumn(f"_last_{k}", last).withColumn(f"_next_{k}", next_)
     us, none = F.col("us"), F.lit(0).cast("long")
     size = F.coalesce(F.col("bytes_read"), none)
     stays = lambda k: F.when(us - F.col(f"_last_{k}") <= HOUR, 0).otherwise(1).cast("long")
     goes = lambda k: F.when(F.col(f"_next_{k}") - us <= HOUR, 0).otherwise(-1).cast("long")
-    kept = [c for c in e.columns if not c.startswith(("_last_", "_next_")) and c not in ("us", "_kind", "principal", "event_id")]
+    kept = [c for c in e.columns if not c.startswith(("_last_", "_next_")) and c not in ("us", "_kind", "principal", "event_id", "_chunk", "_cuts")]
     whole = F.struct(*[F.col(f"`{c}`") for c in kept])
-    names = ("_n1", "_n15", "_n60", "_bytes", "_resources", "_actions")
 
     def row(at: Column, kind: int, deltas: tuple, event: Column) -> Column:
-        return F.struct(at.alias("us"), F.lit(kind).alias("_kind"), *[(d if isinstance(d, Column) else F.lit(d)).cast("long").alias(f"{n}_d") for n, d in zip(names, deltas, strict=True)], event.alias("_event"))
+        return F.struct(at.alias("us"), F.lit(kind).alias("_kind"), *[(d if isinstance(d, Column) else F.lit(d)).cast("long").alias(f"{n}_d") for n, d in zip(_DELTAS, deltas, strict=True)], event.alias("_event"))
 
     gone = F.when(F.lit(False), whole)
     rows = F.array(
         row(us, 0, (1, 1, 1, size, stays("resource"), stays("action")), whole), row(us + MINUTE, 1, (-1, 0, 0, 0, 0, 0), gone),
         row(us + QUARTER, 1, (0, -1, 0, 0, 0, 0), gone), row(us + HOUR, 1, (0, 0, -1, -size, goes("resource"), goes("action")), gone),
     )
-    long = e.select("principal", "event_id", F.inline(rows))
-    sums = long.select("*", *[F.coalesce(F.sum(f"{n}_d").over(before()), none).alias(n) for n in names]).where("_kind = 0")
-    return sums.select("principal", "event_id", "us", "_kind", *names, *[F.col(f"_event.`{c}`").alias(c) for c in kept])
+    return e.select("principal", "event_id", *(["_cuts"] if by == CHUNKED else []), F.inline(rows)), kept
+
+
+def recent(e: DataFrame, by: tuple[str, ...] = WHOLE) -> DataFrame:
+    """Adds _n1, _n15, _n60, _bytes, _resources, _actions: what the windows before each event hold."""
+    long, kept = recent_rows(e, by)
+    none = F.lit(0).cast("long")
+    if by == CHUNKED:
+        # rows at a window's end may belong to a later chunk than their event
+        long = long.withColumn("_chunk", chunk_of(F.col("us"))).drop("_cuts")
+        ends = long.groupBy(*by).agg(*[F.sum(f"{n}_d").alias(n) for n in _DELTAS])
+        starts = ends.select(*by, *[F.coalesce(F.sum(n).over(_ahead()), none).alias(f"_c{n}") for n in _DELTAS])
+        long = long.join(materialise(starts, "window-starts"), list(by), "left")
+    start = (lambda n: F.col(f"_c{n}")) if by == CHUNKED else (lambda n: none)
+    sums = long.select("*", *[(start(n) + F.coalesce(F.sum(f"{n}_d").over(before(by=by)), none)).alias(n) for n in _DELTAS]).where("_kind = 0")
+    return sums.select(*by, "event_id", "us", "_kind", *_DELTAS, *[F.col(f"_event.`{c}`").alias(c) for c in kept])
 
 
 def features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat: bool = False, actions: tuple[str, ...] = M.ACTIONS) -> DataFrame:
@@ -93,29 +111,54 @@ def features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat:
     ``compat`` keeps two quirks of older deployments: role words match as substrings, and every
     bucket is foreign to a unit whose name is not a slug.
     """
-    e = weighted(events)
-    hour = F.hour("ts")
+    return _described(_hosts(weighted(events)), names, compat, actions, WHOLE)
+
+
+def _hosts(e: DataFrame) -> DataFrame:
     for name, col in C.host(F.col("pc")).items():
         e = e.withColumn(name, col)
+    return e
+
+
+def _described(e: DataFrame, names: tuple[str, ...], compat: bool, actions: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """The features of weighted events within each group of ``by``; chunks start from their _c_ columns."""
+    hour = F.hour("ts")
+    carried = by == CHUNKED
     if set(names) & set(RECENT):
-        e = recent(e)
+        e = recent(e, by)
     n = lambda c: F.col(c).cast("double")
+    after = lambda value, name: F.col(f"_c_{name}") + value if carried else value
+    decayed = lambda value, *keys: F.coalesce(F.sum(value).over(before(*keys, by=by)), F.lit(0.0))
+    unless = lambda value, name: F.coalesce(value, F.col(f"_c_{name}")) if carried else value
+
+    def first_of(key: str) -> Column:
+        first = F.row_number().over(own(key, by=by)) == 1
+        return (first & ~F.col(f"_c_{key}_seen") if carried else first).cast("double")
+
+    def lagged(name: str) -> Column:
+        """Of the event before, whose value may be null."""
+        value = F.lag(name).over(own(by=by))
+        return F.when(F.lag("us").over(own(by=by)).isNull(), F.col(f"_c_{name}")).otherwise(value) if carried else value
+
     # an hour's sum never falls, so the largest of all hours' sums is the largest that any event left behind
-    e = e.withColumn("_hour", hour).withColumn("_hour_sum", F.sum("w").over(own("_hour").rowsBetween(Window.unboundedPreceding, 0)))
+    hour_sum = F.sum("w").over(own("_hour", by=by).rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("_hour", hour).withColumn("_hour_sum", F.get("_c_hours", F.col("_hour")) + hour_sum if carried else hour_sum)
+    modal = F.max(F.struct("_hour_sum", (-F.col("_hour")).alias("h"))).over(before(by=by))
+    parts = [decayed(F.when(F.col("action") == a, F.col("w")).otherwise(0.0)) for a in actions]
     e = (
-        e.withColumn("_total", decayed(F.col("w")))
-        .withColumn("_reads", decayed(F.when(F.col("action").isin(*M.READS), F.col("w")).otherwise(0.0)))
-        .withColumn("_modal", F.max(F.struct("_hour_sum", (-F.col("_hour")).alias("h"))).over(before()))
-        .withColumn("_parts", F.array(*[decayed(F.when(F.col("action") == a, F.col("w")).otherwise(0.0)) for a in actions]))
-        .withColumn("_prev_us", F.lag("us").over(own()))
-        .withColumn("_first_us", F.min("us").over(before()))
-        .withColumn("_prev_lat", F.lag("lat").over(own()))
-        .withColumn("_prev_lon", F.lag("lon").over(own()))
-        .withColumn("_logon_us", F.last(F.when(F.col("action") == "sts:AssumeRole", F.col("us")), ignorenulls=True).over(before()))
+        e.withColumn("_total", after(decayed(F.col("w")), "total"))
+        .withColumn("_reads", after(decayed(F.when(F.col("action").isin(*M.READS), F.col("w")).otherwise(0.0)), "reads"))
+        .withColumn("_modal", F.greatest(F.col("_c_modal"), modal) if carried else modal)
+        .withColumn("_parts", F.array(*[F.get("_c_parts", F.lit(i)) + p if carried else p for i, p in enumerate(parts)]))
+        .withColumn("_prev_us", unless(F.lag("us").over(own(by=by)), "us"))
+        .withColumn("_first_us", F.coalesce("_c_first", F.min("us").over(before(by=by))) if carried else F.min("us").over(before()))
+        .withColumn("_prev_lat", lagged("lat"))
+        .withColumn("_prev_lon", lagged("lon"))
+        .withColumn("_logon_us", unless(F.last(F.when(F.col("action") == "sts:AssumeRole", F.col("us")), ignorenulls=True).over(before(by=by)), "logon"))
         .withColumn("first_time_action", first_of("action"))
         .withColumn("first_time_resource", first_of("resource"))
-        .withColumn("_action_sum", decayed(F.col("w"), "action"))
-        .withColumn("_resource_sum", decayed(F.col("w"), "resource"))
+        .withColumn("_action_sum", after(decayed(F.col("w"), "action"), "action_sum"))
+        .withColumn("_resource_sum", after(decayed(F.col("w"), "resource"), "resource_sum"))
         .withColumn("asn_novelty", first_of("asn"))
         .withColumn("host_novelty", F.when(F.col("pc") == "", 1.0).otherwise(first_of("pc")))
     )
@@ -132,7 +175,7 @@ def features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat:
     out = {
         "principal_type": kind.cast("double"),
         "role_tenure_days": F.coalesce((F.col("us") - F.col("_first_us")) / 86400e6, F.lit(0.0)),
-        "policy_breadth": F.coalesce(F.sum("first_time_action").over(before()), F.lit(0.0)),
+        "policy_breadth": after(F.coalesce(F.sum("first_time_action").over(before(by=by)), F.lit(0.0)), "breadth"),
         "cross_account_depth": depth,
         "is_supervisor": (F.col("known") & (F.trim(F.coalesce("supervisor", F.lit(""))) == "")).cast("double"),
         "hour_sin": F.sin(angle),
@@ -166,6 +209,88 @@ def features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat:
     return e.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(name) for name, c in wanted.items()])
 
 
+# --- a principal's history in chunks ---------------------------------------------------------
+
+
+def _ahead(*keys: str) -> WindowSpec:
+    """The earlier chunks; there are at most MOST_CHUNKS of a principal (and key)."""
+    return Window.partitionBy("principal", *keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def chunk_of(us: Column) -> Column:
+    return F.size(F.filter("_cuts", lambda x: x <= us))
+
+
+def cuts(events: DataFrame, rows: int, counted: DataFrame | None = None) -> DataFrame | None:
+    """principal, _first, _cuts of the principals with more than ``rows`` events; None where there is none.
+
+    The cuts are times that part a principal's events about evenly. ``counted``: rows with the same
+    principals as ``events`` that are cheaper to read.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    many = (events if counted is None else counted).where("principal is not null").groupBy("principal").agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    most = many.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    chunks = min(MOST_CHUNKS, -(-most // rows))
+    at = F.percentile_approx(us, [i / chunks for i in range(1, chunks)], 20 * MOST_CHUNKS)
+    return materialise(events.join(many, "principal", "left_semi").groupBy("principal").agg(F.min(us).alias("_first"), at.alias("_cuts")), "cuts")
+
+
+def carries(e: DataFrame, actions: tuple[str, ...]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What earlier chunks leave to each chunk, and to each chunk's value of each key of KEYS."""
+    keyed = {}
+    for k in KEYS:
+        own_ = e.groupBy("principal", k, "_chunk").agg(F.sum("w").alias("s"), F.max("us").alias("last"), F.min("us").alias("first"))
+        order = Window.partitionBy("principal", k).orderBy("_chunk")
+        keyed[k] = materialise(own_.select(
+            "principal", k, "_chunk", F.coalesce(F.sum("s").over(_ahead(k)), F.lit(0.0)).alias(f"_c_{k}_sum"), (F.row_number().over(order) > 1).alias(f"_c_{k}_seen"),
+            F.lag("last").over(order).alias(f"_c_{k}_last"), F.lead("first").over(order).alias(f"_c_{k}_next"),
+        ), f"carried-{k}")
+    when = lambda on: F.sum(F.when(on, F.col("w")).otherwise(0.0))
+    hours, parts = [f"_h{h}" for h in range(24)], [f"_p{i}" for i in range(len(actions))]
+    one = e.groupBy("principal", "_chunk").agg(
+        F.sum("w").alias("total"), when(F.col("action").isin(*M.READS)).alias("reads"), *[when(F.col("action") == a).alias(p) for a, p in zip(actions, parts, strict=True)],
+        *[when(F.hour("ts") == h).alias(c) for h, c in enumerate(hours)], F.max_by(F.struct("us", "lat", "lon"), F.struct("us", "event_id")).alias("last"),
+        F.max(F.when(F.col("action") == "sts:AssumeRole", F.col("us"))).alias("logon"), F.min("us").alias("first"),
+    )
+    new = keyed["action"].groupBy("principal", "_chunk").agg(F.sum(F.when(F.col("_c_action_seen"), 0).otherwise(1)).alias("new"))
+    one = one.join(new, ["principal", "_chunk"])
+    total = lambda c: F.coalesce(F.sum(c).over(_ahead()), F.lit(0.0))
+    last = F.last("last").over(_ahead())
+    got = one.select(
+        "principal", "_chunk", total("total").alias("_c_total"), total("reads").alias("_c_reads"), F.array(*map(total, parts)).alias("_c_parts"), F.array(*map(total, hours)).alias("_c_hours"),
+        last.us.alias("_c_us"), last.lat.alias("_c_lat"), last.lon.alias("_c_lon"), F.max("logon").over(_ahead()).alias("_c_logon"), F.min("first").over(_ahead()).alias("_c_first"), total("new").alias("_c_breadth"),
+    )
+    # of the hours that have been seen the one of the greatest sum, the earlier one of two
+    modal = F.array_max(F.filter(F.transform("_c_hours", lambda x, i: F.struct(x.alias("_hour_sum"), (-i).alias("h"))), lambda x: x["_hour_sum"] > 0))
+    return materialise(got.withColumn("_c_modal", modal), "carried"), keyed
+
+
+def spread_features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat: bool = False, actions: tuple[str, ...] = M.ACTIONS, rows: int = CHUNK_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """``features``, with the principals of more than ``rows`` events cut into chunks that are worked on apart.
+
+    One pass counts the events (or the rows of ``counted``, which has the same principals) by principal.
+    Without such principals the plan is that of ``features``. A null principal is not cut.
+    """
+    found = cuts(events, rows, counted)
+    if found is None:
+        return features(events, names, compat=compat, actions=actions)
+    rest = events.join(found, "principal", "left_anti")
+    hot = _hosts(weighted(events.join(found, "principal"), F.col("_first")).drop("_first").withColumn("_chunk", chunk_of(F.col("us"))))
+    hot = materialise(hot, "chunks")
+    chunk, keyed = carries(hot, actions)
+    for k, t in keyed.items():
+        t = t.select(*[F.col(c).alias(f"_k_{c}") if c in ("principal", k, "_chunk") else F.col(c) for c in t.columns])
+        on = [hot[c].eqNullSafe(t[f"_k_{c}"]) for c in ("principal", k, "_chunk")]
+        hot = hot.join(t, on, "left").drop(*[f"_k_{c}" for c in ("principal", k, "_chunk")])
+    hot = hot.join(chunk, ["principal", "_chunk"])
+    if set(names) & set(RECENT):
+        hot = materialise(hot, "chunks-carried")
+    got = _described(hot, names, compat, actions, CHUNKED)
+    return features(rest, names, compat=compat, actions=actions).unionByName(got.drop("_chunk", "_cuts"))
+
+
 def window_counts(events: DataFrame, seconds: dict[str, int]) -> DataFrame:
     """event_id, principal and, for each named width, how many earlier events of the principal it holds."""
     e = events.select("event_id", "principal", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))

@@ -15,11 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewatch import model as M
+from tidewatch.operators.linked import components
 from tidewatch.session import materialise
 
+# The signed fields.
 SIGNED = ("recId", "prevHash", "seq", "ts", "principal", "action", "resource", "r", "R", "verdict", "h_feat")
 Sign = Callable[[bytes], str]
 
@@ -124,70 +127,67 @@ def verify(hashed: DataFrame, heads: DataFrame | None = None, bad_signature: Col
     return out.select("principal", "records", (at == -1).alias("intact"), at.alias("first_discontinuity"))
 
 
-def admit(records: DataFrame, sign: Sign, heads: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
-    """recId, principal, seq, arrival, reason: what a ledger says to records offered in order of (arrival, principal).
+def judged(records: DataFrame, sign: Sign, heads: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The records (RECORD and arrival) with reason: what a ledger says to them, offered in order of (arrival, principal, recId).
 
     Checks in order: ids present, recId among the accepted records of any principal, signature, seq
     after the head, prevHash of it. ``heads`` (principal, head_seq, head_hash) and ``known`` (recId) are what
-    the ledger holds already.
+    the ledger holds already. Records that agree in the order are told apart by their content, so the
+    result doesn't depend on how rows arrive.
 
-    Chains are folded a principal at a time. A recId under several principals ties their chains
-    together: what a chain accepted blocks later records of that recId elsewhere, and the fold is
-    repeated until nothing changes, which settles at least the next such record each time.
+    Principals that share a recId are decided together: the components of such principals, found in
+    rounds of joins, are folded in arrival order, one fold each. Other principals are components of their own.
     """
     spark = records.sparkSession
     rows = records.select(*M.RECORD.names, "arrival")
-    uses = rows.where("recId is not null").groupBy("recId").agg(F.count("*").alias("_n"), (F.min("principal") != F.max("principal")).alias("_cross")).where("_n > 1")
-    rows = rows.join(uses, "recId", "left").withColumns({"_again": F.col("_n").isNotNull(), "_cross": F.coalesce("_cross", F.lit(False))}).drop("_n")
+    uses = rows.where("recId is not null").groupBy("recId").agg(F.count("*").alias("_n"), F.min("principal").alias("_least"), F.max("principal").alias("_most")).where("_n > 1")
+    uses = materialise(uses, "uses")
+    shared = uses.where("_least <> _most").select("recId", "_least")
+    none = shared.isEmpty()
+    group = F.col("principal")
+    rows = rows.join(uses.select("recId", F.lit(True).alias("_again")), "recId", "left")
+    if not none:
+        links = rows.join(shared, "recId").where("principal is not null").select(F.col("principal").alias("a"), F.col("_least").alias("b")).distinct()
+        rows = rows.join(components(links).withColumnRenamed("node", "principal"), "principal", "left")
+        group = F.coalesce("component", "principal")
     rows = rows.join(known.select("recId").distinct().withColumn("_held", F.lit(True)), "recId", "left") if known is not None else rows.withColumn("_held", F.lit(None).cast("boolean"))
     start = heads.select("principal", "head_seq", "head_hash") if heads is not None else spark.createDataFrame([], "principal string, head_seq long, head_hash string")
-    rows = materialise(rows.join(start, "principal", "left"), "offered")
+    rows = rows.join(start, "principal", "left").withColumn("_group", group)
+    schema = T.StructType([*M.RECORD.fields, T.StructField("arrival", T.LongType()), T.StructField("reason", T.StringType())])
 
     def fold(batches):
-        who, head, seen = None, (0, M.GENESIS), set()
+        which, head, seen = None, {}, set()
         for pdf in batches:
             out = []
             for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-                if r["principal"] != who:
-                    who, seen = r["principal"], set()
-                    head = (int(r["head_seq"]), r["head_hash"]) if r["head_seq"] is not None else (0, M.GENESIS)
+                if r["_group"] != which:
+                    which, head, seen = r["_group"], {}, set()
+                seq, last = head.get(r["principal"]) or ((int(r["head_seq"]), r["head_hash"]) if r["head_seq"] is not None else (0, M.GENESIS))
                 if not r["recId"] or not r["principal"]:
                     why = "recId and principal are required"
-                elif r["_held"] or r["_blocked"] or r["recId"] in seen:
+                elif r["_held"] or r["recId"] in seen:
                     why = "duplicate recId"
                 elif r["sig"] != sign(canonical(r)):
                     why = "signature does not verify"
-                elif r["seq"] != head[0] + 1:
+                elif r["seq"] != seq + 1:
                     why = "seq discontinuity"
-                elif r["prevHash"] != head[1]:
+                elif r["prevHash"] != last:
                     why = "prevHash mismatch"
                 else:
                     why = ""
                     if r["_again"]:  # only ids that come again need remembering
                         seen.add(r["recId"])
-                    head = (int(r["seq"]), record_hash(r))
-                out.append((r["recId"], r["principal"], r["seq"], r["arrival"], why, r["_cross"]))
-            yield pd.DataFrame(out, columns=["recId", "principal", "seq", "arrival", "reason", "_cross"])
-
-    def folded(blocked: DataFrame | None) -> DataFrame:
-        marked = rows.withColumn("_blocked", F.lit(None).cast("boolean")) if blocked is None else rows.join(blocked.withColumn("_blocked", F.lit(True)), ["recId", "principal", "arrival"], "left")
-        names = [*M.RECORD.names, "arrival", "_again", "_cross", "_held", "_blocked", "head_seq", "head_hash"]
-        ordered = marked.select(*names).repartition("principal").sortWithinPartitions("principal", "arrival", "recId")
-        return ordered.mapInPandas(fold, "recId string, principal string, seq long, arrival long, reason string, _cross boolean")
-
-    out = folded(None)
-    if not rows.where("_cross").isEmpty():
-        last = None
-        while True:
-            out = materialise(out, "admitted")
-            first = Window.partitionBy("recId").orderBy("arrival", "principal").rowsBetween(Window.unboundedPreceding, -1)
-            earlier = F.max(F.col("reason") == "").over(first)
-            blocked = materialise(out.where("_cross").withColumn("_late", earlier).where("_late").select("recId", "principal", "arrival").distinct(), "blocked")
-            now = blocked.agg(F.count("*"), F.sum(F.xxhash64("recId", "principal", "arrival").cast("decimal(38,0)"))).first()
-            if now == last or not now[0]:
-                break
-            last, out = now, folded(blocked)
-    return out.drop("_cross")
+                    head[r["principal"]] = (int(r["seq"]), record_hash(r))
+                out.append((*(r[c] for c in M.RECORD.names), r["arrival"], why))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    ordered = rows.repartition("_group").sortWithinPartitions("_group", "arrival", "principal", "recId", "sig", "seq", "prevHash", *[c for c in M.RECORD.names if c not in ("principal", "recId", "sig", "seq", "prevHash")])
+    return ordered.select(*M.RECORD.names, "arrival", "_group", "_again", "_held", "head_seq", "head_hash").mapInPandas(fold, schema)
+
+
+def admit(records: DataFrame, sign: Sign, heads: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """recId, principal, seq, arrival, reason of ``judged``."""
+    return judged(records, sign, heads, known).select("recId", "principal", "seq", "arrival", "reason")
 
 
 def tamper(records: DataFrame, kind: str, victims: Column) -> DataFrame:

@@ -174,14 +174,24 @@ _FAMILIES = {
 }
 
 
+def _features(spark, d, names: tuple[str, ...] = M.FEATURES, **how) -> DataFrame:
+    return history.spread_features(proxy.events(spark, d), names, counted=proxy.raw_events(spark, d), **how)
+
+
 def _family(names: tuple[str, ...]) -> Query:
-    return lambda spark, d: rnd(history.features(proxy.events(spark, d), names).select("event_id", "principal", *names), *names)
+    return lambda spark, d: rnd(_features(spark, d, names).select("event_id", "principal", *names), *names)
 
 
 for _name, _cols in _FAMILIES.items():
     query(f"WITH {FEAT} SELECT event_id, principal, {rounded(_cols)} FROM feat", _name)(_family(_cols))
 
 
+@query(f"WITH {FEAT} SELECT event_id, principal, {rounded(M.FEATURES)} FROM feat")
+def feature_row_in_chunks(spark, d):
+    """All features, with every principal of more than 20 events cut into chunks of time."""
+    return rnd(_features(spark, d, rows=20).select("event_id", "principal", *M.FEATURES), *M.FEATURES)
+
+
 @query(f"WITH {EV} SELECT event_id, principal, count(*) OVER (PARTITION BY principal ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n_1h, count(*) OVER (PARTITION BY principal ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS n_1d, count(*) OVER (PARTITION BY principal ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - 1 AS n_7d FROM ev")
 def window_counts_1h_1d_7d(spark, d):
     return history.window_counts(proxy.raw_events(spark, d).select("event_id", "ts", "principal"), {"n_1h": 3600, "n_1d": 86400, "n_7d": 7 * 86400})
@@ -190,10 +200,6 @@ def window_counts_1h_1d_7d(spark, d):
 # --- roll-ups ------------------------------------------------------------------------------
 
 
-def _features(spark, d) -> DataFrame:
-    return history.features(proxy.events(spark, d))
-
-
 _DAYS = (
     FEAT
     + """, hrs AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, round(CASE WHEN a < 0 THEN a + 24 ELSE a END, 6) AS hr FROM (SELECT *, atan2(hour_sin, hour_cos) / (2 * pi()) * 24 AS a FROM feat)),

@@ -189,8 +189,8 @@ def test_a_denied_request_does_not_enter_the_state():
     assert [o[9] for o in out] == ["DENY", "DENY"] and denied.total == 0 and denied.seq == 2
     out = online.decide(allowed, [row(1, 0), row(2, 10)], lambda f: 0.0)
     assert allowed.total == pytest.approx(2, rel=1e-4) and out[1][3] == 1.0 and out[1][11] == out[0][12]
-    again = online.Profile(allowed.dump())
-    assert again.dump() == allowed.dump()
+    again = online.Profile(allowed.fixed(), allowed.recent.left(), allowed.maps)
+    assert again.fixed() == allowed.fixed() and again.recent.left() == allowed.recent.left()
 
 
 def test_sampling_contributions_and_sinks(spark, tmp_path):

@@ -358,6 +358,29 @@ def test_running_sums_against_one_window(spark):
                 assert got[g, repr(v)] == sum(n for h, x, n in src if h == g and before(x)), (by, down, strict, v)
 
 
+def test_quantiles_are_exact(spark):
+    from tidewatch.operators.running import quantiles
+
+    random.seed(5)
+    rows = [(g, random.choice([random.gauss(0, 3), random.expovariate(1e-9), float(random.randint(0, 3)), None])) for g in ("a", "b", None) for _ in range(700)] + [("one", 7.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    t = spark.createDataFrame(rows, "g string, v double").cache()
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p1": 1.0}
+    got = {r["g"]: r for r in quantiles(t, "v", shares, ("g",)).collect()}
+    want = {r["g"]: r for r in t.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()]).collect()}
+    assert set(got) == set(want) - {"none"}
+    assert all(got[g][n] == pytest.approx(want[g][n], rel=1e-12) for g in got for n in shares)
+    assert quantiles(t, "v", shares).first()["p95"] == pytest.approx(t.agg(F.percentile("v", 0.95)).first()[0], rel=1e-12)
+    assert quantiles(t.limit(0), "v", shares).first()["p95"] is None and quantiles(t.limit(0), "v", shares, ("g",)).count() == 0
+
+
+def test_large_values_spread_over_buckets(spark):
+    from tidewatch.operators import running
+
+    t = spark.range(20_000).withColumn("v", F.col("id") * 1e6 + 1e9)
+    sizes = [r["count"] for r in t.groupBy(running.bucket_of(F.col("v"), running.bounds(t, "v"))).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 500
+
+
 def test_percentiles_in_bounded_memory(spark):
     t = spark.range(10_000).withColumn("v", F.col("id").cast("double"))
     exact, near = (metrics.percentiles(t, "v", (), a).first() for a in (None, 1000))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewatch import model as M
 from tidewatch.functions.columns import ratio
-from tidewatch.operators.running import running
+from tidewatch.operators.running import quantiles, running
 
 
 def at_threshold(rows: DataFrame, threshold: float = M.DENY, by: tuple[str, ...] = ()) -> DataFrame:
@@ -60,11 +60,14 @@ def by_group_with_means(rows: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, by: tuple[str, ...], accuracy: int | None = None) -> DataFrame:
-    """by, p50, p95, mean; exact, or within rank error 1 / ``accuracy`` in bounded memory for groups of many distinct values."""
+    """by, p50, p95, mean; exact at any size, or within rank error 1 / ``accuracy`` in one pass."""
+    mean = F.avg(value).alias("mean")
     if accuracy is not None:
         p = lambda q: F.percentile_approx(value, q, accuracy)
-        return rows.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.avg(value).alias("mean"))
-    return rows.groupBy(*by).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.95).alias("p95"), F.avg(value).alias("mean"))
+        return rows.groupBy(*by).agg(p(0.5).alias("p50"), p(0.95).alias("p95"), mean)
+    at, means = quantiles(rows, value, {"p50": 0.5, "p95": 0.95}, by).alias("q"), rows.groupBy(*by).agg(mean).alias("m")
+    both = means.join(at, [F.col(f"m.{k}").eqNullSafe(F.col(f"q.{k}")) for k in by] or F.lit(True), "left")  # one row a group
+    return both.select(*[F.col(f"m.{k}") for k in by], "p50", "p95", "mean")
 
 
 def in_groups(rows: DataFrame, source: Column) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from tidewatch import model as M
 from tidewatch.functions import columns as C
 from tidewatch.operators import calibrate, history, metrics, policy, rollup
+from tidewatch.operators.running import quantiles
 from tidewatch.plans.sql import EV, FEAT, ORG, SENSITIVITY, rounded
 from tidewatch.session import scratch
 from tidewatch.sources import proxy, requests, sinks
@@ -545,8 +546,9 @@ def latency_percentiles(spark, d):
 
 @query("SELECT user_id % 5 AS rate, event_type AS stage, count(*) AS n, round(count(*) / 20.0, 6)::DOUBLE AS tps, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1, 2")
 def throughput_by_rate(spark, d):
-    t = proxy.table(spark, d, "events").groupBy((F.col("user_id") % 5).alias("rate"), F.col("event_type").alias("stage"))
-    return t.agg(F.count("*").alias("n"), F.round(F.count("*") / 20.0, 6).alias("tps"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    e = proxy.table(spark, d, "events").select((F.col("user_id") % 5).alias("rate"), F.col("event_type").alias("stage"), "value")
+    n = e.groupBy("rate", "stage").agg(F.count("*").alias("n"), F.round(F.count("*") / 20.0, 6).alias("tps"))
+    return rnd(n.join(quantiles(e, "value", {"p50": 0.5, "p95": 0.95}, ("rate", "stage")), ["rate", "stage"]), "p50", "p95")
 
 
 @query(f"WITH {_SC}, s AS (SELECT source, min(event_id) AS first_seen, arg_min(score, event_id) AS first, avg(score) AS mean, stddev_samp(score) AS std FROM sc GROUP BY 1) SELECT source, first, round(mean, 6) AS mean, round(std, 6) AS std, row_number() OVER (ORDER BY first_seen) AS place FROM s")

@@ -71,3 +71,41 @@ def test_splits_are_disjoint_in_time_and_written_even_if_empty(spark, tmp_path):
     assert got == {"train": [i for i in range(50) if i != 3], "train_malicious": [3], "val": list(range(50, 70)), "test": list(range(70, 100))}
     activity.write_splits(rows.limit(0), split, str(tmp_path / "e"))
     assert spark.read.parquet(f"{tmp_path}/e/val").count() == 0
+
+
+def test_records_follow_quotes_over_lines_and_splits(spark, tmp_path):
+    """Against the csv module, with splits of every small size."""
+    import csv
+    import io
+    import random
+
+    random.seed(6)
+    cell = lambda: random.choice(["", "a", "b c", 'say "so"', "x,y", "two\nlines", "\n", 'end"', '",\n"', "ü", "5\" disk"])
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(M.HEADERS["logon"])
+    rows = [[f"id{i}", cell(), cell(), cell(), cell()] for i in range(120)]
+    w.writerows(rows)
+    text = out.getvalue() + "too,few\n" + 'id-s,a,5" disk,b,c\n' + '"many",1,2,3,4,5\nlast,1,2,3,4'
+    rows += [["id-s", "a", '5" disk', "b", "c"], ["last", "1", "2", "3", "4"]]
+    (tmp_path / "x.csv").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97", "400", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = sorted(tuple(x or "" for x in r) for r in activity.read_csv(spark, f"{tmp_path}/x.csv", M.HEADERS["logon"]).drop("_file").collect())
+            assert got == sorted(tuple(r) for r in rows), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_wrong_header_of_many_files(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"{i}.csv").write_text(",".join(M.HEADERS["logon"]) + "\nx,y,z,a,b\n")
+    (tmp_path / "3.csv").write_text("id,date,user,activity,pc\n" + "x,y,z,a,b\n" * 10_000)
+    with pytest.raises(activity.HeaderError, match="3.csv"):
+        activity.check_header(spark, str(tmp_path), M.HEADERS["logon"])
+    (tmp_path / "3.csv").write_text("")
+    assert activity.read_csv(spark, str(tmp_path), M.HEADERS["logon"]).count() == 3

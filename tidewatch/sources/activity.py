@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidewatch import model as M
 from tidewatch.functions import columns as C
@@ -20,22 +21,81 @@ class HeaderError(ValueError):
 
 
 def check_header(spark: SparkSession, path: str, expected: tuple[str, ...]) -> None:
-    """The first line of every file under ``path`` must be ``expected``, in order."""
-    lines = spark.read.text(path).where(F.col("value") != "")
-    first = lines.select(F.input_file_name().alias("f"), "value", F.monotonically_increasing_id().alias("i")).groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    got = F.transform(F.split("h", ","), lambda x: F.btrim(x, F.lit(' "﻿\r')))
-    bad = first.where(F.array_join(got, ",") != ",".join(expected)).limit(1).collect()  # one row
-    if bad:
-        raise HeaderError(f"{bad[0]['f']}: header {bad[0]['h']!r}, expected {','.join(expected)!r}")
+    """The first line of every file under ``path`` must be ``expected``, in order; no more of a file is read for it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in spark.read.text(path).inputFiles():
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"), 8192)
+            line = reader.readLine()
+        finally:
+            stream.close()
+        if line is None:
+            continue
+        got = tuple(x.strip(' "\ufeff\r') for x in line.split(","))
+        if got != expected:
+            raise HeaderError(f"{name}: header {line!r}, expected {','.join(expected)!r}")
+
+
+# A quoted field, closed or not: a doubled quote stands for one. Fields begin at a line's start or after a comma.
+_INSIDE = '(?:[^"]++|"")*+'
+_FIELD = f'(?:"{_INSIDE}"[^,]*+|[^",][^,]*+|)'
+_OPENS = f'(?:{_FIELD},)*+"{_INSIDE}$'
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """f, value: the records of lines (f, b, i, value), which a quoted field may carry over several.
+
+    ``f`` is the file, ``b`` where the split begins, ``i`` rises within it. Whether a line begins within quotes
+    depends on all lines before it, but each line does one of four things to that state: it leaves it, turns
+    it, opens or closes. So each split's lines are summed up for both states, the splits' sums
+    are followed through a file, and then each split knows where it stands.
+    """
+    x = lines.withColumn("_e0", F.col("value").rlike(f"^{_OPENS}").cast("int"))
+    x = x.withColumn("_e1", (F.col("value").rlike(f"^{_INSIDE}$") | F.col("value").rlike(f'^{_INSIDE}"[^,]*+,{_OPENS}')).cast("int"))
+    fixed = F.col("_e0") == F.col("_e1")
+    turns = ((F.col("_e0") == 1) & (F.col("_e1") == 0)).cast("int")
+    own = Window.partitionBy("f", "b").orderBy("i")
+    upto, ahead = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_turns", F.sum(turns).over(upto))
+    mark = F.when(fixed, F.struct(F.col("_e0").alias("state"), F.col("_turns").alias("at")))
+    x = x.withColumn("_mark", F.last(mark, ignorenulls=True).over(ahead)).withColumn("_before", F.coalesce(F.lag("_turns").over(own), F.lit(0)))
+    # a split's effect: a state, or turns of the state that it begins with
+    whole = x.groupBy("f", "b").agg(F.max_by(F.struct("_turns", F.coalesce(mark, F.col("_mark")).alias("mark")), "i").alias("end"))
+    whole = whole.select("f", "b", F.when(F.col("end.mark").isNotNull(), (F.col("end.mark.state") + F.col("end._turns") - F.col("end.mark.at")) % 2).alias("_state"), F.col("end._turns").alias("_n"))
+    files = Window.partitionBy("f").orderBy("b")  # a row a split
+    total = F.sum("_n").over(files.rowsBetween(Window.unboundedPreceding, 0))
+    whole = whole.withColumn("_total", total)
+    last = F.last(F.when(F.col("_state").isNotNull(), F.struct("_state", "_total")), ignorenulls=True).over(files.rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.coalesce((F.col("_last._state") + F.col("_total") - F.col("_n") - F.col("_last._total")) % 2, (F.col("_total") - F.col("_n")) % 2)
+    whole = whole.withColumn("_last", last).select("f", "b", begin.alias("_begin"))
+    x = x.join(whole, ["f", "b"])
+    inside = F.coalesce((F.col("_mark.state") + F.col("_before") - F.col("_mark.at")) % 2, (F.col("_begin") + F.col("_before")) % 2)
+    x = x.withColumn("_in", inside).withColumn("_out", F.when(F.col("_in") == 1, F.col("_e1")).otherwise(F.col("_e0")))
+    alone = x.where("_in = 0 and _out = 0").select("f", "value")
+    # lines of a record have its first line's place; one that began in an earlier split has that of the last record begun there
+    x = x.where("_in = 1 or _out = 1")
+    first = F.when(F.col("_in") == 0, F.struct("b", "i"))
+    x = x.withColumn("_first", F.last(first, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = x.groupBy("f", "b").agg(F.max(first).alias("_open"))
+    heads = heads.select("f", "b", F.last("_open", ignorenulls=True).over(files.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    x = x.join(heads, ["f", "b"]).withColumn("_first", F.coalesce("_first", "_carried"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "value"))), lambda y: y["value"]), "\n")
+    return alone.unionByName(x.groupBy("f", "_first").agg(text.alias("value")).select("f", "value"))
 
 
 def read_csv(spark: SparkSession, path: str, header: tuple[str, ...], *, checked: bool = True) -> DataFrame:
-    """All columns as strings; rows with another number of fields are skipped."""
+    """All columns as strings; rows with another number of fields are skipped. A quoted field may hold line breaks, across splits too."""
     if checked:
         check_header(spark, path, header)
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header] + [T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", escape='"', multiLine=False, maxCharsPerColumn=-1)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    top = F.min("i").over(Window.partitionBy("f", "b"))  # the exchange that records makes serves this too
+    lines = lines.withColumn("_top", top).where((F.col("b") > 0) | (F.col("i") > F.col("_top"))).drop("_top")
+    rows = records(lines).where("value <> ''").select(F.from_csv(F.rtrim(F.col("value"), F.lit("\r")), schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "maxCharsPerColumn": "-1", "multiLine": "true"}).alias("r"), "f")
+    return rows.where("r is not null and r._corrupt is null").select(*[F.col(f"r.`{h}`") for h in header], F.col("f").alias("_file"))
 
 
 def parsed_time(text: Column) -> Column:
@@ -45,7 +105,7 @@ def parsed_time(text: Column) -> Column:
 
 def org_units(spark: SparkSession, path: str) -> DataFrame:
     """One row a user, from the latest snapshot (files are named by month)."""
-    rows = read_csv(spark, path, M.ORG_HEADER).withColumn("first_seen", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1))
+    rows = read_csv(spark, path, M.ORG_HEADER).withColumn("first_seen", F.regexp_extract("_file", r"([^/]+)\.csv$", 1))
     cols = [c for c in M.ORG_HEADER if c not in ("user_id", "employee_name", "email")]
     last = rows.groupBy("user_id").agg(F.max_by(F.struct(*cols, "first_seen"), "first_seen").alias("o"))
     return last.select(F.col("user_id").alias("principal"), "o.*", C.bucket(F.coalesce("o.functional_unit", F.lit("")), F.coalesce("o.business_unit", F.lit(""))).alias("unit_bucket"))

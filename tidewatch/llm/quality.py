@@ -7,13 +7,15 @@ is put on the probability scale by a logistic fit on the training sample.
 
 Defined results: null and empty texts are scored by their statistics (all zero); a null doc_id is
 scored, held_out false; one class or none among the training labels gives the class's prior;
-repeated rows give repeated results; other columns are ignored.
+repeated rows give repeated results; an empty table gives no rows; other columns are ignored. A text
+may be of any length: beside it about ten bytes are held for each of its bytes and some fifty for each word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import buffer_of, chunks, crc_bucket, table
 from tidewatch.llm.labelled import SAMPLE_ROWS, sample
-from tidewatch.llm.neardup import words_of
+from tidewatch.llm.linelabels import BLOCK, lines_of, words_of
 from tidewatch.llm.toxicity import fit_logistic
 
 #: Byte classes: lower, upper, digit, space, newline, sentence marks, brackets and quotes, other marks, control, non-ASCII.
@@ -36,10 +38,34 @@ SHRINK = 0.15
 FEATURES = ("log_bytes", "upper", "digit", "newline", "stops", "quotes", "marks", "control", "foreign", "word_length", "distinct_words", "repeated_lines", "log_lines", "top_word", "loud_marks", "repeated_pairs")
 
 
-def hashed_runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: A byte as it counts in words and lines: capitals as small letters, white space within lines alike.
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+SPACED = np.where((np.arange(256) <= 32) & (np.arange(256) != 10), np.uint8(95), FOLDED)
+
+
+def hashed_lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each non-empty line."""
-    spaced = np.where(data == 10, np.uint8(10), np.where(data <= 32, np.uint8(95), data))
-    return words_of(spaced, ends)
+    row, start, stop = lines_of(data, ends)
+    on = np.flatnonzero(stop > start)
+    buf = memoryview(SPACED[data])
+    h = np.fromiter((hash(buf[a:z].tobytes()) for a, z in zip(start[on].tolist(), stop[on].tolist(), strict=True)), np.int64, len(on))
+    return h.view(np.uint64), row[on]
+
+
+def byte_counts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows x N_CLASSES counts of byte classes, and each row's exclamation marks, a block of bytes at a time."""
+    rows = len(ends) - 1
+    counts, loud = np.zeros(rows * N_CLASSES, np.int64), np.zeros(rows, np.int64)
+    for lo in range(0, len(data), BLOCK):
+        part = data[lo : lo + BLOCK]
+        first = int(np.searchsorted(ends, lo, side="right")) - 1
+        last = int(np.searchsorted(ends, lo + len(part), side="left"))
+        inner = np.diff(np.clip(ends[first : last + 1], lo, lo + len(part)))
+        row = np.repeat(np.arange(last - first), inner)
+        counts[first * N_CLASSES : last * N_CLASSES] += np.bincount(row * N_CLASSES + CLASS[part], minlength=(last - first) * N_CLASSES)
+        loud[first:last] += np.bincount(row[part == 33], minlength=last - first)
+    return counts.reshape(rows, N_CLASSES), loud
 
 
 def distinct_share(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,12 +91,12 @@ def statistics(col: pa.Array) -> np.ndarray:
     """rows x FEATURES, transformed so that they spread evenly."""
     data, ends = buffer_of(col)
     rows, size = len(ends) - 1, np.diff(ends)
-    counts = np.bincount(np.repeat(np.arange(rows) * N_CLASSES, size) + CLASS[data], minlength=rows * N_CLASSES).reshape(rows, N_CLASSES).astype(float)
-    loud = np.bincount(np.repeat(np.arange(rows), size)[data == 33], minlength=rows)
+    counts, loud = byte_counts(data, ends)
     total = np.maximum(size, 1)
-    w, row = words_of(data, ends)
+    first, w, _ = words_of(FOLDED[data], ends)
+    row = np.searchsorted(ends, first, side="right") - 1
     n, distinct, most = distinct_share(w, row, rows)
-    lines, own, _ = distinct_share(*hashed_runs(data, ends), rows)
+    lines, own, _ = distinct_share(*hashed_lines(data, ends), rows)
     pair_row = row[:-1][row[:-1] == row[1:]] if len(row) else row
     pairs = (w[:-1] * np.uint64(3) + w[1:])[row[:-1] == row[1:]] if len(row) else w
     n_pairs, own_pairs, _ = distinct_share(pairs, pair_row, rows)
@@ -92,11 +118,16 @@ class QualityModel:
     scale: tuple[float, float]
     prior: float | None = None
 
+    @cached_property
+    def inverses(self) -> tuple[np.ndarray, ...]:
+        """Of the Cholesky factors, made once where the model is used."""
+        return tuple(np.linalg.inv(low) for low in self.factors)
+
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log density of class 1 less that of class 0, tempered so that far outliers stay ranked."""
         out = []
-        for mean, low, const in zip(self.means, self.factors, self.consts, strict=True):
-            z = np.linalg.solve(low, (x - mean).T)
+        for mean, inverse, const in zip(self.means, self.inverses, self.consts, strict=True):
+            z = inverse @ (x - mean).T
             out.append(const - 0.5 * (z * z).sum(axis=0))
         return np.arcsinh(out[1] - out[0])
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import model as M
 from tidewatch.operators import rollup
-from tidewatch.sources import activity
+from tidewatch.sources import activity, sinks
 
 ID = "{{A{0:03d}-BBBBBBBB-CCCCCCCC}}"
 
@@ -109,3 +109,56 @@ def test_one_wrong_header_of_many_files(spark, tmp_path):
         activity.check_header(spark, str(tmp_path), M.HEADERS["logon"])
     (tmp_path / "3.csv").write_text("")
     assert activity.read_csv(spark, str(tmp_path), M.HEADERS["logon"]).count() == 3
+
+
+def test_events_are_written_in_one_order(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = spark.range(5000).select(F.timestamp_add("SECOND", (F.col("id") * 7919 % 3001).cast("int"), F.lit("2024-01-01").cast("timestamp")).alias("ts"), F.col("id").alias("event_id")).repartition(6)
+    plan = rows.orderBy("ts", "event_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1
+    sinks.write_ordered(rows, f"{tmp_path}/o")
+    got = [(r["ts"], r["event_id"]) for f in sorted(glob.glob(f"{tmp_path}/o/part-*")) for r in pq.ParquetFile(f).read().to_pylist()]
+    assert len(got) == 5000 and got == sorted(got)
+
+
+def test_records_are_posted_with_retries_and_refusals_kept(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    tries, taken, lock = {}, [], threading.Lock()
+
+    class Ledger(BaseHTTPRequestHandler):
+        def do_POST(self):
+            record = json.loads(self.rfile.read(int(self.headers["content-length"])))["record"]
+            with lock:
+                tries[record["recId"]] = tries.get(record["recId"], 0) + 1
+                code = 500 if record["recId"] == "p-1" and tries["p-1"] < 3 else 422 if record["recId"] == "q-2" else 200
+                if code == 200:
+                    taken.append((record["principal"], record["seq"]))
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b"seq discontinuity" if code == 422 else b"null")
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Ledger)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rows = [(f"{p}-{i}", "0" * 64, i, "t", p, "a", "r", 0.5, 0.5, "ALLOW", "h", "s") for p in "pq" for i in range(1, 6)]
+        spark.createDataFrame(rows, M.RECORD).repartition(3).write.parquet(f"{tmp_path}/in")
+        how = {"wait_s": 0.01, "timeout_s": 5.0}
+        url = f"http://127.0.0.1:{server.server_port}"
+        stream = spark.readStream.schema(M.RECORD).parquet(f"{tmp_path}/in")
+        sinks.post_ledger(stream, url, f"{tmp_path}/out", f"{tmp_path}/cp", **how).awaitTermination()
+        got = {r["recId"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        assert len(got) == 10 and tries["p-1"] == 3 and (got["q-2"]["status"], got["q-2"]["reason"]) == (422, "seq discontinuity")
+        assert [s for p, s in taken if p == "p"] == [1, 2, 3, 4, 5] and got["p-1"]["status"] == 200
+    finally:
+        server.shutdown()
+    with pytest.raises(Exception, match="does not take"):
+        sinks.posted(spark.createDataFrame(rows[:1], M.RECORD), url, **how).collect()

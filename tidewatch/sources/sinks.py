@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,3 +45,60 @@ def append_ledger(records: DataFrame, path: str, checkpoint: str | None = None)
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger's records; r and r_eff differ by more than case there too."""
     return spark.read.schema(M.RECORD).json(path)
+
+
+def write_ordered(events: DataFrame, path: str) -> None:
+    """The events of all sources in one order, (ts, event_id): each file is in order and ends before the next begins.
+
+    One exchange by ranges, then each part is sorted for itself; the names of the files follow the order.
+    """
+    events.orderBy("ts", "event_id").write.parquet(path)
+
+
+POSTED = "recId string, principal string, seq long, status int, reason string"
+
+
+def posted(records: DataFrame, url: str, *, tries: int = 3, wait_s: float = 1.5, timeout_s: float = 150.0) -> DataFrame:
+    """recId, principal, seq, status, reason: each record (RECORD) sent to a ledger's HTTP service, a chain's in order of seq.
+
+    A refusal (422) is an answer, with its reason; other failures are tried again, ``tries`` times in all, after
+    rising waits, and then end the task, so that Spark tries it anew. The service knows a record by its recId.
+    """
+    names = [c.split()[0] for c in POSTED.split(", ")]
+
+    def send(record: dict) -> tuple[int, str]:
+        body = json.dumps({"record": record}).encode()
+        for n in range(tries):
+            try:
+                request = urllib.request.Request(f"{url.rstrip('/')}/LogAccess", data=body, headers={"content-type": "application/json"}, method="POST")
+                with urllib.request.urlopen(request, timeout=timeout_s) as answer:
+                    return answer.status, ""
+            except urllib.error.HTTPError as e:
+                said = e.read().decode(errors="replace")
+                if e.code == 422:
+                    return 422, said
+                last = f"HTTP {e.code}: {said}"
+            except OSError as e:
+                last = str(e)
+            time.sleep(wait_s * (n + 1) if n + 1 < tries else 0)
+        raise RuntimeError(f"the ledger does not take {record['recId']}: {last}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+            yield pd.DataFrame([(r["recId"], r["principal"], r["seq"], *send(r)) for r in rows], columns=names)
+
+    own = records.select(*M.RECORD.names).repartition("principal").sortWithinPartitions("principal", "seq", "recId")
+    return own.mapInPandas(run, POSTED)
+
+
+def post_ledger(records: DataFrame, url: str, path: str, checkpoint: str, **how) -> StreamingQuery:
+    """A stream of records sent to a ledger's service until it is used up; what it said goes to ``path``, a folder a batch.
+
+    A batch's answers are written as a whole or not at all; a batch that fails is sent again.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        posted(batch, url, **how).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,13 +12,14 @@ held against the bucket's most central member; then, as links are transitive, on
 buckets that still span several components matter. Of these, a node can link to another component
 only if ``percent`` of its shingles occur in other components too; nodes that fail this are peeled off,
 round after round, which is exact and needs no pairs. What is left meets by a prefix join: a link
-needs so many common shingles that two linked sets share one of their rarest few. Every
+needs so many common shingles that two linked sets share one of their rarest few. A pair is made only where
+bit signatures of the two sets, which bound what they differ in, allow the similarity. Every
 comparison counts full sets. So no link between candidates is lost for the components, while
 groups of copies cost one comparison a member. Components come from rounds of
 large-star and small-star over the verified links, in tables in the shared folder.
 
 Defined results: null and blank texts have empty sets (n_shingles 0, their own component, kept);
-texts under five words have one shingle, the whole sequence; a null doc_id takes no part in links
+texts under five words have one shingle, the whole sequence; very long texts are taken whole; a null doc_id takes no part in links
 (component_id null, kept); rows that repeat a doc_id belong to one document; an empty table
 gives no rows; other columns are ignored.
 """
@@ -41,6 +42,8 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
+#: Words of 64 bits in a set's signature.
+SIGNATURE = 64
 
 SEEDS = mix64(np.arange(1, 2 * COORDS + 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: One random odd-based value a byte; A-Z count as a-z.
@@ -269,22 +272,42 @@ def peeled(rest: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int
     return flat.join(nodes, "node")
 
 
-def prefix_pairs(elements: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of different components that may be links, from rows (node, n, c, e, least).
+def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, set -> node, sig: a bit set for each element, by its hash."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, SIGNATURE), np.uint64)
+        for i, x in enumerate(batch.column(1)):
+            e = np.frombuffer(x.as_buffer(), np.uint64)
+            np.bitwise_or.at(out[i], (e >> np.uint64(6)) % np.uint64(SIGNATURE), np.uint64(1) << (e & np.uint64(63)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * SIGNATURE), pa.array(out.reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "sig"])
+
+
+def differing(a: str, b: str) -> Column:
+    """How many elements two sets differ in, at least: a bit that only one signature has is an element that only one set has."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def prefix_pairs(elements: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of different components that may be links, from rows (node, n, c, e, least) and signatures (node, sig).
 
     Of a node's m elements that occur in other components, a link to a set of at least ``least``
-    elements needs ``need`` in common; so two linked nodes meet in their m - need + 1 rarest.
+    elements needs ``need`` in common; so two linked nodes meet in their m - need + 1 rarest. Where they meet, a pair is
+    only made if their signatures allow the similarity: so sets just under it make no rows.
     """
     live = elements.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("e", "df")
     rows = elements.join(live, "e")
     own = Window.partitionBy("node")
     rows = rows.withColumn("m", F.count("*").over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "e")))
     need = F.expr(f"((n + least) * {percent} + {99 + percent}) div {100 + percent}")  # rounded up
-    rows = materialise(rows.where(F.col("i") <= F.col("m") - need + 1).select("e", "node", "n", "c", "m"), "prefixes")
-    one = rows.select("e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("la"), F.col("c").alias("ca"))
-    two = rows.select("e", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("lb"), F.col("c").alias("cb"))
-    able = sharing(F.least("la", "lb"), F.col("na") + F.col("nb"), percent)
-    return one.join(two, "e").where("ca < cb").where(able).select("a", "b").distinct()
+    rows = rows.where(F.col("i") <= F.col("m") - need + 1).select("e", "node", "n", "c", "m")
+    rows = materialise(rows.join(sigs, "node"), "prefixes")
+    side = lambda x: rows.select("e", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "m", "c", "sig")])
+    sizes = F.col("n_a") + F.col("n_b")
+    able = sharing(F.least("m_a", "m_b"), sizes, percent) & (differing("sig_a", "sig_b") * (100 + percent) <= sizes * (100 - percent))
+    one, two = side("a").alias("x"), side("b").alias("y")
+    met = one.join(two, (F.col("x.e") == F.col("y.e")) & (F.col("c_a") < F.col("c_b")) & able)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def sharing(both: Column, sizes: Column, percent: int) -> Column:
@@ -335,7 +358,9 @@ def links_of(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     rest = materialise(labelled.join(open_, "k"), "open")
     if rest.isEmpty():
         return links
-    across = prefix_pairs(peeled(rest, sets, percent), percent)
+    open_elements = peeled(rest, sets, percent)
+    sigs = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(signatures, "node long, sig array<long>")
+    across = prefix_pairs(open_elements, sigs, percent)
     tried = spokes.select("a", "b").union(spokes.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialise(verified(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     return links.union(more)

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import linededup, neardup, secrets, trigrams
 
@@ -343,3 +344,22 @@ def test_every_coordinate_fills_and_agreement_follows_similarity():
     sk = neardup.sketches(sets, np.array([0, 1, 41, 1041, 2041]))
     assert (sk != neardup.FULL).all()
     assert abs((sk[2] == sk[3]).mean() - 900 / 1100) < 0.15
+
+
+def test_signatures_never_overstate_what_differs(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidewatch.llm import neardup
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (0, 1, 30, 300, 3000, 60_000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        sets += [base, np.unique(np.append(base[n // 10 :], rng.integers(0, 2**63, n // 8, dtype=np.uint64)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+    sig = spark.createDataFrame([(i, r.as_py()) for i, r in enumerate(next(neardup.signatures(iter([batch]))).column(1))], "node long, sig array<long>")
+    a, b = (sig.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "sig")]) for x in "ab")
+    for r in a.join(b, F.col("node_a") <= F.col("node_b")).select("node_a", "node_b", neardup.differing("sig_a", "sig_b").alias("d")).collect():
+        true = len(np.setxor1d(sets[r["node_a"]], sets[r["node_b"]]))
+        assert r["d"] <= true and (len(sets[r["node_a"]]) > 400 or r["d"] >= 0.85 * true)

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the
 last return the columns of ``documents`` (``n_chars`` follows the text where a stage changes it).
 ``run`` writes each stage's result to the shared folder and reads it back.
+
+Defined results, in every stage: a null text counts as an empty one and stays null; rows with a null doc_id are kept and
+link with nothing; rows that repeat a doc_id go or stay together in the near-copy stage, and are rows of their own in the
+others; texts are taken whole, however long; of equal lines and near copies the one of the least doc_id (then place) stays;
+further columns, whatever their names, come through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -212,7 +212,7 @@ def test_many_copies_of_one_vector(spark, monkeypatch):
 
 
 def test_registry_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
 
 

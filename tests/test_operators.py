@@ -135,26 +135,27 @@ def test_standardiser_is_population_and_guards_constants(spark):
     assert sorted(tuple(r) for r in rollup.standardise(t, t, ("a", "b")).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_models_rank_outliers():
+def test_models_rank_outliers(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 4))
+    t = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double, d double")
     far = np.full((1, 4), 8.0)
-    f = models.fit_forest(x, trees=50)
+    f = models.fit_forest(t, list("abcd"), "id", trees=50)
     assert f.score(far)[0] > f.score(x).max()
-    assert (f.score(x) == models.fit_forest(x, trees=50).score(x)).all()
-    a = models.fit_autoencoder(x, (3, 2), epochs=5)
+    assert (f.score(x) == models.fit_forest(t.repartition(7), list("abcd"), "id", trees=50).score(x)).all()
+    a = models.fit_autoencoder(t, list("abcd"), "id", (3, 2), epochs=5)
     assert a.score(far)[0] > np.median(a.score(x))
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_ablation_has_all_variants_and_retrains_two(spark, monkeypatch):
     fitted = []
-    monkeypatch.setattr(models, "fit_autoencoder", lambda x, *a, keep=models.fit_autoencoder, **k: fitted.append(x) or keep(x, epochs=2))
+    monkeypatch.setattr(models, "fit_autoencoder", lambda x, columns, key, keep=models.fit_autoencoder: fitted.append((x, columns)) or keep(x, columns, key, epochs=2))
     got = {r["variant"] for r in modelled.ablation_variants(spark, "/root/testdata/sf0.001").collect()}
     assert got == {"full", "no_forest", "no_autoencoder", "alpha_0.4", "alpha_0.8", "no_sensitivity", "global_frequency", "no_volume"}
-    assert [x.shape[1] for x in fitted] == [33, 33, 27]
-    at = modelled.COLUMNS.index("action_frequency")
-    assert len(set(fitted[1][:, at])) <= len(M.ACTIONS) < len(set(fitted[0][:, at]))
+    assert [len(columns) for _, columns in fitted] == [33, 33, 27]
+    shares = [x.select("action_frequency").distinct().count() for x, _ in fitted[:2]]
+    assert shares[1] <= len(M.ACTIONS) < shares[0]
 
 
 def test_fitted_queries_use_the_operators_defaults(monkeypatch):
@@ -162,7 +163,6 @@ def test_fitted_queries_use_the_operators_defaults(monkeypatch):
         pass
 
     def stop(*args, **params):
-        assert args[0] != 20_000
         raise Stop((len(args), params))
 
     class Rows:
@@ -170,11 +170,10 @@ def test_fitted_queries_use_the_operators_defaults(monkeypatch):
             return lambda *a, **k: self
 
     monkeypatch.setattr(modelled, "splits", lambda spark, d: Rows())
-    monkeypatch.setattr(models, "sample", lambda rows, columns, key, limit=models.SAMPLE_ROWS: limit)
-    monkeypatch.setattr(models, "fit_forest", lambda x: None)
+    monkeypatch.setattr(models, "fit_forest", lambda rows, columns, key: None)
     monkeypatch.setattr(models, "supervised", stop)
     monkeypatch.setattr(models, "fit_autoencoder", stop)
-    for query, n in ((modelled.forest_risk, 5), (modelled.autoencoder_score, 1), (modelled.engine_risk, 1), (modelled.ablation_variants, 1)):
+    for query, n in ((modelled.forest_risk, 5), (modelled.autoencoder_score, 3), (modelled.engine_risk, 3), (modelled.ablation_variants, 3)):
         with pytest.raises(Stop) as e:
             query(None, "")
         assert e.value.args[0] == (n, {})
@@ -408,8 +407,8 @@ def test_gradients_against_differences():
 def test_engines_are_kept_recalibrated_and_fitted_by_type(spark, tmp_path, monkeypatch):
     from tidewatch.operators import engines
 
-    monkeypatch.setattr(models, "fit_autoencoder", lambda x, keep=models.fit_autoencoder: keep(x, (3, 2), epochs=3))
-    monkeypatch.setattr(models, "fit_forest", lambda x, keep=models.fit_forest: keep(x, trees=20))
+    monkeypatch.setattr(models, "fit_autoencoder", lambda *a, keep=models.fit_autoencoder: keep(*a, (3, 2), epochs=3))
+    monkeypatch.setattr(models, "fit_forest", lambda *a, keep=models.fit_forest: keep(*a, trees=20))
     rng = np.random.default_rng(0)
     rows = [(i, "big" if i % 3 else "mid" if i % 2 else "rare" if i % 60 == 0 else "big", *map(float, rng.normal(i % 3, 1, 3))) for i in range(1500)]
     t = spark.createDataFrame(rows, "event_id long, kind string, x double, y double, z double")

@@ -1,7 +1,7 @@
 """Risk engines: two fitted detectors, their calibration, and the fused score; kept, loaded, recalibrated, by type.
 
-Fitting takes a bounded sample (``models.SAMPLE_ROWS``); the calibration scores are a table, so scoring
-and calibrating stay distributed.
+Fitting takes all rows and works in tasks; the calibration scores are a table, so scoring and calibrating
+stay distributed.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ def calibrated_on(engine: Engine, val: DataFrame, typed: bool = True) -> Engine:
 
 def fit(train: DataFrame, val: DataFrame, columns: tuple[str, ...], *, key: str = "event_id", alpha: float = M.ALPHA, typed: bool = True) -> Engine:
     """Both detectors on benign ``train`` rows, the calibration on benign ``val`` rows (with kind)."""
-    x = models.sample(train, list(columns), key)
-    return calibrated_on(Engine(models.fit_forest(x), models.fit_autoencoder(x), tuple(columns), val, alpha), val, typed)
+    forest, net = (f(train, list(columns), key) for f in (models.fit_forest, models.fit_autoencoder))
+    return calibrated_on(Engine(forest, net, tuple(columns), val, alpha), val, typed)
 
 
 def score(engine: Engine, rows: DataFrame, alphas: tuple[float, ...] | None = None) -> DataFrame:

@@ -80,6 +80,15 @@ def source_union_ordered(spark, d):
     return u.select("event_id", "source", F.row_number().over(Window.partitionBy("principal").orderBy("ts", "event_id")).cast("long").alias("place"))
 
 
+@query(f"WITH {EV} SELECT event_id, source, row_number() OVER (ORDER BY ts, event_id) AS place FROM ev WHERE source IN ('logon', 'device', 'file', 'http')")
+def source_merge_places(spark, d):
+    """The four sources merged into one order and read back, each event with its place."""
+    e, path = proxy.events(spark, d), scratch(spark, "merged")
+    parts = [e.where(F.col("source") == s).select("ts", "event_id", "source") for s in ("logon", "device", "file", "http")]
+    sinks.write_ordered(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), path)
+    return sinks.read_placed(spark, path).select("event_id", "source", "place")
+
+
 _SPLIT = f"CASE WHEN epoch_us(ts) < epoch_us(TIMESTAMP '{START}') + {int(SPANS[0] * 86400e6)} THEN 'train' WHEN epoch_us(ts) < epoch_us(TIMESTAMP '{START}') + {int((SPANS[0] + SPANS[1]) * 86400e6)} THEN 'val' ELSE 'test' END"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from tidewatch import model as M
 from tidewatch.functions import columns as C
-from tidewatch.operators import history, ledger
+from tidewatch.operators import history, ledger, lookup
 from tidewatch.plans.catalog import effective, query, risk
 from tidewatch.plans.sql import EV
 from tidewatch.session import materialise, scratch
@@ -66,6 +66,29 @@ def records_by_resource(spark, d):
     return proxy.events(spark, d).where("resource = 'arn:aws:execute-api:::site-7'").select("resource", "principal", "event_id")
 
 
+_SITE = "arn:aws:execute-api:::site-7"
+_laid: dict[tuple[str, str], str] = {}
+
+
+def laid_out(spark, d) -> str:
+    """The plain chains laid out for look-ups, once an application."""
+    if (key := (spark.sparkContext.applicationId, d)) not in _laid:
+        path = scratch(spark, "lookup")
+        lookup.lay_out(plain(spark, d)[0].join(proxy.events(spark, d).select("event_id", "resource"), "event_id"), path)
+        _laid[key] = path
+    return _laid[key]
+
+
+@query(f"WITH {_PLAIN} SELECT principal, seq, event_id, action, resource, hash FROM rec JOIN (SELECT event_id, resource FROM ev) USING (event_id) WHERE principal = '11'")
+def laid_out_by_principal(spark, d):
+    return lookup.by_principal(spark, laid_out(spark, d), "11").select("principal", "seq", "event_id", "action", "resource", "hash")
+
+
+@query(f"WITH {_PLAIN} SELECT principal, seq, event_id, action, resource, hash FROM rec JOIN (SELECT event_id, resource FROM ev) USING (event_id) WHERE resource = '{_SITE}'")
+def laid_out_by_resource(spark, d):
+    return lookup.by_resource(spark, laid_out(spark, d), _SITE).select("principal", "seq", "event_id", "action", "resource", "hash")
+
+
 @query(f"WITH {_PLAIN} SELECT principal, max(seq) AS head_seq, arg_max(hash, seq) AS head_hash FROM rec GROUP BY 1")
 def chain_heads(spark, d):
     return plain(spark, d)[0].groupBy("principal").agg(F.max("seq").alias("head_seq"), F.max_by("hash", "seq").alias("head_hash"))

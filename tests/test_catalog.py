@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("event_type_classify", "feature_row_full", "feature_row_in_chunks", "window_counts_1h_1d_7d", "userday_rollup", "ecdf_by_type_with_fallback", "roc_auc", "best_f1_threshold", "policy_permit_first_match", "source_merge_places", "laid_out_by_principal", "laid_out_by_resource", "chain_verify", "band_lookup_range_join", "insider_ranking_topk")
+SOME = ("event_type_classify", "feature_row_full", "feature_row_in_chunks", "window_counts_1h_1d_7d", "userday_rollup", "ecdf_by_type_with_fallback", "roc_auc", "best_f1_threshold", "policy_permit_first_match", "source_merge_places", "tamper_found", "laid_out_by_principal", "laid_out_by_resource", "chain_verify", "band_lookup_range_join", "insider_ranking_topk")
 
 
 def test_each_sql_belongs_to_a_query():

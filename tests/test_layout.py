@@ -146,3 +146,13 @@ def test_limits(forest, monkeypatch):
     monkeypatch.setattr(trees, "MOST_NODES", 3)
     with pytest.raises(ValueError, match="more than 3"):
         trees.probability(nodes, t, list("abc"), "r")
+
+
+def test_tamper_table_counts_what_is_found_in_its_place(spark):
+    from tidewatch.operators import ledger
+
+    done = spark.createDataFrame([("a", 3, "delete", True), ("a", 1, "modify", True), ("b", 2, "delete", True), ("c", 5, "delete", False), ("gone", 1, "modify", True)], "principal string, seq long, kind string, succeeded boolean")
+    verdicts = spark.createDataFrame([("a", 2), ("b", -1), ("c", 4)], "principal string, first_discontinuity long")
+    got = {r["kind"]: tuple(r)[1:] for r in ledger.tamper_table(done, verdicts).collect()}
+    assert got == {"delete": (3, 2, 1), "modify": (2, 2, 0), "total": (5, 4, 1)}
+    assert ledger.tamper_table(done.where("seq < 0"), verdicts).count() <= 1

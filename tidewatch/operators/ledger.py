@@ -127,6 +127,20 @@ def verify(hashed: DataFrame, heads: DataFrame | None = None, bad_signature: Col
     return out.select("principal", "records", (at == -1).alias("intact"), at.alias("first_discontinuity"))
 
 
+def tamper_table(done: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """kind (with a row "total"), attempts, succeeded, detected.
+
+    ``done``: principal, seq, kind, succeeded (the ledger holds the change), a row an attempt; ``verdicts``: as of ``verify``.
+    An attempt is detected if it succeeded and its chain breaks at its place or before; later ones alone don't count.
+    """
+    at = verdicts.select("principal", F.col("first_discontinuity").alias("_at"))
+    found = F.coalesce(F.col("_at").between(0, F.col("seq") - 1), F.lit(False))
+    t = done.join(at, "principal", "left").select("kind", "succeeded", (F.col("succeeded") & found).alias("found"))
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0).cast("long"))
+    out = t.rollup("kind").agg(F.grouping("kind").alias("_all"), F.count("*").alias("attempts"), n("succeeded").alias("succeeded"), n("found").alias("detected"))
+    return out.withColumn("kind", F.when(F.col("_all") == 1, "total").otherwise(F.col("kind"))).drop("_all")
+
+
 def judged(records: DataFrame, sign: Sign, heads: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """The records (RECORD and arrival) with reason: what a ledger says to them, offered in order of (arrival, principal, recId).
 

@@ -31,13 +31,18 @@ v1 AS (SELECT principal, count(*) AS records, min(CASE WHEN seq <> pos + 1 OR pr
 ver AS (SELECT h.principal, coalesce(records, 0) AS records, CAST(coalesce(broken_at, CASE WHEN head_seq <> coalesce(records, 0) THEN coalesce(records, 0) END, -1) AS BIGINT) AS first_discontinuity FROM heads h LEFT JOIN v1 USING (principal))"""
 
 
-def plain(spark, d) -> tuple[DataFrame, DataFrame]:
+def untouched(spark, d) -> DataFrame:
+    """The chains before anything is done to them; prev is the true link."""
     e = proxy.raw_events(spark, d)
     own = Window.partitionBy("principal").orderBy("ts", "event_id")
     p = e.select("event_id", "principal", "action", F.row_number().over(own).cast("long").alias("seq"))
     p = p.withColumn("hash", F.sha2(F.concat_ws("|", "principal", F.col("seq").cast("string"), F.col("event_id").cast("string"), "action"), 256))
-    prev = F.coalesce(F.lag("hash").over(Window.partitionBy("principal").orderBy("seq")), F.lit("0" * 64))
-    p = p.withColumn("prevHash", F.when(F.col("event_id") % 307 == 0, "f" * 64).otherwise(prev)).withColumn("recId", F.format_string("%012d", "event_id"))
+    return p.withColumn("prev", F.coalesce(F.lag("hash").over(Window.partitionBy("principal").orderBy("seq")), F.lit("0" * 64)))
+
+
+def plain(spark, d) -> tuple[DataFrame, DataFrame]:
+    p = untouched(spark, d)
+    p = p.withColumn("prevHash", F.when(F.col("event_id") % 307 == 0, "f" * 64).otherwise(F.col("prev"))).withColumn("recId", F.format_string("%012d", "event_id")).drop("prev")
     heads = p.groupBy("principal").agg(F.max("seq").alias("head_seq"))
     return p.where("event_id % 211 <> 0"), heads
 
@@ -56,6 +61,23 @@ def chain_context_rows(spark, d):
     return rows.join(at, "principal").where(F.abs(F.col("pos") - F.col("first_discontinuity")) <= 3).select("principal", "seq", "event_id", "pos")
 
 
+_DONE = """t AS (SELECT principal, seq, prevHash AS prev, 'delete' AS kind FROM p2 WHERE event_id % 211 = 0 UNION ALL SELECT principal, seq, prevHash, 'relink' FROM p2 WHERE event_id % 307 = 0),
+j AS (SELECT t.kind, CASE t.kind WHEN 'delete' THEN rec.seq IS NULL ELSE coalesce(rec.prevHash <> t.prev, false) END AS ok, first_discontinuity BETWEEN 0 AND t.seq - 1 AS found FROM t LEFT JOIN rec ON t.principal = rec.principal AND t.seq = rec.seq JOIN ver ON t.principal = ver.principal)"""
+
+
+@query(f"WITH {_PLAIN}, {_DONE} SELECT coalesce(kind, 'total') AS kind, count(*) AS attempts, CAST(sum(ok::INT) AS BIGINT) AS succeeded, CAST(sum((ok AND found)::INT) AS BIGINT) AS detected FROM j GROUP BY ROLLUP (kind)")
+def tamper_found(spark, d):
+    """What was done to the plain chains, what of it is in the ledger, and what of that the check finds."""
+    p, (records, heads) = untouched(spark, d), plain(spark, d)
+    i = F.col("event_id")
+    kinds = F.filter(F.array(F.when(i % 211 == 0, "delete"), F.when(i % 307 == 0, "relink")), lambda k: k.isNotNull())
+    attempts = p.select("principal", "seq", "prev", F.explode(kinds).alias("kind"))
+    now = records.select("principal", "seq", F.col("prevHash").alias("_link"))
+    stands = F.when(F.col("kind") == "delete", F.col("_link").isNull()).otherwise(F.coalesce(F.col("_link") != F.col("prev"), F.lit(False)))
+    done = attempts.join(now, ["principal", "seq"], "left").select("principal", "seq", "kind", stands.alias("succeeded"))
+    return ledger.tamper_table(done, ledger.verify(records, heads))
+
+
 @query(f"WITH {_PLAIN} SELECT principal, seq, event_id, action FROM rec WHERE principal = '11' ORDER BY seq")
 def records_by_principal(spark, d):
     return plain(spark, d)[0].where("principal = '11'").orderBy("seq").select("principal", "seq", "event_id", "action")

@@ -153,3 +153,12 @@ def test_a_million_events_of_one_principal_spread_over_tasks(spark):
     got = history.spread_features(many, ("calls_60min", "resource_novelty", "policy_breadth", "role_tenure_days"), rows=rows).where("principal = 'hot'")
     a = got.agg(F.count("*"), F.max("calls_60min"), F.max("role_tenure_days"), F.sum("policy_breadth"), F.sum(F.when(F.col("resource_novelty") == 1, 1).otherwise(0))).first()
     assert a[0] == n // 2 and a[1] == 600 and a[2] == pytest.approx(3 * (n - 2) / 86400) and a[3] == n // 2 - 1 and a[4] == 500
+
+
+def test_the_windows_tasks_grow_with_the_events(spark, monkeypatch):
+    e = crowded(spark, 600).cache()
+    monkeypatch.setattr(history, "TASK_ROWS", 50)
+    got = history.spread_features(e, ("calls_60min", "resource_novelty"))
+    assert got.rdd.getNumPartitions() == 12 and got.count() == 600
+    assert history.counts(e.withColumn("principal", F.when(F.col("principal") != "hot", F.col("principal")))) == (600, e.where("principal <> 'hot'").groupBy("principal").count().agg(F.max("count")).first()[0])
+    assert history.counts(e.limit(0)) == (0, 0) and history.tasks(spark, 0) == 1

@@ -171,7 +171,7 @@ def evidence_recheck(spark, d):
 
 def requests(spark, d) -> DataFrame:
     """The events as live requests: their context, and what needs no history, beside them."""
-    e = history.features(proxy.events(spark, d), online.CONTEXT)
+    e = history.spread_features(proxy.events(spark, d), online.CONTEXT, counted=proxy.raw_events(spark, d))
     s = C.sensitivity(F.col("action"), F.col("resource"), F.col("egress"))
     context = F.create_map(*[x for c in online.CONTEXT for x in (F.lit(c), F.col(c))])
     return e.select(
@@ -217,7 +217,7 @@ def online_verdict_counts(spark, d):
 def online_features_equal_batch(spark, d):
     """Features that the online path and the batch see otherwise, where nothing is denied: none. Counts that the state has pruned differ by 1e-5 at most."""
     live = online.replay(requests(spark, d), lambda f: 0.0)
-    batch = history.features(proxy.events(spark, d))
+    batch = history.spread_features(proxy.events(spark, d), counted=proxy.raw_events(spark, d))
     both = live.select("event_id", "features").join(batch.select("event_id", F.array(*M.FEATURES).alias("x")), "event_id")
     apart = F.zip_with("features", "x", lambda a, b: F.abs(a - b) > 1e-5 * (1 + F.abs(b)))
     wrong = F.filter(F.zip_with(apart, F.array(*map(F.lit, M.FEATURES)), lambda w, n: F.when(w, n)), lambda n: n.isNotNull())

@@ -31,17 +31,17 @@ v1 AS (SELECT principal, count(*) AS records, min(CASE WHEN seq <> pos + 1 OR pr
 ver AS (SELECT h.principal, coalesce(records, 0) AS records, CAST(coalesce(broken_at, CASE WHEN head_seq <> coalesce(records, 0) THEN coalesce(records, 0) END, -1) AS BIGINT) AS first_discontinuity FROM heads h LEFT JOIN v1 USING (principal))"""
 
 
-def untouched(spark, d) -> DataFrame:
-    """The chains before anything is done to them; prev is the true link."""
-    e = proxy.raw_events(spark, d)
+def untouched(spark, d, *more: str) -> DataFrame:
+    """The chains before anything is done to them; prev is the true link. ``more``: further columns of the events."""
+    e = proxy.events(spark, d) if more else proxy.raw_events(spark, d)
     own = Window.partitionBy("principal").orderBy("ts", "event_id")
-    p = e.select("event_id", "principal", "action", F.row_number().over(own).cast("long").alias("seq"))
+    p = e.select("event_id", "principal", "action", *more, F.row_number().over(own).cast("long").alias("seq"))
     p = p.withColumn("hash", F.sha2(F.concat_ws("|", "principal", F.col("seq").cast("string"), F.col("event_id").cast("string"), "action"), 256))
     return p.withColumn("prev", F.coalesce(F.lag("hash").over(Window.partitionBy("principal").orderBy("seq")), F.lit("0" * 64)))
 
 
-def plain(spark, d) -> tuple[DataFrame, DataFrame]:
-    p = untouched(spark, d)
+def plain(spark, d, *more: str) -> tuple[DataFrame, DataFrame]:
+    p = untouched(spark, d, *more)
     p = p.withColumn("prevHash", F.when(F.col("event_id") % 307 == 0, "f" * 64).otherwise(F.col("prev"))).withColumn("recId", F.format_string("%012d", "event_id")).drop("prev")
     heads = p.groupBy("principal").agg(F.max("seq").alias("head_seq"))
     return p.where("event_id % 211 <> 0"), heads
@@ -96,7 +96,7 @@ def laid_out(spark, d) -> str:
     """The plain chains laid out for look-ups, once an application."""
     if (key := (spark.sparkContext.applicationId, d)) not in _laid:
         path = scratch(spark, "lookup")
-        lookup.lay_out(plain(spark, d)[0].join(proxy.events(spark, d).select("event_id", "resource"), "event_id"), path)
+        lookup.lay_out(plain(spark, d, "resource")[0], path)
         _laid[key] = path
     return _laid[key]
 

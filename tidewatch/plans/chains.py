@@ -124,6 +124,11 @@ def decisions(spark, d) -> DataFrame:
     )
 
 
+def chains(spark, d) -> DataFrame:
+    """The decisions' chains, folded once and written: what follows reads them several times, with Python of its own."""
+    return materialise(ledger.chained(decisions(spark, d), SIGN), "chains")
+
+
 @query()
 def chain_build(spark, d):
     return ledger.with_hash(ledger.chained(decisions(spark, d), SIGN))
@@ -131,12 +136,12 @@ def chain_build(spark, d):
 
 @query()
 def chain_build_verified(spark, d):
-    return ledger.verify(ledger.with_hash(ledger.chained(decisions(spark, d), SIGN)), bad_signature=ledger.bad_signature(SIGN))
+    return ledger.verify(ledger.with_hash(chains(spark, d)), bad_signature=ledger.bad_signature(SIGN))
 
 
 @query()
 def ledger_admission(spark, d):
-    r = ledger.chained(decisions(spark, d), SIGN).withColumn("arrival", F.col("seq") * 2)
+    r = chains(spark, d).withColumn("arrival", F.col("seq") * 2)
     again = r.where(F.col("seq") % 9 == 0).withColumn("arrival", F.col("arrival") + 1)
     forged = r.where(F.col("seq") % 11 == 0).withColumn("recId", F.concat(F.lit("x"), "recId")).withColumn("arrival", F.col("arrival") + 1)
     stolen = r.where(F.col("seq") % 13 == 0).withColumn("principal", F.concat(F.lit("x"), "principal")).withColumn("arrival", F.col("arrival") + 1)
@@ -146,7 +151,7 @@ def ledger_admission(spark, d):
 @query()
 def tamper_simulation(spark, d):
     """A third of the chains have one record tampered with, at a place by hash: any, the last included."""
-    r = ledger.chained(decisions(spark, d), SIGN)
+    r = chains(spark, d)
     heads = r.groupBy("principal").agg(F.max("seq").alias("head_seq"))
     length = F.max("seq").over(Window.partitionBy("principal"))
     r = r.withColumn("_place", F.pmod(F.xxhash64("principal", F.lit("place")), length) + 1)
@@ -184,15 +189,15 @@ def streamed(spark, d) -> DataFrame:
     """The requests written to the shared folder and read as a stream until it is used up."""
     base = scratch(spark, "online")
     requests(spark, d).write.parquet(f"{base}/in")
+    return decided(spark, base)
+
+
+def decided(spark, base: str) -> DataFrame:
     stream = spark.readStream.schema(online.REQUEST).parquet(f"{base}/in")
     q = online.online(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(online.DECISION).parquet(f"{base}/out")
 
-    return decided(spark, base)
-
-
-def decided(spark, base: str) -> DataFrame:
 
 @query()
 def online_decisions_stream(spark, d):
@@ -254,7 +259,7 @@ def stepup_challenges(spark, d):
 def ledger_commit_counters(spark, d):
     """Records offered as a stream, some of them twice: what was committed, refused and left."""
     base = scratch(spark, "commit")
-    r = ledger.chained(decisions(spark, d), SIGN).withColumn("arrival", F.col("seq") * 2)
+    r = chains(spark, d).withColumn("arrival", F.col("seq") * 2)
     again = r.where(F.col("seq") % 9 == 0).withColumn("arrival", F.col("arrival") + 1)
     offered = materialise(r.unionByName(again), "offered")
     offered.write.parquet(f"{base}/in")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewatch import model as M
 from tidewatch.functions import columns as C
 from tidewatch.operators import calibrate, models
+from tidewatch.session import materialise
 
 #: Benign training rows that a type needs for an engine of its own.
 LEAST_ROWS = 400
@@ -42,7 +43,8 @@ def raw(rows: DataFrame, forest: models.Forest, net: models.Autoencoder, columns
 
 def calibrated_on(engine: Engine, val: DataFrame, typed: bool = True) -> Engine:
     """The engine with its calibration taken anew from benign ``val`` rows; nothing is retrained."""
-    return replace(engine, calibration=raw(val, engine.forest, engine.net, engine.columns).select("kind", "e", "s"), typed=typed)
+    scores = raw(val, engine.forest, engine.net, engine.columns).select("kind", "e", "s")
+    return replace(engine, calibration=materialise(scores, "calibration"), typed=typed)
 
 
 def fit(train: DataFrame, val: DataFrame, columns: tuple[str, ...], *, key: str = "event_id", alpha: float = M.ALPHA, typed: bool = True) -> Engine:
@@ -53,7 +55,7 @@ def fit(train: DataFrame, val: DataFrame, columns: tuple[str, ...], *, key: str
 
 def score(engine: Engine, rows: DataFrame, alphas: tuple[float, ...] | None = None) -> DataFrame:
     """``rows`` (with kind) and e, s, f_e, f_s and r_<alpha> for each weight."""
-    out = raw(rows, engine.forest, engine.net, engine.columns)
+    out = materialise(raw(rows, engine.forest, engine.net, engine.columns), "scores")  # each distribution reads them again
     for x in ("e", "s"):
         if engine.typed:
             out = calibrate.ecdf_with_fallback(engine.calibration, out, x, "kind").withColumnRenamed("f", f"f_{x}")

@@ -162,3 +162,19 @@ def test_the_windows_tasks_grow_with_the_events(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == 12 and got.count() == 600
     assert history.counts(e.withColumn("principal", F.when(F.col("principal") != "hot", F.col("principal")))) == (600, e.where("principal <> 'hot'").groupBy("principal").count().agg(F.max("count")).first()[0])
     assert history.counts(e.limit(0)) == (0, 0) and history.tasks(spark, 0) == 1
+
+
+def test_each_key_is_sorted_once(spark):
+    text = history.features(make(spark, [(1, 0, "p", "a", "r", "x", 1)]))._jdf.queryExecution().executedPlan().toString()
+    # the first event's time, action, resource, asn, host, hour, and the principal's own order
+    assert text.count("Sort [") == 7
+
+
+def test_only_the_kept_columns_go_through_the_windows(spark):
+    e = crowded(spark, 200).cache()
+    want = {r["event_id"]: r["calls_60min"] for r in history.features(e).collect()}
+    for got in (history.features(e, ("calls_60min",), keep=("event_id", "label")), history.spread_features(e, ("calls_60min",), rows=20, keep=("event_id", "label"))):
+        assert got.columns == ["event_id", "label", "calls_60min"]
+        assert {r["event_id"]: r["calls_60min"] for r in got.collect()} == want
+        text = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("supervisor" in line for line in text.splitlines() if "Window" in line or "Generate" in line)

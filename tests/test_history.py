@@ -178,3 +178,9 @@ def test_only_the_kept_columns_go_through_the_windows(spark):
         assert {r["event_id"]: r["calls_60min"] for r in got.collect()} == want
         text = got._jdf.queryExecution().optimizedPlan().toString()
         assert not any("supervisor" in line for line in text.splitlines() if "Window" in line or "Generate" in line)
+
+
+def test_carried_values_reach_the_chunks_without_joining_the_events(spark):
+    e = crowded(spark, 300)
+    text = history.spread_features(e, rows=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=>" not in text and not any("event_id" in line for line in text.splitlines() if "Join Inner" in line)

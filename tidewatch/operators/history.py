@@ -39,7 +39,7 @@ TASK_ROWS = 150_000
 WHOLE, CHUNKED = ("principal",), ("principal", "_chunk")
 _DELTAS = ("_n1", "_n15", "_n60", "_bytes", "_resources", "_actions")
 #: Columns that the windows look at.
-_INPUTS = ("principal", "event_id", "us", "w", "action", "resource", "asn", "pc", "lat", "lon", "bytes_read")
+_INPUTS = ("principal", "event_id", "ts", "us", "w", "action", "resource", "asn", "pc", "lat", "lon", "bytes_read")
 #: What a feature needs of a key's own windows: is its value new, its sum, its neighbours in time, the hour's sum.
 _NEEDS = {
     "first_time_action": ("action", "new"), "policy_breadth": ("action", "new"), "action_frequency": ("action", "sum"), "distinct_actions_60min": ("action", "near"),
@@ -94,6 +94,7 @@ def _recent_rows(e: DataFrame, by: tuple[str, ...], kept: list[str]) -> DataFram
 
     def row(at: Column, kind: int, deltas: tuple, event: Column, chunk: str) -> Column:
         where = [F.col(chunk).alias("_chunk")] if by == CHUNKED else []
+        where.append((F.lit(None) if kind else F.col("event_id")).cast(dict(e.dtypes)["event_id"]).alias("event_id"))
         return F.struct(*where, at.alias("us"), F.lit(kind).alias("_kind"), *[(d if isinstance(d, Column) else F.lit(d)).cast("long").alias(f"{n}_d") for n, d in zip(_DELTAS, deltas, strict=True)], event.alias("_event"))
 
     gone = F.when(F.lit(False), whole)
@@ -101,7 +102,7 @@ def _recent_rows(e: DataFrame, by: tuple[str, ...], kept: list[str]) -> DataFram
         row(us, 0, (1, 1, 1, size, stays("resource"), stays("action")), whole, "_chunk"), row(us + MINUTE, 1, (-1, 0, 0, 0, 0, 0), gone, "_minute_chunk"),
         row(us + QUARTER, 1, (0, -1, 0, 0, 0, 0), gone, "_quarter_chunk"), row(us + HOUR, 1, (0, 0, -1, -size, goes("resource"), goes("action")), gone, "_hour_chunk"),
     )
-    return e.select("principal", "event_id", F.inline(rows))
+    return e.select("principal", F.inline(rows))
 
 
 def features(events: DataFrame, names: tuple[str, ...] = M.FEATURES, *, compat: bool = False, actions: tuple[str, ...] = M.ACTIONS, keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -122,8 +123,6 @@ def _prepared(e: DataFrame, names: tuple[str, ...], compat: bool, keep: tuple[st
     hour = F.hour("ts")
     role = F.lower(F.coalesce("role", F.lit("")))
     kind = role.rlike("admin|it|director") if compat else role.rlike("admin|director|(^|[^a-z])it([^a-z]|$)")
-    angle = 2 * math.pi * (hour + F.minute("ts") / 60.0) / 24.0
-    day = 2 * math.pi * F.weekday("ts") / 7.0
     s3 = F.col("resource").startswith("arn:aws:s3:::")
     bucket = F.split_part(F.split_part("resource", F.lit(":::"), F.lit(2)), F.lit("/"), F.lit(1))
     foreign = (F.concat(F.lit("org-"), F.regexp_replace(F.lower("functional_unit"), " ", "-")) != bucket) if compat else (bucket != F.col("unit_bucket"))
@@ -131,10 +130,6 @@ def _prepared(e: DataFrame, names: tuple[str, ...], compat: bool, keep: tuple[st
         "principal_type": kind,
         "cross_account_depth": sum(((F.coalesce(c, F.lit("")) != "").cast("double") for c in ("business_unit", "functional_unit", "department", "team")), F.lit(0.0)),
         "is_supervisor": F.col("known") & (F.trim(F.coalesce("supervisor", F.lit(""))) == ""),
-        "hour_sin": F.sin(angle),
-        "hour_cos": F.cos(angle),
-        "dow_sin": F.sin(day),
-        "dow_cos": F.cos(day),
         "is_session_action": F.col("action").isin(*M.SESSIONS),
         "is_egress_action": F.col("egress"),
         "resource_sensitivity": C.sensitivity(F.col("action"), F.col("resource"), F.col("egress")),
@@ -184,7 +179,7 @@ def _described(e: DataFrame, names: tuple[str, ...], actions: tuple[str, ...], k
     left = lambda name: F.col(f"_carried.{name}")
     none = F.lit(0).cast("long")
     after_ = ("principal", "event_id", "us", "_kind", "_chunk")
-    own_ = [c for c in e.columns if c not in after_ and not c.startswith("_") and (keep is None or c in keep or c in (*M.FEATURES, "action", "lat", "lon", "w"))]
+    own_ = [c for c in e.columns if c not in after_ and not c.startswith("_") and (keep is None or c in keep or c in (*M.FEATURES, "ts", "action", "lat", "lon", "w"))]
     kept = own_ + [c for c in e.columns if c.startswith(("_first_", "_sum_")) or c in ("_hour", "_hour_sum")]
     recent = bool(set(names) & set(RECENT))
     if recent:
@@ -234,7 +229,13 @@ def _described(e: DataFrame, names: tuple[str, ...], actions: tuple[str, ...], k
         apart = F.abs(F.col("_hour") + modal.h)
         return F.when(total > 0, F.least(apart, 24 - apart) / 12.0).otherwise(0.0)
 
+    angle = 2 * math.pi * (F.hour("ts") + F.minute("ts") / 60.0) / 24.0
+    day = 2 * math.pi * F.weekday("ts") / 7.0
     out = {
+        "hour_sin": lambda: F.sin(angle),
+        "hour_cos": lambda: F.cos(angle),
+        "dow_sin": lambda: F.sin(day),
+        "dow_cos": lambda: F.cos(day),
         "role_tenure_days": lambda: F.coalesce((us - first_us) / 86400e6, F.lit(0.0)),
         "policy_breadth": lambda: plus("_breadth", "breadth"),
         "modal_hour_deviation": deviation,
@@ -308,8 +309,10 @@ def carries(e: DataFrame, names: tuple[str, ...], actions: tuple[str, ...]) -> t
     """What earlier chunks leave to each chunk, and to each chunk's value of each key, as rows that go before the chunk's events."""
     keyed, keys = None, list(_keys(names))
     if keys:
-        values = F.explode(F.array(*[F.struct(F.lit(k).alias("_what"), F.col(k).cast("string").alias("_value")) for k in keys])).alias("_v")
-        each = e.select("principal", "_chunk", "w", "us", values).select("principal", "_chunk", "w", "us", "_v.*").groupBy("principal", "_what", "_value", "_chunk")
+        # sums and times of those keys alone that need them
+        only = lambda k, c, *what: (F.col(c) if set(what) & _keys(names)[k] else F.lit(None).cast(dict(e.dtypes)[c])).alias(c)
+        values = F.inline(F.array(*[F.struct(F.lit(k).alias("_what"), F.col(k).cast("string").alias("_value"), only(k, "w", "sum", "hours"), only(k, "us", "near")) for k in keys]))
+        each = e.select("principal", "_chunk", values).groupBy("principal", "_what", "_value", "_chunk")
         each = each.agg(F.sum("w").alias("s"), F.max("us").alias("last"), F.min("us").alias("first"))
         order = Window.partitionBy("principal", "_what", "_value").orderBy("_chunk")
         kinds = dict(e.dtypes)

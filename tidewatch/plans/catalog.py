@@ -199,7 +199,7 @@ for _name, _cols in _FAMILIES.items():
 @query(f"WITH {FEAT} SELECT event_id, principal, {rounded(M.FEATURES)} FROM feat")
 def feature_row_in_chunks(spark, d):
     """All features, with every principal of more than 20 events cut into chunks of time."""
-    return rnd(_features(spark, d, rows=20).select("event_id", "principal", *M.FEATURES), *M.FEATURES)
+    return rnd(_features(spark, d, rows=20, keep=("event_id", "principal")).select("event_id", "principal", *M.FEATURES), *M.FEATURES)
 
 
 @query(f"WITH {EV} SELECT event_id, principal, count(*) OVER (PARTITION BY principal ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n_1h, count(*) OVER (PARTITION BY principal ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) - 1 AS n_1d, count(*) OVER (PARTITION BY principal ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - 1 AS n_7d FROM ev")

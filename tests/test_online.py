@@ -146,3 +146,75 @@ def test_a_burst_costs_what_its_requests_cost():
     took(500)
     assert took(16_000) < 8 * took(4_000)  # four times the requests; the square would be sixteen
 
+
+
+class Calls:
+    """A handle whose states count the calls that a worker makes."""
+
+    def __init__(self):
+        self.n, self.states = 0, {}
+
+    def state(self, name, *_):
+        return self.states.setdefault(name, CountedState(self))
+
+    getValueState = getListState = getMapState = state
+
+
+class CountedState:
+    def __init__(self, calls):
+        self.calls, self.value, self.map = calls, None, {}
+
+    def __getattribute__(self, name):
+        if name not in ("calls", "value", "map") and not name.startswith("__"):
+            object.__getattribute__(self, "calls").n += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendList(self, rows):
+        self.value = [*(self.value or []), *rows]
+
+    def clear(self):
+        self.value = None
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+
+@pytest.mark.parametrize("few", [256, 8])
+def test_few_keys_are_one_list_and_many_go_to_the_maps(few):
+    def frame(lo, hi):
+        return pd.DataFrame([{"event_id": i, "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i), "principal": "p", "action": f"x{i % 5}", "resource": f"r{i % 40}", "bytes_read": 1, "sensitivity": 0.1, "credit": 0.0, "pc": f"h{i % 7}", "asn": f"a{i % 7}"} for i in range(lo, hi)])
+
+    calls, decider = Calls(), online.Decider(zero, None, False, few)
+    decider.init(calls)
+    got = []
+    for lo in (0, 4, 60, 120):
+        before = calls.n
+        got += pd.concat(decider.handleInputRows(("p",), iter([frame(lo, {0: 4, 4: 60, 60: 120, 120: 180}[lo])]), None)).to_dict("records")
+        assert few == 8 or calls.n - before <= 12
+    want = online.decide(online.Profile(), online.records(frame(0, 180)), zero)
+    assert [r["hash"] for r in got] == [r[12] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a["features"] == pytest.approx(b[13], rel=1e-9, abs=1e-9)
+    assert bool(calls.states["few"].value) == (few == 256) and bool(calls.states["resource"].map) == (few == 8)
+
+
+def test_a_stream_whose_keys_outgrow_the_list_equals_one_replay(spark, tmp_path):
+    rows = some(90)
+    for lo in range(0, 90, 30):
+        got = run(spark, f"file://{tmp_path}", rows[lo : lo + 30], score=mild, few=16)
+    want = {r["event_id"]: r for r in online.replay(requests(spark, rows), mild).collect()}
+    assert got == want and len(got) == 90

@@ -7,8 +7,9 @@ by principal. Micro-batches are folded in (ts, event_id) order.
 
 The state is typed and kept in parts: a value with what has a fixed size, maps from actions,
 resources, networks and hosts, and a list of the last hour's requests. Counts are decayed when they
-are looked up, so a batch reads and writes only the keys that its requests touch. A burst costs what
-its requests cost: the last hour is kept in order, with counts beside it.
+are looked up, so a batch reads and writes only the keys that its requests touch. While a principal has
+few keys they are one list instead, read and written at once: each key of a map is a call of its own. A burst
+costs what its requests cost: the last hour is kept in order, with counts beside it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ except ImportError:  # it needs protobuf; all but ``online`` works without
     StatefulProcessor = StatefulProcessorHandle = object
 
 HOUR_S = 3600
+#: Keys up to which a principal's maps are kept as one list.
+FEW = 256
 REQUEST = "event_id long, ts timestamp, principal string, action string, resource string, bytes_read long, sensitivity double, credit double, pc string, asn string, lat double, lon double, hour int, managed boolean, mfa_age double, context map<string,double>"
 #: Features that a request has without any history: the batch side computes them, ``context`` carries them.
 CONTEXT = ("principal_type", "cross_account_depth", "is_supervisor", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_session_action", "is_egress_action", "cross_account_flag", "arn_prefix_depth")
@@ -57,8 +60,8 @@ def effective(r: float, s: float, c: float) -> float:
 class Kept:
     """A map in memory; a stream's maps look keys up in its state instead."""
 
-    def __init__(self) -> None:
-        self.known: dict = {}
+    def __init__(self, known: dict | None = None) -> None:
+        self.known: dict = known or {}
 
     def find(self, key):
         return None
@@ -216,6 +219,11 @@ def completed(requests: DataFrame) -> DataFrame:
     return requests.select(*[F.col(n) if n in requests.columns else F.lit(None).cast(t).alias(n) for n, t in kinds])
 
 
+def records(pdf: pd.DataFrame) -> list[dict]:
+    """The rows as dictionaries of plain values."""
+    return [dict(zip(pdf.columns, row, strict=True)) for row in zip(*[pdf[c].tolist() for c in pdf.columns], strict=True)]
+
+
 def decide(profile: Profile, rows: list[dict], score: Score) -> list[tuple]:
     """Decisions on requests in order; the profile is updated as they are taken."""
     out = []
@@ -259,27 +267,34 @@ class Touched(Kept):
 class Decider(StatefulProcessor):
     """Decisions of a principal's requests; see ``online``."""
 
-    def __init__(self, score: Score, ttl_ms: int | None, event_time: bool) -> None:
-        self.score, self.ttl_ms, self.event_time = score, ttl_ms, event_time
+    def __init__(self, score: Score, ttl_ms: int | None, event_time: bool, few: int = FEW) -> None:
+        self.score, self.ttl_ms, self.event_time, self.most = score, ttl_ms, event_time, 0 if ttl_ms is not None else few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.fixed = handle.getValueState("fixed", FIXED)
         self.recent = handle.getListState("recent", "time double, resource string, action string, bytes long")
+        self.few = handle.getListState("few", "kind string, key string, count double, at double")
         self.maps = {k: handle.getMapState(k, "key string", "count double, at double", self.ttl_ms) for k in ("action", "resource", "asn", "pc")}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        maps = {k: Touched(m) for k, m in self.maps.items()}
-        kept = [tuple(x) for x in self.recent.get()] if self.recent.exists() else []
-        profile = Profile(tuple(self.fixed.get()) if self.fixed.exists() else None, kept, maps)
+        known = self.fixed.exists()
+        # keys are in the list or in the maps, never in both; of a new principal there are none
+        listed = self.few.exists() if known and self.most else bool(self.most)
+        maps = self._listed(known) if listed else {k: Touched(m) for k, m in self.maps.items()}
+        kept = [tuple(x) for x in self.recent.get()] if known and self.recent.exists() else []
+        profile = Profile(tuple(self.fixed.get()) if known else None, kept, maps)
         live = len(profile.recent.left())
         pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         new: list[tuple] = []
         own, profile.recent.add = profile.recent.add, lambda row: (new.append(row), own(row))
-        out = decide(profile, pdf.to_dict("records"), self.score)
+        out = decide(profile, records(pdf), self.score)
         self.fixed.update(profile.fixed())
-        for m in maps.values():
-            m.write()
+        if listed:
+            self._keep(maps, known)
+        else:
+            for m in maps.values():
+                m.write()
         # what has left the hour stays in the list until it is most of it
         if 2 * live < len(kept):
             self.recent.put(profile.recent.left()) if profile.recent.left() else self.recent.clear()
@@ -291,6 +306,23 @@ class Decider(StatefulProcessor):
             self.handle.registerTimer(int((profile.seen + HOUR_S) * 1000) + 1)
         yield pd.DataFrame(out, columns=NAMES)
 
+    def _listed(self, known: bool) -> dict[str, Kept]:
+        maps: dict[str, Kept] = {k: Kept() for k in self.maps}
+        for kind, key, count, at in self.few.get() if known else ():
+            maps[kind].put(key, (count, at))
+        return maps
+
+    def _keep(self, maps: dict[str, Kept], known: bool) -> None:
+        """The keys as a list again, or in the maps from now on if they are many."""
+        rows = [(kind, key, *value) for kind, m in maps.items() for key, value in m.known.items() if value is not None]
+        if len(rows) > self.most:
+            for kind, key, *value in rows:
+                self.maps[kind].updateValue((key,), tuple(value))
+            if known:
+                self.few.clear()
+        elif rows:
+            self.few.put(rows)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The watermark has passed the hour after the last request: nothing recent is left."""
         self.recent.clear()
@@ -309,7 +341,7 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def online(requests: DataFrame, score: Score = history_score, *, heads: DataFrame | None = None, watermark: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+def online(requests: DataFrame, score: Score = history_score, *, heads: DataFrame | None = None, watermark: str | None = None, ttl_ms: int | None = None, few: int = FEW) -> DataFrame:
     """Decisions of a stream of requests (columns of REQUEST).
 
     ``heads`` (principal, head_seq, head_hash), as a ledger has them, start the chains of a stream
@@ -319,6 +351,8 @@ def online(requests: DataFrame, score: Score = history_score, *, heads: DataFram
     (of processing time) are forgotten: they count as new again; a stream that is to end where its input does then needs
     ``spark.sql.streaming.noDataMicroBatches.enabled`` off. One of the two at most.
 
+    The keys of a principal with up to ``few`` are kept as one list (with ``ttl_ms`` none are: each forgets for itself).
+
     The state is kept in a store with column families, which the session is set to.
     """
     if watermark is not None and ttl_ms is not None:
@@ -331,7 +365,7 @@ def online(requests: DataFrame, score: Score = history_score, *, heads: DataFram
         rows = rows.withWatermark("ts", watermark)
     mode = "EventTime" if watermark is not None else "ProcessingTime" if ttl_ms is not None else "None"
     start = heads.select("principal", "head_seq", "head_hash").groupBy("principal") if heads is not None else None
-    return rows.groupBy("principal").transformWithStateInPandas(Decider(score, ttl_ms, watermark is not None), DECISION, "Append", mode, start)
+    return rows.groupBy("principal").transformWithStateInPandas(Decider(score, ttl_ms, watermark is not None, few), DECISION, "Append", mode, start)
 
 
 def replay(requests: DataFrame, score: Score = history_score) -> DataFrame:
@@ -344,7 +378,7 @@ def replay(requests: DataFrame, score: Score = history_score) -> DataFrame:
             for principal, own in pdf.groupby("principal", sort=False):
                 if principal != who:
                     who, profile = principal, Profile()
-                out += decide(profile, own.to_dict("records"), score)
+                out += decide(profile, records(own), score)
             yield pd.DataFrame(out, columns=NAMES)
 
     return completed(requests).repartition("principal").sortWithinPartitions("principal", "ts", "event_id").mapInPandas(fold, DECISION)

@@ -184,3 +184,22 @@ def test_carried_values_reach_the_chunks_without_joining_the_events(spark):
     e = crowded(spark, 300)
     text = history.spread_features(e, rows=20)._jdf.queryExecution().optimizedPlan().toString()
     assert "<=>" not in text and not any("event_id" in line for line in text.splitlines() if "Join Inner" in line)
+
+
+def test_tasks_stay_even_when_principals_have_many_events(spark):
+    n, users = 750_000, 8  # each has less than a task's events
+    one = make(spark, [(0, 0, "p", "s3:GetObject", "r", "x", 1)]).drop("event_id", "ts", "principal")
+    many = spark.range(n).withColumnRenamed("id", "event_id").join(one).withColumn("principal", (F.col("event_id") % users).cast("string"))
+    many = many.withColumn("ts", F.expr("timestamp'2024-01-01 08:00:00' + make_dt_interval(0, 0, 0, event_id)"))
+    got = history.spread_features(many, ("role_tenure_days", "policy_breadth"), keep=("event_id",))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 1.5 * history.TASK_ROWS
+
+
+def test_smaller_principals_are_cut_into_fewer_chunks(spark):
+    who = F.when(F.col("id") < 10_000, "big").when(F.col("id") < 11_500, "mid").otherwise(F.lit("small"))
+    e = spark.range(12_000).select(who.alias("principal"), F.timestamp_seconds("id").alias("ts"))
+    found = history.cuts(e, 1_000)
+    got = e.join(found, "principal").groupBy("principal", history.chunk_of(F.unix_micros("ts")).alias("chunk")).count().collect()
+    assert sorted((r["principal"], r["chunk"]) for r in got) == [("big", i) for i in range(10)] + [("mid", 0), ("mid", 1)]
+    assert max(r["count"] for r in got) < 1_100
